@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from doclake.operators.ranking import block_of
 from doclake.operators.topk import PARTIAL, PARTIAL_DDL, Best, Questions, matrix, search
 from doclake.schemas import DEFAULT_CHUNK_TYPE, TOP_K
+from doclake.session import stage
 
 # At most this many questions are held by the driver and sent to the tasks at once.
 QUESTION_BLOCK = 4096
 # A group of the shuffled search holds at most this many chunks.
 CHUNK_BLOCK = 8192
+# Hits up to this many rows are broadcast to the chunk scan.
+BROADCAST_HITS = 100_000
 # Up to this many documents, their ids go to the scan as a filter.
 PRUNED_DOCUMENTS = 1000
 
@@ -197,7 +200,12 @@ def top_k(
 
 
 def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the chunk columns a reader needs. ``hits`` is the small side: ``k`` rows per question."""
+    """Add the chunk columns a reader needs.
+
+    Hits are staged and counted first. A small set is sent to the chunk scan, which is cut down
+    to the documents hit if they are few; a large one meets the chunks by a shuffle on their
+    unique (document, index) key.
+    """
     wanted = chunks.select(
         "document_id",
         "chunk_index",
@@ -206,6 +214,12 @@ def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         "sheet_name",
         F.coalesce("chunk_type", F.lit(DEFAULT_CHUNK_TYPE)).alias("chunk_type"),
     )
+    hits = stage(hits, "hits")
+    if hits.count() <= BROADCAST_HITS:
+        documents = [r[0] for r in hits.select("document_id").distinct().limit(PRUNED_DOCUMENTS + 1).collect()]
+        if len(documents) <= PRUNED_DOCUMENTS:
+            wanted = wanted.where(F.col("document_id").isin(documents))
+        hits = F.broadcast(hits)
     return wanted.join(hits, ["document_id", "chunk_index"])
 
 
@@ -214,6 +228,11 @@ def cite_sources(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(documents.select("document_id", "source_uri"), "document_id", "left")
 
 
+def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = TOP_K, **blocks) -> DataFrame:
+    """Ranked hits with text and citation columns."""
+    return cite_sources(hit_texts(top_k(questions, chunks, k, **blocks), chunks), documents)
+
+
 # --- approximate search over coarse cells ---
 
 

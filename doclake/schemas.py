@@ -37,6 +37,7 @@ REASON_SIZE = "too_large"
 REASON_UNKNOWN = "unknown_format"
 REASON_UNREADABLE = "unreadable"
 REASON_PASSWORD = "password_protected"
+REASON_NO_DECODER = "no_decoder"
 
 DOCUMENTS = (
     "document_id string, tenant_id string, source_type string, source_uri string, "

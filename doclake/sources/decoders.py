@@ -74,5 +74,5 @@ def decode_xlsx(data: bytes) -> Iterator[dict]:
             yield {"kind": "row", "i": number, "j": index, "name": sheet.title, "cells": cells}
 
 
-# Packages that are absent on the workers turn their files into "unreadable" rejects.
+# A package that is absent on a worker turns its files into "no_decoder" rejects.
 DECODERS = {"csv": decode_csv, "pdf": decode_pdf, "docx": decode_docx, "xlsx": decode_xlsx}

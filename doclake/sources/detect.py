@@ -34,14 +34,16 @@ def looks_like_csv(content: Column) -> Column:
 def zip_members(content: pd.Series) -> pd.Series:
     """Member names of an archive; null for bytes that only look like one."""
 
-    def names(data: bytes) -> list[str] | None:
+    def names(data: bytes | None) -> list[str] | None:
+        if data is None:
+            return None
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
                 return archive.namelist()
         except zipfile.BadZipFile:
             return None
 
-    return content.map(names)
+    return pd.Series([names(data) for data in content], dtype=object)
 
 
 def office_type(members: Column) -> Column:
@@ -69,16 +71,12 @@ def _by_name_or_text(content: Column, name: Column) -> Column:
 def detect_types(files: DataFrame, content: str = "content", name: str = "file_name") -> DataFrame:
     """Add ``file_type``: pdf, docx, xlsx, csv or unknown.
 
-    Only rows with an archive signature reach Python, so they are split off first. Both branches
-    read the same scan; the archive branch sees a filtered one.
+    One pass over the bytes: only the content of archives is handed to Python, other rows send null.
     """
-    archive = F.coalesce(_signature(F.col(content), ZIP_SIGNATURE), F.lit(False))
+    archive = _signature(F.col(content), ZIP_SIGNATURE)
     plain = _by_name_or_text(F.coalesce(F.col(content), F.lit(bytearray())), F.col(name))
-    rest = files.where(~archive).withColumn("file_type", plain)
-    zipped = (
-        files.where(archive)
-        .withColumn("_members", zip_members(F.col(content)))
+    return (
+        files.withColumn("_members", zip_members(F.when(archive, F.col(content))))
         .withColumn("file_type", F.coalesce(office_type(F.col("_members")), plain))
         .drop("_members")
     )
-    return rest.unionByName(zipped)

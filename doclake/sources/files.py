@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.functions import network as net
 from doclake.schemas import (
     MAX_FILE_BYTES,
+    REASON_NO_DECODER,
     REASON_PASSWORD,
     REASON_SIZE,
     REASON_UNKNOWN,
@@ -29,9 +31,15 @@ REJECT_COLUMNS = ["source_uri", "file_type", "reason", "message"]
 
 # One row per page, paragraph, table cell or sheet row of a file; the columns a kind lacks are null.
 UNITS = (
-    "document_id string, kind string, i int, j int, k int, name string, text string, "
-    "cells array<string>, source_uri string, file_type string"
+    "document_id string, source_uri string, file_type string, kind string, i int, j int, k int, "
+    "name string, text string, cells array<string>"
 )
+UNIT_SCHEMA = pa.schema(
+    [(c, pa.string()) for c in ("document_id", "source_uri", "file_type", "kind")]
+    + [(c, pa.int32()) for c in "ijk"]
+    + [("name", pa.string()), ("text", pa.string()), ("cells", pa.list_(pa.string()))]
+)
+UNIT_BATCH = 4096
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,52 +70,43 @@ def split_by_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> tuple[DataFr
     return files.where(F.col("length") <= limit), rejects
 
 
-def unknown_rejects(typed: DataFrame) -> DataFrame:
-    return typed.where(F.col("file_type") == "unknown").select(
-        "source_uri", "file_type", F.lit(REASON_UNKNOWN).alias("reason"), F.lit(UNKNOWN_FORMAT).alias("message")
-    )
-
-
 def decode(typed: DataFrame, decoders: dict[str, Callable] | None = None) -> DataFrame:
-    """Raw units of every readable file, and one ``error`` unit per file that cannot be read.
+    """One pass over the bytes of typed files: (document_id, source_uri, file_type, checksum, content).
 
-    ``typed``: document_id, source_uri, file_type, content. A decoder maps bytes to unit dicts; see
-    ``decoders``. Files are capped in size, so each one fits a task.
+    Yields for each file one ``file`` unit that carries its checksum, then the raw units of its
+    decoder, or one ``error`` unit if it cannot be read. A decoder maps bytes to unit dicts; see
+    ``decoders``.
     """
     table = {**DECODERS, **(decoders or {})}
 
-    def units(row) -> Iterator[dict]:
+    def error(reason: str, message: str) -> list[dict]:
+        return [{"kind": "error", "name": reason, "text": message}]
+
+    def units(file_type: str, content: bytes) -> list[dict]:
+        if file_type == "unknown":
+            return error(REASON_UNKNOWN, UNKNOWN_FORMAT)
         try:
-            yield from list(table[row.file_type](bytes(row.content)))
+            return list(table[file_type](bytes(content)))
         except PasswordProtected as problem:
-            yield {"kind": "error", "name": REASON_PASSWORD, "text": str(problem)}
+            return error(REASON_PASSWORD, str(problem))
+        except ImportError as problem:
+            return error(REASON_NO_DECODER, f"No decoder for {file_type.upper()} on this worker: {problem}")
         except ValueError as problem:
-            yield {"kind": "error", "name": REASON_UNREADABLE, "text": str(problem)}
+            return error(REASON_UNREADABLE, str(problem))
         except Exception:
-            yield {"kind": "error", "name": REASON_UNREADABLE, "text": UNREADABLE.format(row.file_type.upper())}
+            return error(REASON_UNREADABLE, UNREADABLE.format(file_type.upper()))
 
-    columns = ["document_id", "kind", "i", "j", "k", "name", "text", "cells", "source_uri", "file_type"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                content = row.pop("content")
+                found = [{"kind": "file", "text": row.pop("checksum")}, *units(row["file_type"], content)]
+                for begin in range(0, len(found), UNIT_BATCH):
+                    part = [{**unit, **row} for unit in found[begin : begin + UNIT_BATCH]]
+                    yield pa.RecordBatch.from_pylist(part, schema=UNIT_SCHEMA)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                found = [
-                    {
-                        **unit,
-                        "document_id": row.document_id,
-                        "source_uri": row.source_uri,
-                        "file_type": row.file_type,
-                    }
-                    for unit in units(row)
-                ]
-                if found:
-                    made = pd.DataFrame(found).reindex(columns=columns)
-                    yield made.astype({"i": "Int32", "j": "Int32", "k": "Int32"}).astype(
-                        {c: object for c in ("name", "text", "cells")}
-                    ).where(lambda x: x.notna(), None)
-
-    known = typed.where(F.col("file_type") != "unknown")
-    return known.select("document_id", "source_uri", "file_type", "content").mapInPandas(run, UNITS)
+    content = F.when(F.col("file_type") != "unknown", F.col("content")).alias("content")
+    return typed.select("document_id", "source_uri", "file_type", "checksum", content).mapInArrow(run, UNITS)
 
 
 def unit_sections(units: DataFrame) -> DataFrame:
@@ -140,10 +139,9 @@ def unit_rejects(units: DataFrame) -> DataFrame:
     )
 
 
-def parse_files(typed: DataFrame, decoders: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections, rejects) of typed files. Units are staged by kind, so each file is decoded once."""
-    units = stage(decode(typed, decoders), "units", partition_by=["kind"])
-    return unit_sections(units), unknown_rejects(typed).unionByName(unit_rejects(units))
+def decode_staged(typed: DataFrame, decoders: dict[str, Callable] | None = None) -> DataFrame:
+    """``decode``, written once by kind: every later step reads its own kinds and no bytes."""
+    return stage(decode(typed, decoders), "units", partition_by=["kind"])
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
