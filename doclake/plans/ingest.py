@@ -78,12 +78,22 @@ def ingest(
         F.lit(0).alias("seq"),
     )
 
-    # Known documents keep the id they were registered with.
+    # Documents registered under another id (an older scheme) keep it; usually there are none.
     known = documents.where(F.col("tenant_id") == tenant).select("source_uri", F.col("document_id").alias("_known"))
-    ids = arrivals.select("document_id", "source_uri").distinct().join(known, "source_uri")
-    sections = fs.unit_sections(units).withColumn("tenant_id", F.lit(tenant))
-    renamed = sections.join(ids.select("document_id", "_known"), "document_id", "left")
-    sections = renamed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
+    other = (
+        arrivals.select("document_id", "source_uri")
+        .distinct()
+        .join(known, "source_uri")
+        .where(F.col("_known") != F.col("document_id"))
+        .select("document_id", "_known")
+    )
+    sections = (
+        fs.unit_sections(units)
+        .join(other, "document_id", "left")
+        .withColumn("document_id", F.coalesce("_known", "document_id"))
+        .withColumn("tenant_id", F.lit(tenant))
+        .drop("_known")
+    )
 
     parsed = stage(chunking.chunk_sections(sections, **packing), "parsed")
     if mode == "folder":
