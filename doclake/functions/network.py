@@ -31,8 +31,8 @@ BLOCKED_V6 = (
     ("20010040" + "0" * 24, "200101ff" + "f" * 24),
     ("20010db8" + "0" * 24, "20010db8" + "f" * 24),  # 2001:db8::/32
     ("2002" + "0" * 28, "2002" + "f" * 28),  # 2002::/16
-    ("3fff0000" + "0" * 24, "3fff0fff" + "f" * 24),  # 3fff::/20
-    ("4000" + "0" * 28, "f" * 32),  # everything above 2000::/3
+    ("4000" + "0" * 28, "febf" + "f" * 28),  # everything above 2000::/3 up to fec0::/10
+    ("ff00" + "0" * 28, "f" * 32),  # ff00::/8
 )
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -71,42 +71,61 @@ def _hex_groups(part: Column) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _dotted_tail_as_groups(text: Column) -> Column:
+    """``::ffff:1.2.3.4`` as ``::ffff:0102:0304``; other texts as they are."""
+
+    def swap(tail: Column) -> Column:
+        digits = _hex_v4(tail)
+        head = F.regexp_replace(text, rf"{_V4}$", "")
+        return F.when(tail == "", text).otherwise(
+            F.concat(head, F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
+        )
+
+    return _let(F.regexp_extract(text, rf"(?<=:)({_V4})$", 1), swap)
+
+
+def _hex_v6(text: Column) -> Column:
+    full = text.rlike(rf"^{_GROUP}(?::{_GROUP}){{7}}$")
+    short = text.rlike(rf"^(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?$")
+    sides = F.array(
+        _hex_groups(F.substring_index(text, "::", 1)), _hex_groups(F.substring_index(text, "::", -1))
+    )
+
+    def fill(pair: Column) -> Column:
+        gap = F.lit(32) - F.length(pair[0]) - F.length(pair[1])
+        return F.when(gap >= 4, F.concat(pair[0], F.repeat(F.lit("0"), gap), pair[1]))
+
+    return F.when(full, _hex_groups(text)).when(short, _let(sides, fill))
+
+
 def ip_hex(ip: Column) -> Column:
     """Address literal as fixed-width hex (8 digits for IPv4, 32 for IPv6); null if it is neither."""
     text = F.lower(F.regexp_replace(ip, "%.*$", ""))
-    tail = F.regexp_extract(text, rf"(?<=:)({_V4})$", 1)
-    tail_hex = _hex_v4(tail)
-    plain = F.when(
-        tail != "",
-        F.concat(
-            F.substring_index(text, tail, 1), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)
-        ),
-    ).otherwise(text)
-    full = plain.rlike(rf"^{_GROUP}(?::{_GROUP}){{7}}$")
-    short = plain.rlike(rf"^(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?$")
-    left = _hex_groups(F.substring_index(plain, "::", 1))
-    right = _hex_groups(F.substring_index(plain, "::", -1))
-    gap = F.lit(32) - F.length(left) - F.length(right)
-    return (
-        F.when(ip.rlike(rf"^{_V4}$"), _hex_v4(ip))
-        .when(full, _hex_groups(plain))
-        .when(short & (gap >= 4), F.concat(left, F.repeat(F.lit("0"), gap), right))
+    return F.when(ip.rlike(rf"^{_V4}$"), _hex_v4(ip)).when(
+        F.contains(ip, F.lit(":")), _let(_let(text, _dotted_tail_as_groups), _hex_v6)
     )
 
 
 def _blocked(value: Column, ranges) -> Column:
-    found = F.lit(False)
-    for low, high in ranges:
-        found = found | value.between(low, high)
-    return found
+    table = F.expr("array(" + ", ".join(f"struct('{low}' AS low, '{high}' AS high)" for low, high in ranges) + ")")
+    return F.exists(table, lambda r: value.between(r["low"], r["high"]))
 
 
 def is_public_ip(ip: Column) -> Column:
     """True for a globally reachable literal, false for a blocked one, null if not an address.
 
     The range join against the blocked blocks is a constant predicate: the table is a handful of
-    rows, so it folds into the scan's filter and needs neither a broadcast nor a shuffle.
+    rows, so it folds into the projection and needs neither a broadcast nor a shuffle.
     """
-    value = ip_hex(ip)
-    blocked = F.when(F.length(value) == 8, _blocked(value, BLOCKED_V4)).otherwise(_blocked(value, BLOCKED_V6))
-    return F.when(value.isNotNull(), ~blocked)
+
+    def public(value: Column) -> Column:
+        narrow = F.length(value) == 8
+        blocked = F.when(narrow, _blocked(value, BLOCKED_V4)).otherwise(_blocked(value, BLOCKED_V6))
+        return F.when(value.isNotNull(), ~blocked)
+
+    return _let(ip_hex(ip), public)

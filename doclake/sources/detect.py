@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from doclake.functions.text import LINE_END
 from doclake.schemas import FILE_TYPES
@@ -30,7 +30,7 @@ def looks_like_csv(content: Column) -> Column:
     return F.coalesce(F.exists(lines, lambda line: F.contains(line, F.lit(","))), F.lit(False))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def zip_members(content: pd.Series) -> pd.Series:
     """Member names of an archive; null for bytes that only look like one."""
 
