@@ -18,6 +18,7 @@ from doclake.plans.catalog.base import (
     table,
     whole_sections,
 )
+from doclake.session import stage
 
 SEPARATOR_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
@@ -241,8 +242,9 @@ def cite_sources(spark, sf):
 
 
 def corpus(spark, sf):
-    """All documents, chunked and embedded, with their registry."""
+    """All documents, chunked, embedded and stored, with their registry."""
     chunks = embedding.embed(chunking.chunk_sections(whole_sections(spark, sf)), "chunk_text", "passage")
+    chunks = stage(chunks, "corpus")
     documents = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"),

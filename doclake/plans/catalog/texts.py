@@ -24,6 +24,7 @@ from doclake.plans.catalog.base import (
     table,
     whole_sections,
 )
+from doclake.session import spread
 
 SECTION_BUDGET, SECTION_OVERLAP = 60, 12
 DOUBLED = "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
@@ -75,7 +76,7 @@ def token_counts(spark, sf):
 )
 def chunk_text(spark, sf):
     chunks = chunking.chunk_udf()("text")
-    return whole_sections(spark, sf).select("document_id", F.posexplode(chunks).alias("pos", "chunk_text"))
+    return spread(whole_sections(spark, sf)).select("document_id", F.posexplode(chunks).alias("pos", "chunk_text"))
 
 
 @query(f"SELECT doc_id, {sql_tail('text', 50)} AS tail FROM documents")

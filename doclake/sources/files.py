@@ -162,10 +162,10 @@ def csv_rows(files: DataFrame) -> DataFrame:
 
 
 def csv_sections(files: DataFrame) -> DataFrame:
-    rows = csv_rows(files).select(
-        "document_id", F.lit(0).alias("sheet_idx"), F.lit(None).cast("string").alias("sheet_name"), "row_idx", "values"
-    )
-    return sx.row_sections(rows)
+    """Sections of CSV files; decoded rows are staged, since numbering reads them more than once."""
+    rows = stage(csv_rows(files), "rows")
+    sheet = [F.lit(0).alias("sheet_idx"), F.lit(None).cast("string").alias("sheet_name")]
+    return sx.row_sections(rows.select("document_id", *sheet, "row_idx", "values"))
 
 
 def screen_urls(urls: DataFrame, dns: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ Inputs are tables with one row per page, block or cell; ``SECTIONS`` in ``schema
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from doclake.functions import text as tx
-from doclake.operators.ranking import BLOCK, block_of, dense_position
+from doclake.operators.ranking import BLOCK, block_of, block_offsets, dense_position
 
 
 def _null(kind: str) -> Column:
@@ -107,32 +107,33 @@ def has_value(values: Column) -> Column:
 def row_sections(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(document_id, sheet_idx, sheet_name, row_idx, values array) to one section per data row.
 
-    Row 0 of a sheet is its header. Headers meet their rows by (sheet, block of rows), with one
-    copy of the header per block, so a very long sheet spreads over tasks.
+    Row 0 of a sheet is its header. Numbering and headers meet the rows by (sheet, block of rows),
+    with one copy of the header per block, so a very long sheet spreads over tasks.
     """
     sheet = ["document_id", "sheet_idx"]
-    blocked = rows.withColumn("_part", block_of(F.col("row_idx"), block))
-    last = rows.groupBy(*sheet).agg(block_of(F.max("row_idx"), block).alias("_last"))
-    header = (
-        rows.where(F.col("row_idx") == 0)
-        .select(*sheet, F.col("values").alias("_header"))
-        .join(last, sheet)
-        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-        .drop("_last")
+    part = block_of(F.col("row_idx"), block)
+    data = rows.where((F.col("row_idx") > 0) & has_value(F.col("values")))
+    last = rows.groupBy(*sheet).agg(
+        block_of(F.max("row_idx"), block).alias("_last"),
+        F.first(F.when(F.col("row_idx") == 0, F.col("values")), ignorenulls=True).alias("_header"),
     )
-    paired = (
-        blocked.where((F.col("row_idx") > 0) & has_value(F.col("values")))
-        .join(header, [*sheet, "_part"], "left")
+    headers = last.select(*sheet, "_header", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_block"))
+    offsets = block_offsets(data, ["document_id"], ["sheet_idx", "row_idx"], F.lit(1), block)
+    group = [*sheet, "_block"]
+    inside = Window.partitionBy(*group).orderBy("row_idx")
+    return (
+        data.withColumn("_block", part)
+        .join(headers.join(offsets, group), group)
+        .withColumn("position", (F.col("_offset") + F.row_number().over(inside) - 1).cast("int"))
         .withColumn("_header", F.coalesce("_header", F.array().cast("array<string>")))
-        .withColumn("text", pair_row(F.col("_header"), F.col("values")))
-    )
-    return dense_position(paired, ["document_id"], ["sheet_idx", "row_idx"], "position", block).select(
-        "document_id",
-        "position",
-        "text",
-        F.lit("row").alias("section_type"),
-        _null("int").alias("page_number"),
-        "sheet_name",
+        .select(
+            "document_id",
+            "position",
+            pair_row(F.col("_header"), F.col("values")).alias("text"),
+            F.lit("row").alias("section_type"),
+            _null("int").alias("page_number"),
+            "sheet_name",
+        )
     )
 
 
