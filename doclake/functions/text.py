@@ -64,7 +64,7 @@ def token_count(text: Column) -> Column:
 def last_tokens(text: Column, n: int) -> Column:
     """The suffix of ``text`` that starts at its n-th last token; all of it if it has no more than n."""
     pieces = F.regexp_extract_all(text, F.lit(f"(?:{TOKEN}){WS_CLASS}*"), F.lit(0))
-    return F.array_join(F.slice(pieces, -F.least(F.lit(n), F.size(pieces)), F.lit(n)), "")
+    return F.array_join(F.slice(pieces, -F.greatest(F.lit(1), F.least(F.lit(n), F.size(pieces))), F.lit(n)), "")
 
 
 def approx_tokens(text: Column) -> Column:

@@ -51,7 +51,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.format("binaryFile")
         .load(folder)
         .select(
-            F.url_decode(F.regexp_replace(F.regexp_extract("path", "[^/]+$", 0), r"\+", "%2B")).alias("file_name"),
+            F.regexp_extract("path", "[^/]+$", 0).alias("file_name"),
             "length",
             "modificationTime",
             "content",

@@ -17,7 +17,7 @@ def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
         .schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(folder)
-        .selectExpr("url_decode(replace(regexp_extract(path, '[^/]+$', 0), '+', '%2B')) AS file_name", "length", "content")
+        .selectExpr("regexp_extract(path, '[^/]+$', 0) AS file_name", "length", "content")
     )
 
 
