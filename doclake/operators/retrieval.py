@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from doclake.operators.hotjoin import join_unique
 from doclake.operators.ranking import block_of
 from doclake.operators.topk import PARTIAL, PARTIAL_DDL, Best, Questions, matrix, search
 from doclake.schemas import DEFAULT_CHUNK_TYPE, TOP_K
@@ -73,8 +74,10 @@ def _scan(chunks: DataFrame, scope: Column, questions: Questions, k: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from search(batches, shared.value, k)
 
-    return chunks.select(scope.alias("scope"), "document_id", "chunk_index", "embedding").mapInArrow(
-        run, PARTIAL_DDL
+    return (
+        chunks.where(F.col("embedding").isNotNull())
+        .select(scope.alias("scope"), "document_id", "chunk_index", "embedding")
+        .mapInArrow(run, PARTIAL_DDL)
     )
 
 
@@ -137,10 +140,11 @@ def _search_documents_shuffled(
         "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
     )
     cell_rows = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    plan = asked.join(lengths, key)
+    plan = asked.join(lengths, key).withColumn("_k", _scope(*map(F.col, key))).drop(*key)
+    keyed = questions.select("query_id", *key, "embedding").withColumn("_k", _scope(*map(F.col, key)))
     right = (
-        questions.select("query_id", *key, "embedding")
-        .join(plan, key)
+        join_unique(keyed, plan, "_k", ["query_id"])
+        .where(F.col("_parts").isNotNull())
         .withColumn("_c", cell_rows)
         .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_parts")))
     )
@@ -192,6 +196,7 @@ def top_k(
         if narrow.num_rows:
             found.append(_search_documents(narrow, chunks, k))
     else:
+        asked = stage(asked, "asked")
         wide = asked.where(F.col("document_id").isNull())
         narrow = asked.where(F.col("document_id").isNotNull())
         found.append(_search_tenants_sliced(wide, chunks, k, question_block))
@@ -272,13 +277,15 @@ def train_cells(chunks: DataFrame, lists: int, seed: int = 42, rows_per_list: in
 
 
 def _nearest_udf(cells: Cells, n: int):
+    """The ``n`` nearest cells of a vector; nondeterministic only to be run once per row."""
+
     @F.arrow_udf("array<int>")
     def nearest(vectors: pa.Array) -> pa.Array:
         found = cells.nearest(matrix(vectors), n).astype(np.int32)
         offsets = np.arange(len(found) + 1, dtype=np.int32) * (found.shape[1] if len(found) else 0)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
-    return nearest
+    return nearest.asNondeterministic()
 
 
 def assign_cells(chunks: DataFrame, cells: Cells) -> DataFrame:

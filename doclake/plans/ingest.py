@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from doclake.operators import chunking, embedding, identity, store
+from doclake.operators.hotjoin import join_unique
 from doclake.schemas import DEFAULT_TENANT, MAX_FILE_BYTES
 from doclake.session import stage
 from doclake.sources import detect, files as fs
@@ -87,13 +88,10 @@ def ingest(
         .where(F.col("_known") != F.col("document_id"))
         .select("document_id", "_known")
     )
-    sections = (
-        fs.unit_sections(units)
-        .join(other, "document_id", "left")
-        .withColumn("document_id", F.coalesce("_known", "document_id"))
-        .withColumn("tenant_id", F.lit(tenant))
-        .drop("_known")
-    )
+    sections = fs.unit_sections(units).withColumn("tenant_id", F.lit(tenant))
+    if other.take(1):
+        renamed = join_unique(sections, other, "document_id", ["document_id", "position"])
+        sections = renamed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
 
     parsed = stage(chunking.chunk_sections(sections, **packing), "parsed")
     if mode == "folder":
@@ -107,7 +105,7 @@ def ingest(
     keyed = embedding.memo_keys(fresh, "chunk_text", "passage")
     encoded = stage(embedding.encode_misses(keyed, memo, "chunk_text", "passage", load), "encoded")
     vectors = memo.select("memo_key", "embedding").unionByName(encoded)
-    embedded = embedding.join_unique(keyed, vectors, "memo_key", store.CHUNK_KEY).drop("memo_key")
+    embedded = join_unique(keyed, vectors, "memo_key", store.CHUNK_KEY).drop("memo_key")
     return Ingested(
         documents=identity.register(documents, arrivals.drop("document_id")),
         chunks=embedded,

@@ -30,9 +30,7 @@ def looks_like_csv(content: Column) -> Column:
     return F.coalesce(F.exists(lines, lambda line: F.contains(line, F.lit(","))), F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def zip_members(content: pd.Series) -> pd.Series:
-    """Member names of an archive; null for bytes that only look like one."""
+def _list_members(content: pd.Series) -> pd.Series:
 
     def names(data: bytes | None) -> list[str] | None:
         if data is None:
@@ -46,6 +44,15 @@ def zip_members(content: pd.Series) -> pd.Series:
     return pd.Series([names(data) for data in content], dtype=object)
 
 
+def zip_members(content: Column) -> Column:
+    """Member names of an archive; null for bytes that only look like one.
+
+    Declared nondeterministic so that a filter on the type does not open archives twice.
+    """
+    listed = F.pandas_udf(_list_members, T.ArrayType(T.StringType()))
+    return listed.asNondeterministic()(content)
+
+
 def office_type(members: Column) -> Column:
     def has(folder: str) -> Column:
         return F.exists(members, lambda m: m.startswith(folder))
