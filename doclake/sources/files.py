@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.functions import network as net
+from doclake.operators.ranking import BLOCK, dense_position
 from doclake.schemas import (
     MAX_FILE_BYTES,
     REASON_NO_DECODER,
@@ -168,6 +169,29 @@ def csv_sections(files: DataFrame) -> DataFrame:
     return sx.row_sections(rows.select("document_id", *sheet, "row_idx", "values"))
 
 
+def large_csv_sections(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """Sections of CSV files of any size, read in splits; cells must not hold line breaks.
+
+    A line's place is its split's offset in the file and its order in the split; from these,
+    rows are numbered per file in blocks.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cells(lines: pd.Series) -> pd.Series:
+        return pd.Series([next(csv.reader([line]), []) for line in lines], dtype=object)
+
+    lines = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("document_id"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"),
+        F.make_valid_utf8("value").alias("value"),
+    )
+    rows = stage(lines.withColumn("values", cells("value")).drop("value"), "lines")
+    numbered = dense_position(rows, ["document_id"], ["_split", "_line"], "row_idx", block)
+    sheet = [F.lit(0).alias("sheet_idx"), F.lit(None).cast("string").alias("sheet_name")]
+    return sx.row_sections(numbered.select("document_id", *sheet, "row_idx", "values"), block)
+
+
 def screen_urls(urls: DataFrame, dns: DataFrame) -> DataFrame:
     """``verdict`` per url: ok, bad_url, not_public or needs_dns.
 

@@ -37,26 +37,30 @@ def heading_or_paragraph(style: Column) -> Column:
     )
 
 
-def table_sections(cells: DataFrame) -> DataFrame:
+def table_sections(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """(document_id, table_idx, row_idx, col_idx, text) to one text per table.
 
-    Cells are trimmed and joined by ``|``, blank rows go, rows are joined by newlines. A table
-    becomes one string by definition, so its size is that of the file it came from.
+    Cells are trimmed and joined by ``|``, blank rows go, rows are joined by newlines. Rows are
+    joined in blocks first, so that the last step sees a few long strings per table. The result is
+    one string by definition and must fit a row.
     """
-    rows = (
-        cells.groupBy("document_id", "table_idx", "row_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", tx.strip(F.col("text")).alias("t")))).alias("_c"))
-        .where(F.exists("_c", lambda c: c["t"] != ""))
-        .select(
-            "document_id",
-            "table_idx",
-            F.struct("row_idx", F.array_join(F.transform("_c", lambda c: c["t"]), " | ").alias("line")).alias("_r"),
-        )
-    )
+    table = ["document_id", "table_idx"]
+    cell = F.struct("col_idx", tx.strip(F.col("text")).alias("t"))
+    line = F.array_join(F.transform("_cells", lambda c: c["t"]), " | ")
+
+    def joined(rows: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["line"]), "\n")
+
     return (
-        rows.groupBy("document_id", "table_idx")
-        .agg(F.array_sort(F.collect_list("_r")).alias("_rows"))
-        .select("document_id", "table_idx", F.array_join(F.transform("_rows", lambda r: r["line"]), "\n").alias("text"))
+        cells.groupBy(*table, "row_idx")
+        .agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+        .where(F.exists("_cells", lambda c: c["t"] != ""))
+        .select(*table, block_of(F.col("row_idx"), block).alias("_block"), F.struct("row_idx", line.alias("line")).alias("_row"))
+        .groupBy(*table, "_block")
+        .agg(joined("_row").alias("line"))
+        .select(*table, F.struct("_block", "line").alias("_part"))
+        .groupBy(*table)
+        .agg(joined("_part").alias("text"))
     )
 
 
@@ -69,7 +73,7 @@ def block_sections(paragraphs: DataFrame, cells: DataFrame, block: int = BLOCK)
         tx.strip(F.col("text")).alias("text"),
         heading_or_paragraph(F.col("style_name")).alias("section_type"),
     )
-    tables = table_sections(cells).select(
+    tables = table_sections(cells, block).select(
         "document_id",
         F.lit(1).alias("_kind"),
         F.col("table_idx").cast("int").alias("_seq"),

@@ -145,6 +145,71 @@ def test_csv(spark):
     assert csv_texts(spark, ragged) == [(0, "A: 1"), (1, 'A: x, "y"\nz; C: 3'), (2, "A: 7; C: �")]
 
 
+def test_large_csv_is_read_in_splits(spark, tmp_path):
+    pick = random.Random(4)
+    for name in ("a.csv", "b.csv"):
+        lines = ["id,note,,flag"]
+        for i in range(300):
+            lines.append(pick.choice([f'{i},"x, {i}",q,{i % 3}', f"{i}", f"{i},,,", " , ,", "", f"{i},a,b,c,d"]))
+        (tmp_path / name).write_bytes("\n".join(lines).encode() + b"\nlast,\xff\n")
+    whole = fs.scan_folder(spark, str(tmp_path)).withColumnRenamed("file_name", "document_id")
+    key = ["document_id", "position", "text"]
+    expected = sorted(map(tuple, fs.csv_sections(whole).select(key).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = fs.large_csv_sections(spark, str(tmp_path), block=16)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got.select(key).collect())) == expected and len(expected) > 300
+
+
+def test_decoders_map_what_the_packages_return(monkeypatch):
+    """The packages are stand-ins here: only the mapping to units is checked."""
+    import sys
+    from types import SimpleNamespace as Obj
+
+    from doclake.sources import decoders
+
+    style = Obj(name="Heading 1")
+    cell = Obj(text="c")
+    document = Obj(
+        paragraphs=[Obj(text="Title", style=style), Obj(text="x", style=None)],
+        tables=[Obj(rows=[Obj(cells=[cell, cell])])],
+    )
+    monkeypatch.setitem(sys.modules, "docx", Obj(Document=lambda stream: document))
+    assert [(u["kind"], u["i"], u.get("name")) for u in decoders.decode_docx(b"")] == [
+        ("paragraph", 0, "Heading 1"), ("paragraph", 1, None), ("cell", 0, None), ("cell", 0, None)
+    ]
+
+    sheet = Obj(title="Q4", iter_rows=lambda values_only: [("Region", "Revenue"), ("East", None), (1, 2.5)])
+    monkeypatch.setitem(sys.modules, "openpyxl", Obj(load_workbook=lambda *a, **k: Obj(worksheets=[sheet])))
+    assert [u["cells"] for u in decoders.decode_xlsx(b"")] == [["Region", "Revenue"], ["East", ""], ["1", "2.5"]]
+
+    def page(text):
+        def extract_text():
+            if text == "bad":
+                raise KeyError(text)
+            return text
+
+        return Obj(extract_text=extract_text)
+
+    def reader(encrypted, opens):
+        return lambda stream: Obj(is_encrypted=encrypted, decrypt=lambda word: opens, pages=[page("a"), page("bad"), page(None)])
+
+    monkeypatch.setitem(sys.modules, "pypdf", Obj(PdfReader=reader(True, 1)))
+    assert [(u["i"], u["text"]) for u in decoders.decode_pdf(b"")] == [(0, "a"), (1, ""), (2, "")]
+    monkeypatch.setitem(sys.modules, "pypdf", Obj(PdfReader=reader(True, 0)))
+    with pytest.raises(decoders.PasswordProtected, match="password"):
+        list(decoders.decode_pdf(b""))
+
+    def corrupt(stream):
+        raise OSError("no trailer")
+
+    monkeypatch.setitem(sys.modules, "pypdf", Obj(PdfReader=corrupt))
+    assert list(decoders.decode_pdf(b"")) == []
+
+
 def test_sheets(spark):
     cells = [("d", 0, "Q4", 0, 0, "Region"), ("d", 0, "Q4", 0, 1, "Revenue"), ("d", 0, "Q4", 1, 0, "West"), ("d", 0, "Q4", 1, 1, "4200000")]
     cells += [("d", 0, "Q4", 2, 0, "East"), ("d", 0, "Q4", 2, 1, None), ("d", 0, "Q4", 3, 0, " "), ("d", 0, "Q4", 3, 1, None)]
@@ -170,6 +235,8 @@ def test_blocks_and_pages(spark):
         "document_id string, table_idx int, row_idx int, col_idx int, text string",
     )
     rows = sorted(sx.block_sections(prose, cells).collect(), key=lambda r: r.position)
+    blocked = sorted(sx.block_sections(prose, cells, block=1).collect(), key=lambda r: r.position)
+    assert rows == blocked
     assert [(r.position, r.section_type, r.text) for r in rows] == [
         (0, "heading", "Section Title"),
         (1, "paragraph", "This is a normal paragraph."),
