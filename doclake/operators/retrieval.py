@@ -53,9 +53,9 @@ def rank_hits(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _collect_block(questions: DataFrame, limit: int) -> pa.Table | None:
-    """The questions as an Arrow table, or null if there are more than ``limit``."""
-    table = questions.limit(limit + 1).toArrow()
+def _collect_block(rows: DataFrame, limit: int) -> pa.Table | None:
+    """The rows as an Arrow table, or None if there are more than ``limit``."""
+    table = rows.limit(limit + 1).toArrow()
     return table if table.num_rows <= limit else None
 
 
@@ -207,9 +207,9 @@ def top_k(
 def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the chunk columns a reader needs.
 
-    Hits are staged and counted first. A small set is sent to the chunk scan, which is cut down
-    to the documents hit if they are few; a large one meets the chunks by a shuffle on their
-    unique (document, index) key.
+    Hits are staged first, so that the search runs once. A small set is sent to the chunk scan,
+    which is cut down to the documents hit if they are few; a large one meets the chunks by a
+    shuffle on their unique (document, index) key.
     """
     wanted = chunks.select(
         "document_id",
@@ -220,8 +220,9 @@ def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         F.coalesce("chunk_type", F.lit(DEFAULT_CHUNK_TYPE)).alias("chunk_type"),
     )
     hits = stage(hits, "hits")
-    if hits.count() <= BROADCAST_HITS:
-        documents = [r[0] for r in hits.select("document_id").distinct().limit(PRUNED_DOCUMENTS + 1).collect()]
+    small = _collect_block(hits, BROADCAST_HITS)
+    if small is not None:
+        documents = small.column("document_id").unique().to_pylist()
         if len(documents) <= PRUNED_DOCUMENTS:
             wanted = wanted.where(F.col("document_id").isin(documents))
         hits = F.broadcast(hits)
