@@ -40,9 +40,11 @@ def sql_grounded(answer: str, context: str) -> str:
     return f"({sql_strip(answer)} = {_quoted(REFUSAL)} OR coalesce({sql_overlap(answer, context)} >= 0.15, true))"
 
 
+_HEAD, _BETWEEN, _TAIL = map(_quoted, ans.prompt_parts())
+
+
 @query(
-    f"""SELECT conv_id, turn, {sql_strip(f"{_quoted(ans.PROMPT_HEAD)} || context || {_quoted(ans.PROMPT_QUESTION)} || text || {_quoted(ans.PROMPT_TAIL)}")} AS prompt
-    FROM ({REPLIES})"""
+    f"SELECT conv_id, turn, {sql_strip(f'{_HEAD} || context || {_BETWEEN} || text || {_TAIL}')} AS prompt FROM ({REPLIES})"
 )
 def render_prompt(spark, sf):
     return replies(spark, sf).select("conv_id", "turn", ans.render_prompt(F.col("context"), F.col("text")).alias("prompt"))
