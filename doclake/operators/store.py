@@ -13,6 +13,8 @@ from doclake.operators.ranking import BLOCK, dense_position
 from doclake.schemas import DEFAULT_CHUNK_TYPE, DEFAULT_SOURCE_TYPE, DEFAULT_TENANT
 
 CHUNK_KEY = ["document_id", "text_hash"]
+# Up to this many documents, their ids go to the scan as a filter.
+PRUNED_DOCUMENTS = 1000
 
 
 def first_occurrences(chunks: DataFrame) -> DataFrame:
@@ -34,6 +36,17 @@ def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return first_occurrences(chunks).join(store.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
 
 
+def stored_for(store: DataFrame, batch: DataFrame, tenant: str, few: int = PRUNED_DOCUMENTS) -> DataFrame:
+    """The part of ``store`` that a batch of one tenant can collide with.
+
+    The tenant prunes partitions; up to ``few`` documents are named to the scan, which skips the
+    row groups that cannot hold them.
+    """
+    own = store.where(F.col("tenant_id") == tenant)
+    documents = [r[0] for r in batch.select("document_id").distinct().limit(few + 1).collect()]
+    return own.where(F.col("document_id").isin(documents)) if len(documents) <= few else own
+
+
 def upsert_counts(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """Parsed, inserted and skipped chunks per document."""
     keys = chunks.groupBy(*CHUNK_KEY).agg(F.count("*").alias("_copies"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from doclake.functions import text as tx, vectors as vec
+from doclake.functions import vectors as vec
 from doclake.operators import chunking, context as ctx, embedding, retrieval
 from doclake.plans.ask import rag_contexts
 from doclake.plans.catalog.base import (

@@ -16,7 +16,6 @@ from doclake.plans.catalog.base import (
     sql_exploded,
     sql_hash_vectors,
     sql_paragraphs,
-    sql_raw_tokens,
     sql_sentences,
     sql_strip,
     sql_tail,

@@ -101,7 +101,7 @@ def ingest(
             .withColumn("document_id", F.coalesce("_known", "document_id"))
             .join(kept, "document_id", "left_semi")
         )
-    fresh = stage(store.new_chunks(parsed, chunks), "fresh")
+    fresh = stage(store.new_chunks(parsed, store.stored_for(chunks, parsed, tenant)), "fresh")
     keyed = embedding.memo_keys(fresh, "chunk_text", "passage")
     encoded = stage(embedding.encode_misses(keyed, memo, "chunk_text", "passage", load), "encoded")
     vectors = memo.select("memo_key", "embedding").unionByName(encoded)

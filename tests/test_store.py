@@ -55,6 +55,17 @@ def test_upsert_is_per_document_and_idempotent(spark):
     assert stored == {"a": 3, "b": 1}
 
 
+def test_only_the_part_of_the_store_that_matters_is_read(spark, tmp_path):
+    chunks = chunk_rows(spark, [("a", 0, "x"), ("b", 0, "x"), ("c", 0, "y")])
+    chunks.write.partitionBy("tenant_id").parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    batch = chunks.where("document_id <> 'c'")
+    few, many = store.stored_for(stored, batch, "t"), store.stored_for(stored, batch, "t", few=1)
+    assert (few.count(), many.count(), store.stored_for(stored, batch, "u").count()) == (2, 3, 0)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(document_id, [" in plan and "PartitionFilters: [isnotnull(tenant_id" in plan
+
+
 def test_delete_checks_the_tenant(spark):
     table = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "u")], "document_id string, tenant_id string")
     doomed = spark.createDataFrame([("a", "t"), ("c", "t")], "document_id string, tenant_id string")
