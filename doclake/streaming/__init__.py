@@ -1 +1 @@
-
+"""The ingestion plan on Structured Streaming."""
