@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from doclake.plans.catalog import ORACLES, QUERIES
 from tests import oracle
 
 SF = f"{oracle.DATA}/sf0.001"
@@ -17,11 +18,12 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert oracle.check(spark, con, name, SF) is None
 
 
 def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"scan_folder", "topk_ivf", "ivf_recall"}
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"scan_folder", "topk_ivf", "ivf_recall"}
