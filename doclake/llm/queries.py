@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import packing, token_counts
+from doclake.llm import neardup, neighbours, packing, substrings, token_counts
 from doclake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,22 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf, "documents"), VOCABULARY))
 
 
+@query()
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op8_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query()
+def op9_repeated_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents"))
+
+
 @query()
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), VOCABULARY)
