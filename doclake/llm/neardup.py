@@ -25,8 +25,9 @@ SEED = 42
 RADIUS = 4
 #: Fingerprints that choose the vantage points of the upper levels.
 SAMPLE = 20_000
-#: Fingerprints at home in one task: shards are made for so many, and parted again beyond twice that.
-SHARD_ROWS = 4096
+#: Fingerprints at home in one task: a 64th of all within these bounds; a shard with more than twice as
+#: many is parted again.
+SHARD_LEAST, SHARD_MOST = 1 << 15, 1 << 20
 LEAF = 64
 _ALL = (1 << 64) - 1
 #: Cells of one comparison of fingerprints.
@@ -80,10 +81,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 # --- trees ---
 
 
-def level_masks(rows: int, leaf: int = LEAF) -> np.ndarray:
-    """The slice of bits that each level of a tree over ``rows`` fingerprints measures on."""
-    levels = min(64, max(1, math.ceil(math.log2(max(2, rows / leaf)))))
-    width = min(16, 64 // levels)
+def level_masks(levels: int) -> np.ndarray:
+    """The slice of bits that each of ``levels`` levels measures on: the wider, the more a split prunes."""
+    width = min(32, 64 // max(1, levels))
     return np.array([((1 << width) - 1) << (width * i) for i in range(levels)], np.uint64)
 
 
@@ -163,17 +163,16 @@ class Forest:
         return self.lead
 
 
-def link_shard(
-    marks: np.ndarray, home: np.ndarray, spent: np.ndarray, masks: np.ndarray, radius: int
-) -> np.ndarray:
+def link_shard(marks: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     """For members of a shard, ``home`` or asking, the leader of each one's class.
 
     Classes are those of the links between a member at home and any other member.
     """
     order = np.argsort(marks)
-    marks, home, spent = marks[order], home[order], spent[order].astype(np.int16)
+    marks, home = marks[order], home[order]
     forest = Forest(len(marks))
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home), spent[~home], 0)]
+    masks = level_masks(min(64, math.ceil(math.log2(max(2, home.sum() / LEAF)))))
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home), np.zeros((~home).sum(), np.int16), 0)]
     while todo:
         home, asks, used, level = todo.pop()
         parted = None
@@ -214,14 +213,15 @@ def _compare(marks: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int,
 # --- links and classes of the corpus ---
 
 
-def links(marks: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(marks: DataFrame, radius: int = RADIUS, shard_rows: int | None = None) -> DataFrame:
     """Edges ``(node, near)`` that connect all fingerprints of ``marks(fp)``, which are distinct, as far
     as chains of links at ``radius`` do; a shard gives one edge per member, never all pairs."""
     total = marks.count()
     if total == 0:
         return marks.select(F.col("fp").alias("node"), F.col("fp").alias("near"))
-    masks = level_masks(total)
-    levels = min(len(masks) - 1, max(0, math.ceil(math.log2(total / shard_rows))))
+    shard_rows = shard_rows or min(SHARD_MOST, max(SHARD_LEAST, total // 64))
+    levels = min(32, max(0, math.ceil(math.log2(total / shard_rows))))
+    masks = level_masks(levels)
     rows = keyed_sample(marks.select("fp"), "fp", SAMPLE).orderBy(F.xxhash64("fp")).collect()
     points, cuts = upper_tree(np.array([r.fp for r in rows], np.int64).view(np.uint64), masks, levels)
 
@@ -243,14 +243,14 @@ def links(marks: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
         .withColumn("_own", own.cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), "_own")))
         .withColumn("home", (F.col("spent") == 0) & (F.col("block") == F.col("_own")))
-        .select("shard", "block", "fp", "spent", "home")
+        .select("shard", "block", "fp", "home")
     )
 
     def within(frame):
         import pandas as pd
 
         fps = frame["fp"].to_numpy()
-        lead = link_shard(fps.view(np.uint64), frame["home"].to_numpy(), frame["spent"].to_numpy(), masks[levels:], radius)
+        lead = link_shard(fps.view(np.uint64), frame["home"].to_numpy(), radius)
         apart = lead != np.arange(len(lead))
         return pd.DataFrame({"node": fps[apart], "near": fps[lead[apart]]})
 
@@ -258,7 +258,7 @@ def links(marks: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int | None = None
 ) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest ``doc_id`` reachable
     over links of at most ``radius`` differing bits, of every row of ``docs``.

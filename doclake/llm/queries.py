@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import neardup, neighbours, packing, substrings, token_counts
+from doclake.llm import (
+    decontaminate,
+    licences,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    substrings,
+    surrogates,
+    token_counts,
+    toxicity,
+)
 from doclake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +42,39 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf, "documents"), VOCABULARY))
 
 
+@query(decontaminate.oracle())
+def op2_benchmark_passages(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start")
+
+
+@query()
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf, "labels")))
+
+
 @query()
 def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))
+
+
+@query()
+def op6_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf, "documents")).select("doc_id", "text", "n_chars")
+
+
+@query(licences.oracle())
+def op7_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
 @query()
 def op8_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")

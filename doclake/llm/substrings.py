@@ -142,7 +142,9 @@ def repeated_marks(marks: DataFrame, name: str) -> DataFrame:
     """For each document its marks that another document has, too: ``doc_id`` and the sorted list."""
     rows = marks.select("doc_id", F.explode("marks").alias("mark"))
     both = rows.groupBy("mark").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
-    shared = rows.join(both.where("_low < _high").select("mark"), "mark")
+    # a table of its own, so that the join deals both sides anew and a frequent mark can be split
+    repeated = staged(both.where("_low < _high").select("mark"), "repeated")
+    shared = rows.join(repeated, "mark")
     return shared.groupBy("doc_id").agg(F.collect_list("mark").alias(name))
 
 
@@ -254,12 +256,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     level_one = repeated_marks(owned.where("doc_id = _owner"), "_one")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     survivors = staged(texts.join(level_one, "doc_id"), "survivors")
-    level_two = repeated_marks(extend(survivors, width, levels[:1], second), "_two")
+    level_two = repeated_marks(staged(extend(survivors, width, levels[:1], second), "marks"), "_two")
     left = survivors.join(level_two, "doc_id").select("doc_id", "text", "_one", "_two")
     windows = staged(full_windows(left, width, levels[:2]), "windows")
 
     lowest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
-    later = windows.join(lowest.where("_low < _high").drop("_high"), ["high", "low"]).where("doc_id > _low")
+    lowest = staged(lowest.where("_low < _high").drop("_high"), "lowest")
+    later = windows.join(lowest, ["high", "low"]).where("doc_id > _low")
     places = later.groupBy("doc_id").agg(F.collect_list("at").alias("_places"))
     cut = remove(survivors.select("doc_id", "text").join(places, "doc_id"), width).distinct()
 

@@ -1,0 +1,114 @@
+"""Quality and toxicity: held-out accuracy on the given tables, fits on data with a known answer, edges."""
+
+import os
+import zlib
+
+import numpy as np
+import pytest
+
+from doclake.llm import quality, toxicity
+
+SF = "/root/testdata/sf0.01"
+DDL = "doc_id long, text string, score double, severity string"
+ODD = [(None, "no id", 1.0, "x"), (1, None, 1.0, "x"), (2, "", 1.0, "x"), (3, " \n", 1.0, "x"), (4, "w " * 60000, 1.0, "x"), (4, "w", 1.0, "x")]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    return [spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels")]
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_trees_on_a_known_rule():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(3000, len(quality.STATISTICS)))
+    marks = ((rows[:, 3] > 0.3) ^ (rows[:, 5] < -0.2)).astype(float)
+    forest = quality.fit(rows[:2000], marks[:2000], trees=60)
+    scores = forest.scores(rows[2000:])
+    assert ((scores >= 0.5) == (marks[2000:] > 0)).mean() > 0.97
+    walked = [forest.base] * 20  # the arrays against one tree and one row at a time
+    for i, row in enumerate(rows[:20]):
+        for t in range(len(forest.feature)):
+            node = 0
+            while node < forest.feature.shape[1]:
+                node = 2 * node + 1 + int(row[forest.feature[t, node]] > forest.cut[t, node])
+            walked[i] += forest.value[t, node - forest.feature.shape[1]]
+    assert np.allclose(1 / (1 + np.exp(-np.array(walked))), forest.scores(rows[:20]))
+
+
+def test_quality_held_out(spark, tables):
+    docs, labels = tables
+    rows = {r.doc_id: r for r in quality.score(docs, quality.learn(docs, labels)).collect()}
+    assert all(r.held_out == held_out(r.doc_id) and r.predicted == (r.score >= 0.5) for r in rows.values())
+    known = [(rows[r.doc_id].predicted, r.quality) for r in labels.collect() if held_out(r.doc_id)]
+    share = np.mean([a == b for a, b in known])
+    assert len(rows) == docs.count() and share > 0.9, share
+
+
+def test_toxicity_held_out(spark, tables):
+    docs, labels = tables
+    rows = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    known = [(rows[r.doc_id].p_toxic >= 0.5, r.toxic) for r in labels.collect() if held_out(r.doc_id)]
+    clean = np.mean([not a for a, b in known if b == 0])
+    caught = np.mean([a for a, b in known if b == 1])
+    assert clean > 0.97 and caught > 0.6, (clean, caught)
+    assert all(0 <= r.severity <= toxicity.GRADES - 1 and r.held_out == held_out(r.doc_id) for r in rows.values())
+
+
+def test_ordinal_fit_recovers_grades():
+    rng = np.random.default_rng(1)
+    rows = rng.poisson(0.7, size=(4000, 6)).astype(np.float32)
+    true = np.array([1.5, 1.0, -1.0, 0.0, 2.0, 0.0])
+    margin = rows @ true + rng.logistic(size=len(rows)) * 0.3
+    grades = np.digitize(margin, [0.5, 2.0, 4.0])
+    weights, cuts = toxicity.fit(rows, grades, 4)
+    assert np.all(np.diff(cuts) > 0) and np.corrcoef(weights, true)[0, 1] > 0.99
+    exceed = toxicity.Severity({}, weights, cuts).exceed(rows @ weights)
+    assert np.corrcoef(exceed.sum(1), grades)[0, 1] > 0.9
+    assert np.all(np.diff(exceed, axis=1) <= 0)
+
+
+def test_ordered_labels_are_the_grades(spark):
+    words = ["fine", "dull", "rude", "vile"]
+    rows = [(i, f"some text {words[i % 4]} {words[i % 4]} and more {i}", 0.0, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, DDL)
+    labels = spark.createDataFrame([(i, i % 4) for i in range(400)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert np.mean([r.grade == r.doc_id % 4 for r in found]) > 0.95
+
+
+def test_edges(spark, tables):
+    docs, labels = tables
+    odd = spark.createDataFrame(ODD, DDL)
+    forest, model = quality.learn(docs, labels), toxicity.learn(docs, labels)
+    scored, severe = quality.score(odd, forest).collect(), toxicity.score(odd, model).collect()
+    assert len(scored) == len(severe) == len(ODD)
+    assert all(0 <= r.score <= 1 for r in scored) and sum(r.doc_id is None and not r.held_out for r in scored) == 1
+    kept = toxicity.drop_toxic(odd, model)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+    assert quality.score(odd.where("false"), forest).count() == toxicity.score(odd.where("false"), model).count() == 0
+    none = labels.where("false")
+    assert quality.learn(docs, none).scores(np.zeros((1, len(quality.STATISTICS))))[0] == 0.5
+    quiet = toxicity.score(docs, toxicity.learn(docs, labels.where("toxic = 0"))).agg({"severity": "max"}).first()[0]
+    assert quiet < 0.01
+    nulls = spark.createDataFrame([(1, None, None), (None, 1, 1), (10**9, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.learn(docs, nulls) and toxicity.learn(docs, nulls)
+
+
+def test_statistics_see_whole_texts(monkeypatch):
+    from doclake.llm import pieces
+
+    text = "One two. two two!\n| a | b |\n" * 50
+    whole = quality.statistics(text)
+    counted = toxicity.Counted({"two": 0, "a": 1})
+    at, value = counted(text)
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 64)
+    monkeypatch.setattr(toxicity, "_SLICE", 17)
+    assert quality.statistics(text) == whole
+    again = counted(text)
+    assert dict(zip(at, value)) == dict(zip(*again))
