@@ -47,11 +47,12 @@ PHONE = (
     r"|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 )
 PERSON = (
-    rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\b\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_FIRST})[ ]{_NAME})(?!\p{{L}})"
+    rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\b\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_FIRST})[ ]{_NAME})(?!\p{{L}})"
 )
 PATTERN = "|".join([EMAIL, SECRET, ADDRESS, SOCIAL, CARD, PHONE, PERSON])
 #: What every entity holds: texts without it are not searched.
-HINT = rf"[@\d=:]|(?:{'|'.join(TITLES)}|{_FIRST})\.?[ ]"
+#: The look at the next letter spares most places the long list of names.
+HINT = rf"[@\d=:]|(?<!\p{{L}})(?=\p{{Lu}})(?:{'|'.join(TITLES)}|{_FIRST})\.?[ ]"
 
 
 def entities(text: Column) -> Column:
@@ -108,17 +109,20 @@ def scrambled(text: Column, stream: Column, skip: Column | None = None) -> Colum
     """``text`` with letters and digits moved within their rows; the n-th letter or digit takes the n-th
     byte, so that separators and case make no difference. The first ``skip`` characters stay."""
     rows = [*ROWS, *(row.upper() for row in ROWS), DIGITS]
+    letters = F.lit("".join(rows))
+    # for each letter in a row: where its row begins and how long it is
+    begins = [sum(map(len, rows[:k])) for k, row in enumerate(rows) for _ in row]
+    begins, sizes = (F.expr(f"array({','.join(map(str, v))})") for v in (begins, [len(row) for row in rows for _ in row]))
 
     def one(i: Column) -> Column:
         letter = F.substring(text, i, F.lit(1))
         at = F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        moved = letter
-        for row in rows:
-            place = F.instr(F.lit(row), letter)
-            # never to itself
-            new = F.pmod(place - 1 + 1 + F.pmod(_draw(stream, at), F.lit(len(row) - 1)), F.lit(len(row))) + 1
-            moved = F.when(place > 0, F.substring(F.lit(row), new, F.lit(1))).otherwise(moved)
-        return F.when(i <= skip, letter).otherwise(moved) if skip is not None else moved
+        place = F.instr(letters, letter) - 1
+        begin, size = F.get(begins, place), F.get(sizes, place)
+        step = 1 + F.pmod(_draw(stream, at), size - 1)  # never to itself
+        moved = F.substring(letters, begin + F.pmod(place - begin + step, size) + 1, F.lit(1))
+        kept = (place < 0) if skip is None else (place < 0) | (i <= skip)
+        return F.when(kept, letter).otherwise(moved)
 
     places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.transform(places, one), "")
@@ -181,16 +185,18 @@ def _person(entity: Column, key: str, attempt: Column) -> Column:
     first, surname = F.regexp_extract(names, r"^(.*?) ", 1), F.regexp_extract(names, r"([^ ]*)$", 1)
     bare = F.regexp_replace(title, r"[. ]", "")
     script = F.when(names.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    female = bare.isin(FEMALE_TITLES) | (
-        ~bare.isin(MALE_TITLES) & first.isin([n for s, pool in POOLS.items() if s.endswith(" female") for n in pool])
+    listed = lambda names: F.split(F.lit(" ".join(names)), " ")
+    women = [n for s, pool in POOLS.items() if s.endswith(" female") for n in pool]
+    female = F.array_contains(listed(FEMALE_TITLES), bare) | (
+        ~F.array_contains(listed(MALE_TITLES), bare) & F.array_contains(listed(women), first)
     )
     sort = F.concat_ws(" ", script, F.when(female, F.lit("female")).otherwise(F.lit("male")))
 
     def drawn(stream: Column) -> Column:
+        number = _draw(stream, F.lit(0)) * 256 + _draw(stream, F.lit(1))
         out = F.lit("")
         for name, pool in POOLS.items():
-            pick = F.element_at(F.array(*map(F.lit, pool)), F.pmod(_draw(stream, F.lit(0)) * 256 + _draw(stream, F.lit(1)), F.lit(len(pool))) + 1)
-            out = F.when(sort == name, pick).otherwise(out)
+            out = F.when(sort == name, F.get(listed(pool), F.pmod(number, F.lit(len(pool))))).otherwise(out)
         return out
 
     given = F.when(first == "", F.lit("")).otherwise(
