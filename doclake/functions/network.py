@@ -40,24 +40,36 @@ _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _GROUP = "[0-9a-f]{1,4}"
 
 
+# Scheme, authority and path; whatever characters the last two hold.
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+
+
+def _part(url: Column, group: int) -> Column:
+    """A part of ``url`` after leading blanks and control characters, line breaks and tabs are dropped."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return F.regexp_extract(clean, _URL, group)
+
+
 def url_host(url: Column) -> Column:
-    """Lower-case host of ``url`` without the brackets of an IPv6 literal; null if there is none."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    return F.nullif(F.btrim(host, F.lit("[]")), F.lit(""))
+    """Lower-case host of ``url`` without user, port and the brackets of an IPv6 literal; null if there is
+    none or its brackets do not match."""
+    place = F.substring_index(_part(url, 2), "@", -1)
+    literal = F.regexp_extract(place, r"^\[([^\[\]]*)\](?::[^\[\]]*)?$", 1)
+    host = F.when(F.contains(place, F.lit("[")) | F.contains(place, F.lit("]")), literal)
+    return F.nullif(F.lower(host.otherwise(F.substring_index(place, ":", 1))), F.lit(""))
 
 
 def url_admissible(url: Column) -> Column:
     """``http`` or ``https`` with a host; anything that does not parse is refused."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     return F.coalesce(
-        url.startswith("http") & scheme.isin("http", "https") & url_host(url).isNotNull(), F.lit(False)
+        url.startswith("http") & F.lower(_part(url, 1)).isin("http", "https") & url_host(url).isNotNull(), F.lit(False)
     )
 
 
 def url_basename(url: Column) -> Column:
     """Last path segment as a file-name hint; null when the path ends in a slash."""
     return F.nullif(
-        F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "[^/]*$", 0), F.lit("")
+        F.regexp_extract(_part(url, 3), "[^/]*$", 0), F.lit("")
     )
 
 

@@ -1,8 +1,10 @@
 """Top-k retrieval over a tenant, a document, or the cells of a coarse index.
 
 Inputs: ``questions`` (query_id, tenant_id, document_id or null, embedding) and ``chunks``
-(document_id, tenant_id, chunk_index, embedding, ...). A question with a document sees that
-document alone; one without sees its tenant. Ties are broken by document and chunk index.
+(document_id, tenant_id, chunk_index, text_hash, embedding, ...). A question with a document sees that
+document alone; one without sees its tenant. Ties are broken by document, chunk index and text hash.
+A stored chunk is known by its document and text hash: versions of a document may share chunk indexes.
+Rows without a vector take no part.
 
 Chunk vectors are scanned in place: questions travel to the chunks, in blocks of a checked size.
 Questions beyond one block are searched in several scans when they range over tenants, and by a
@@ -34,7 +36,7 @@ BROADCAST_HITS = 100_000
 # Up to this many documents, their ids go to the scan as a filter.
 PRUNED_DOCUMENTS = 1000
 
-CHUNK_ORDER = ["distance", "document_id", "chunk_index"]
+CHUNK_ORDER = ["distance", "document_id", "chunk_index", "text_hash"]
 
 
 def _scope(*parts: Column) -> Column:
@@ -74,11 +76,16 @@ def _scan(chunks: DataFrame, scope: Column, questions: Questions, k: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from search(batches, shared.value, k)
 
-    return (
-        chunks.where(F.col("embedding").isNotNull())
-        .select(scope.alias("scope"), "document_id", "chunk_index", "embedding")
-        .mapInArrow(run, PARTIAL_DDL)
-    )
+    return chunks.select(
+        scope.alias("scope"), "document_id", "chunk_index", "text_hash", "embedding"
+    ).mapInArrow(run, PARTIAL_DDL)
+
+
+def _searchable(chunks: DataFrame) -> DataFrame:
+    """Rows with a vector; a table without text hashes gets null ones."""
+    if "text_hash" not in chunks.columns:
+        chunks = chunks.withColumn("text_hash", F.lit(None).cast("string"))
+    return chunks.where(F.col("embedding").isNotNull())
 
 
 def _empty(chunks: DataFrame) -> DataFrame:
@@ -87,8 +94,11 @@ def _empty(chunks: DataFrame) -> DataFrame:
 
 def _search_documents(table: pa.Table, chunks: DataFrame, k: int) -> DataFrame:
     documents = table.column("document_id").unique().to_pylist()
+    tenants = table.column("tenant_id").unique().to_pylist()
     if len(documents) <= PRUNED_DOCUMENTS:
         chunks = chunks.where(F.col("document_id").isin(documents))
+    if len(tenants) <= PRUNED_DOCUMENTS:
+        chunks = chunks.where(F.col("tenant_id").isin(tenants))
     return _scan(chunks, _scope(F.col("tenant_id"), F.col("document_id")), _as_questions(table), k)
 
 
@@ -128,14 +138,14 @@ def _search_documents_shuffled(
     asks about ends up in a single task. Each group yields ``k`` rows per question.
     """
     key = ["tenant_id", "document_id"]
-    lengths = chunks.groupBy(*key).agg(block_of(F.max("chunk_index"), chunk_block).alias("_last"))
+    # a chunk without an index is searched in the first block
+    chunks = chunks.withColumn("_place", F.coalesce("chunk_index", F.lit(0)))
+    lengths = chunks.groupBy(*key).agg(block_of(F.max("_place"), chunk_block).alias("_last"))
     asked = questions.groupBy(*key).agg(
         F.ceil(F.count("*") / F.lit(question_block)).cast("long").alias("_parts")
     )
     grid = asked.join(lengths, key).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    narrow = chunks.select(*key, "chunk_index", "embedding").withColumn(
-        "_c", block_of(F.col("chunk_index"), chunk_block)
-    )
+    narrow = chunks.select(*key, "chunk_index", "text_hash", "embedding", block_of(F.col("_place"), chunk_block).alias("_c"))
     left = narrow.join(grid.select(*key, "_c", "_parts"), [*key, "_c"]).withColumn(
         "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
     )
@@ -150,7 +160,7 @@ def _search_documents_shuffled(
     )
     group = [*key, "_c", "_q"]
     # Fresh aliases: both sides may descend from the same table.
-    left = left.select(*[F.col(c).alias(f"c{c}") for c in group], "chunk_index", F.col("embedding").alias("x"))
+    left = left.select(*[F.col(c).alias(f"c{c}") for c in group], "chunk_index", "text_hash", F.col("embedding").alias("x"))
     left = left.withColumn("document_id", F.col("cdocument_id"))
     right = right.select(*[F.col(c).alias(f"q{c}") for c in group], "query_id", F.col("embedding").alias("q"))
 
@@ -182,7 +192,9 @@ def top_k(
     question_block: int = QUESTION_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
-    """Exact ``k`` nearest chunks per question: (query_id, document_id, chunk_index, distance, rank)."""
+    """Exact ``k`` nearest chunks per question: (query_id, document_id, chunk_index, text_hash, distance, rank)."""
+    chunks = _searchable(chunks)
+    questions = questions.where(F.col("embedding").isNotNull())
     asked = questions.select(
         "query_id", "tenant_id", "document_id", "embedding", F.array(_question_scope()).alias("scopes")
     )
@@ -209,11 +221,11 @@ def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Hits are staged first, so that the search runs once. A small set is sent to the chunk scan,
     which is cut down to the documents hit if they are few; a large one meets the chunks by a
-    shuffle on their unique (document, index) key.
+    shuffle on the store's key of document and text hash.
     """
     wanted = chunks.select(
         "document_id",
-        "chunk_index",
+        "text_hash",
         "chunk_text",
         "page_number",
         "sheet_name",
@@ -226,7 +238,7 @@ def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         if len(documents) <= PRUNED_DOCUMENTS:
             wanted = wanted.where(F.col("document_id").isin(documents))
         hits = F.broadcast(hits)
-    return wanted.join(hits, ["document_id", "chunk_index"])
+    return wanted.join(hits, ["document_id", "text_hash"])
 
 
 def cite_sources(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -258,25 +270,29 @@ class Cells:
         return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
-def train_cells(chunks: DataFrame, lists: int, seed: int = 42, rows_per_list: int = 256, rounds: int = 10) -> Cells:
-    """K-means centroids. Training reads a sample sized by ``lists``; every row is indexed later."""
+def train_cells(chunks: DataFrame, lists: int, seed: int = 42, rounds: int = 10) -> Cells:
+    """K-means centroids of all vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = chunks.count()
-    share = min(1.0, lists * rows_per_list / max(1, total))
-    rows = chunks.select("document_id", "chunk_index", "embedding")
-    if share < 1.0:
-        picked = F.pmod(F.xxhash64("document_id", "chunk_index", F.lit(seed)), F.lit(1_000_000))
-        rows = rows.where(picked < F.lit(int(share * 1_000_000)))
-    vectors = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
-    try:
-        model = KMeans(k=lists, seed=seed, maxIter=rounds).fit(vectors)
-    finally:
-        vectors.unpersist()
+    rows = chunks.where(F.col("embedding").isNotNull())
+    vectors = stage(rows.select("embedding"), "vectors").select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    )
+    model = KMeans(k=lists, seed=seed, maxIter=rounds).fit(vectors)
     return Cells(np.array(model.clusterCenters()))
 
 
+def mean_cells(labelled: DataFrame) -> Cells:
+    """Centroids as the means of the vectors of each ``label``, in the order of the labels: for data that
+    come with a clustering. There is one row per label and dimension."""
+    parts = labelled.where(F.col("embedding").isNotNull()).select("label", F.posexplode("embedding").alias("at", "x"))
+    means = parts.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("row"))
+    table = rows.orderBy("label").select(F.transform("row", lambda p: p["mean"]).alias("row")).toArrow()
+    return Cells(matrix(table.column("row")))
+
+
 def _nearest_udf(cells: Cells, n: int):
     """The ``n`` nearest cells of a vector; nondeterministic only to be run once per row."""
 
@@ -290,14 +306,13 @@ def _nearest_udf(cells: Cells, n: int):
 
 
 def assign_cells(chunks: DataFrame, cells: Cells) -> DataFrame:
-    """``chunks`` with the ``cell`` of each vector; one narrow pass."""
-    return chunks.withColumn("cell", _nearest_udf(cells, 1)("embedding")[0])
+    """``chunks`` that have a vector, with its ``cell``; one narrow pass."""
+    return _searchable(chunks).withColumn("cell", _nearest_udf(cells, 1)("embedding")[0])
 
 
-def write_cells(indexed: DataFrame, path: str, files_per_cell: int = 8) -> None:
-    """Store chunks by cell, several files each, so that a crowded cell is no single task."""
-    part = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(files_per_cell))
-    indexed.repartition("cell", part).write.partitionBy("cell").parquet(path)
+def write_cells(indexed: DataFrame, path: str) -> None:
+    """Store chunks by cell; a crowded cell is split into as many tasks and files as its size asks for."""
+    indexed.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path)
 
 
 def top_k_cells(
@@ -311,12 +326,14 @@ def top_k_cells(
     """Approximate tenant-wide search: only the ``probes`` cells nearest to a question are read."""
     pending = [(1, 0)]
     found: DataFrame | None = None
-    probed = questions.withColumn("_cells", _nearest_udf(cells, probes)("embedding")).select(
+    probed = questions.where(F.col("embedding").isNotNull())
+    probed = probed.withColumn("_cells", _nearest_udf(cells, probes)("embedding")).select(
         "query_id",
         "embedding",
         "_cells",
         F.transform("_cells", lambda c: _scope(F.col("tenant_id"), c.cast("string"))).alias("scopes"),
     )
+    probed = stage(probed, "probed")  # questions are encoded and placed once, however many slices follow
     scope = _scope(F.col("tenant_id"), F.col("cell").cast("string"))
     while pending:
         parts, part = pending.pop()

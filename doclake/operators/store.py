@@ -18,7 +18,7 @@ PRUNED_DOCUMENTS = 1000
 
 
 def first_occurrences(chunks: DataFrame) -> DataFrame:
-    """One row per (document, text hash): the one with the lowest chunk index.
+    """One row per (document, text hash): the one with the lowest chunk index; rows without one come last.
 
     Stated as an aggregate, not a window: copies collapse before the shuffle, so a text that
     makes up a third of the rows never lands in one task.
@@ -26,7 +26,7 @@ def first_occurrences(chunks: DataFrame) -> DataFrame:
     rest = [c for c in chunks.columns if c not in CHUNK_KEY]
     return (
         chunks.groupBy(*CHUNK_KEY)
-        .agg(F.min_by(F.struct(*rest), "chunk_index").alias("_row"))
+        .agg(F.min_by(F.struct(*rest), F.coalesce("chunk_index", F.lit(2**31 - 1))).alias("_row"))
         .select(*[F.col(c) if c in CHUNK_KEY else F.col(f"_row.{c}").alias(c) for c in chunks.columns])
     )
 
@@ -128,11 +128,8 @@ def with_chunk_index(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     missing = F.col("chunk_index").isNull() & F.col("document_id").isNotNull()
     keyed = chunks.where(missing).select("id", "document_id")
     ranked = dense_position(keyed, ["document_id"], ["id"], "_rank", block).select("id", "_rank")
-    return (
-        chunks.join(ranked, "id", "left")
-        .withColumn("chunk_index", F.coalesce("chunk_index", "_rank"))
-        .select(*chunks.columns)
-    )
+    filled = chunks.where(missing).join(ranked, "id", "left").withColumn("chunk_index", F.col("_rank"))
+    return chunks.where(~missing).unionByName(filled.select(*chunks.columns))
 
 
 def duplicate_keys(store: DataFrame) -> DataFrame:

@@ -20,11 +20,12 @@ PARTIAL = pa.schema(
         ("query_id", pa.string()),
         ("document_id", pa.string()),
         ("chunk_index", pa.int32()),
+        ("text_hash", pa.string()),
         ("distance", pa.float64()),
     ]
 )
-PARTIAL_DDL = "query_id string, document_id string, chunk_index int, distance double"
-_ORDER = [(name, "ascending") for name in ("query", "distance", "document_id", "chunk_index")]
+PARTIAL_DDL = "query_id string, document_id string, chunk_index int, text_hash string, distance double"
+_ORDER = [(name, "ascending") for name in ("query", "distance", "document_id", "chunk_index", "text_hash")]
 _PAIRS = 1 << 21
 _EXACT = 1 << 22
 
@@ -93,6 +94,7 @@ class Best:
                 "distance": pa.array(np.round(distance, DISTANCE_DECIMALS)),
                 "document_id": batch.column("document_id").take(taken),
                 "chunk_index": batch.column("chunk_index").take(taken),
+                "text_hash": batch.column("text_hash").take(taken),
             }
         )
         self._keep(found if self.rows is None else pa.concat_tables([self.rows, found]))
@@ -117,6 +119,7 @@ class Best:
                 "query_id": names.take(self.rows.column("query")),
                 "document_id": self.rows.column("document_id"),
                 "chunk_index": self.rows.column("chunk_index"),
+                "text_hash": self.rows.column("text_hash"),
                 "distance": self.rows.column("distance"),
             }
         ).cast(PARTIAL)
@@ -124,7 +127,7 @@ class Best:
 
 
 def search(batches: Iterable[pa.RecordBatch], questions: Questions, k: int) -> Iterator[pa.RecordBatch]:
-    """Best ``k`` per question over a task's batches (scope, document_id, chunk_index, embedding)."""
+    """Best ``k`` per question over a task's batches (scope, document_id, chunk_index, text_hash, embedding)."""
     best = Best(questions, k)
     for batch in batches:
         asked = pc.is_in(batch.column("scope"), value_set=questions.scopes)

@@ -320,8 +320,24 @@ def route_rejects(spark, sf):
 HOST = r"nullif(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '')"
 
 
+#: Urls that browsers accept and strict parsers refuse: pattern and replacement.
+ODD_URLS = {
+    "underscore": ("^(https?://)", r"\1a_b."),
+    "umlaut": ("^(https?://)", r"\1bü."),
+    "user": ("^(https?://)", r"\1me:secret@"),
+    "port": ("^(https?://[^/?#]+)", r"\1:8080"),
+    "space": ("^(https?://[^/?#]+)", r"\1/a b.pdf"),
+    "bracket": ("^(https?://[^/?#]+)", r"\1/r[1].pdf"),
+    "percent": ("^(https?://[^/?#]+)", r"\1/100%.pdf"),
+}
+SQL_ODD = " ".join(
+    f"UNION ALL SELECT page_id, '{name}', regexp_replace(url, '{pattern}', '{new}') FROM pages"
+    for name, (pattern, new) in ODD_URLS.items()
+)
+
+
 def _variants(spark, sf):
-    """Page urls as they are, with other schemes, and without a host."""
+    """Page urls as they are, with other schemes, without a host, and with odd but valid parts."""
     url = F.col("url")
 
     def variant(name, changed):
@@ -333,27 +349,30 @@ def _variants(spark, sf):
         variant("upper", F.regexp_replace(url, "^https?", "HTTP")),
         variant("file", F.regexp_replace(url, "^https?://[^/]*", "file://")),
         variant("no_host", F.regexp_replace(url, "^(https?://)[^/]*", "$1")),
+        *[variant(name, F.regexp_replace(url, pattern, new.replace("\\1", "$1"))) for name, (pattern, new) in ODD_URLS.items()],
     )
     return table(spark, sf, "pages").select("page_id", F.inline(made))
 
 
 @query(
-    r"""SELECT page_id, variant, url, variant = 'plain' AS admissible FROM (
+    rf"""SELECT page_id, variant, url, variant NOT IN ('ftp', 'upper', 'file', 'no_host') AS admissible FROM (
         SELECT page_id, 'plain' AS variant, url FROM pages
         UNION ALL SELECT page_id, 'ftp', regexp_replace(url, '^https?', 'ftp') FROM pages
         UNION ALL SELECT page_id, 'upper', regexp_replace(url, '^https?', 'HTTP') FROM pages
         UNION ALL SELECT page_id, 'file', regexp_replace(url, '^https?://[^/]*', 'file://') FROM pages
-        UNION ALL SELECT page_id, 'no_host', regexp_replace(url, '^(https?://)[^/]*', '\1') FROM pages)"""
+        UNION ALL SELECT page_id, 'no_host', regexp_replace(url, '^(https?://)[^/]*', '\1') FROM pages {SQL_ODD})"""
 )
 def url_admissible(spark, sf):
     return _variants(spark, sf).select("page_id", "variant", "url", net.url_admissible(F.col("url")).alias("admissible"))
 
 
 @query(
-    r"SELECT page_id, nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(?:/[^/?#]*)*?/([^/?#]*)(?:[?#].*)?$', 1), '') AS file_name FROM pages"
+    rf"""SELECT page_id, variant, nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(?:/[^/?#]*)*?/([^/?#]*)(?:[?#].*)?$', 1), '') AS file_name
+    FROM (SELECT page_id, 'plain' AS variant, url FROM pages {SQL_ODD})"""
 )
 def url_basename(spark, sf):
-    return table(spark, sf, "pages").select("page_id", net.url_basename(F.col("url")).alias("file_name"))
+    odd = _variants(spark, sf).where(F.col("variant").isin("plain", *ODD_URLS))
+    return odd.select("page_id", "variant", net.url_basename(F.col("url")).alias("file_name"))
 
 
 @query(

@@ -65,12 +65,11 @@ def is_refusal(spark, sf):
 
 @query(
     f"""SELECT conv_id, turn, round({sql_overlap('text', 'context')}, 6) AS overlap, {sql_grounded(MAYBE_REFUSED, 'context')} AS grounded
-    FROM ({REPLIES}) WHERE len({sql_words('text')}) > 0"""
+    FROM ({REPLIES})"""
 )
 def groundedness(spark, sf):
-    """Each reply against the turn before it, where it has words of four letters."""
-    said = replies(spark, sf).where(F.size(ans.distinct_words(F.col("text"))) > 0)
-    return said.select(
+    """Each reply against the turn before it; the overlap of a reply without words of four letters is null."""
+    return replies(spark, sf).select(
         "conv_id",
         "turn",
         F.round(ans.overlap(F.col("text"), F.col("context")), 6).alias("overlap"),

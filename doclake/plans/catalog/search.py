@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from doclake.functions import vectors as vec
-from doclake.operators import chunking, context as ctx, embedding, retrieval
+from doclake.operators import chunking, context as ctx, embedding, retrieval, store
 from doclake.plans.ask import rag_contexts
 from doclake.plans.catalog.base import (
     query,
@@ -60,7 +60,7 @@ SHORT = "SELECT query_id, document_id, chunk_index, round(distance, 6) AS distan
 
 
 def _rounded(hits):
-    return hits.withColumn("distance", F.round("distance", 6))
+    return hits.select("query_id", "document_id", "chunk_index", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(SHORT.format(_sql_top_k("tenant_id")))
@@ -102,7 +102,59 @@ def cosine_from_l2(spark, sf):
     return _neighbours(spark, sf).select("vec_id", F.round(cosine, 6).alias("cosine"))
 
 
-LISTS, PROBES = 20, 4
+@query(
+    f"""WITH v AS (SELECT * FROM ({VECTORS}) WHERE vec_id % 7 <> 0),
+    hits AS (
+        SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id, chunk_index))::INT AS rank
+        FROM (SELECT q.vec_id::VARCHAR AS query_id, c.document_id, c.chunk_index, round(list_distance(q.v, c.v), 9) AS distance
+              FROM ({VECTORS}) q JOIN v c ON q.document_id = c.document_id))
+    SELECT path, query_id, document_id, chunk_index, round(distance, 6) AS distance, rank
+    FROM hits, (VALUES ('one block'), ('shuffled')) p(path) WHERE rank <= 5"""
+)
+def topk_null_vectors(spark, sf):
+    """Chunks without a vector take no part, whichever way the questions go."""
+    chunks = vector_chunks(spark, sf).withColumn("embedding", F.when(F.col("chunk_index") % 7 != 0, F.col("embedding")))
+    asked = vector_questions(spark, sf, True)
+    paths = {"one block": {"question_block": 1 << 20}, "shuffled": {"question_block": 64, "chunk_block": 256}}
+    found = [_rounded(retrieval.top_k(asked, chunks, **b)).withColumn("path", F.lit(p)) for p, b in paths.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _versions(spark, sf):
+    """Vectors as chunks of two versions of each label: numbers restart with the edited version."""
+    return table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias("document_id"),
+        F.lit("default").alias("tenant_id"),
+        F.floor(F.col("vec_id") / 2).cast("int").alias("chunk_index"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("chunk_text"),
+        F.sha2(F.concat(F.lit("vector "), F.col("vec_id").cast("string")), 256).alias("text_hash"),
+        F.lit(None).cast("int").alias("page_number"),
+        F.lit(None).cast("string").alias("sheet_name"),
+        F.lit(None).cast("string").alias("chunk_type"),
+        "embedding",
+        (F.col("vec_id") % 2).alias("_version"),
+    )
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label::VARCHAR AS document_id, 'vector ' || vec_id AS chunk_text, vec_id // 2 AS n, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT query_id, rank, document_id, chunk_text, source_uri, chunk_type FROM (
+        SELECT q.vec_id::VARCHAR AS query_id, c.document_id, c.chunk_text, 'doc://' || c.document_id AS source_uri, 'paragraph' AS chunk_type,
+               (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, c.v), 9), c.n, sha256(c.chunk_text)))::INT AS rank
+        FROM v q JOIN v c ON q.document_id = c.document_id)
+    WHERE rank <= 4"""
+)
+def reingest_retrieve(spark, sf):
+    """A first version of every document, an edited one upserted after it, and retrieval over both."""
+    rows = _versions(spark, sf)
+    first = store.new_chunks(rows.where("_version = 0").drop("_version"), rows.limit(0))
+    both = first.unionByName(store.new_chunks(rows.where("_version = 1").drop("_version"), first))
+    documents = rows.select("document_id", F.concat(F.lit("doc://"), "document_id").alias("source_uri")).distinct()
+    hits = retrieval.retrieve(vector_questions(spark, sf, True).withColumn("tenant_id", F.lit("default")), both, documents, 4)
+    return hits.select("query_id", "rank", "document_id", "chunk_text", "source_uri", "chunk_type")
+
+
+LISTS, PROBES = 20, 3
 
 
 def _cells(spark, sf):
@@ -111,10 +163,31 @@ def _cells(spark, sf):
     return cells, retrieval.assign_cells(chunks, cells)
 
 
-@query()
+def _label_cells(spark, sf):
+    """Cells around the mean vector of each label: centroids that SQL can compute, too."""
+    cells = retrieval.mean_cells(table(spark, sf, "embeddings").select("label", "embedding"))
+    return cells, retrieval.assign_cells(vector_chunks(spark, sf), cells)
+
+
+SQL_IVF = f"""
+    WITH v AS ({VECTORS}),
+    c AS (SELECT label, list(m ORDER BY dim) AS m FROM (
+              SELECT label, dim, avg(x) AS m FROM (
+                  SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+              GROUP BY label, dim) GROUP BY label),
+    near AS (SELECT vec_id, tenant_id, document_id, chunk_index, v, label,
+                    row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v.v, c.m), label) AS place FROM v, c),
+    hits AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id, chunk_index))::INT AS rank
+             FROM (SELECT q.vec_id::VARCHAR AS query_id, x.document_id, x.chunk_index, round(list_distance(q.v, x.v), 9) AS distance
+                   FROM near q JOIN near x ON q.tenant_id = x.tenant_id AND q.label = x.label
+                   WHERE q.place <= {PROBES} AND x.place = 1))
+    SELECT query_id, document_id, chunk_index, distance, rank FROM hits WHERE rank <= 5"""
+
+
+@query(SHORT.format(SQL_IVF))
 def topk_ivf(spark, sf):
-    cells, indexed = _cells(spark, sf)
-    return retrieval.top_k_cells(vector_questions(spark, sf, False), indexed, cells, PROBES)
+    cells, indexed = _label_cells(spark, sf)
+    return _rounded(retrieval.top_k_cells(vector_questions(spark, sf, False), indexed, cells, PROBES))
 
 
 @query(SHORT.format(_sql_top_k("tenant_id")))
@@ -124,9 +197,12 @@ def topk_ivf_all_cells(spark, sf):
     return _rounded(retrieval.top_k_cells(vector_questions(spark, sf, False), indexed, cells, LISTS))
 
 
-@query()
+@query(
+    f"""SELECT count(*) AS expected, count(a.query_id) AS found, count(a.query_id) / count(*) AS recall
+    FROM ({_sql_top_k('tenant_id')}) e LEFT JOIN ({SQL_IVF}) a USING (query_id, document_id, chunk_index)"""
+)
 def ivf_recall(spark, sf):
-    cells, indexed = _cells(spark, sf)
+    cells, indexed = _label_cells(spark, sf)
     questions = vector_questions(spark, sf, False)
     return retrieval.recall(
         retrieval.top_k_cells(questions, indexed, cells, PROBES), retrieval.top_k(questions, vector_chunks(spark, sf))
@@ -297,3 +373,13 @@ def rag_context(spark, sf):
     chunks, documents = corpus(spark, sf)
     built = rag_contexts(benchmark_questions(spark, sf), chunks, documents)
     return built.select("query_id", "context", F.size("sources").cast("bigint").alias("n_sources"))
+
+
+@query("SELECT item_id::VARCHAR AS query_id, item_id % 2 = 0 AS from_memo FROM benchmark")
+def question_memo(spark, sf):
+    """The memo holds marked vectors for every second question: those must be taken, the others encoded."""
+    asked = benchmark_questions(spark, sf)
+    marked = F.array_repeat(F.lit(9.0).cast("float"), 384).alias("embedding")
+    memo = embedding.memo_keys(asked.where(F.col("query_id") % 2 == 0), "question", "query").select("memo_key", marked)
+    rows, _ = embedding.embed_with_memo(asked, memo.distinct(), "question", "query", ["query_id"])
+    return rows.select("query_id", (F.col("embedding")[0] == 9.0).alias("from_memo"))

@@ -118,6 +118,19 @@ def upsert_chunks(spark, sf):
     return store.new_chunks(source_chunks(spark, sf).drop("doc_id"), stored_chunks(spark, sf))
 
 
+@query(
+    f"""SELECT document_id, text_hash, coalesce(i, -1) AS chunk_index, chunk_text FROM (
+        SELECT *, CASE WHEN doc_id % 2 = 0 THEN chunk_index END AS i FROM ({SOURCE_CHUNKS}))
+    QUALIFY row_number() OVER (PARTITION BY document_id, text_hash ORDER BY i NULLS LAST) = 1"""
+)
+def upsert_null_index(spark, sf):
+    """Every second chunk has no index; its row is kept all the same."""
+    chunks = source_chunks(spark, sf)
+    chunks = chunks.withColumn("chunk_index", F.when(F.col("doc_id") % 2 == 0, F.col("chunk_index")))
+    kept = store.first_occurrences(chunks)
+    return kept.select("document_id", "text_hash", F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), "chunk_text")
+
+
 @query(
     f"""SELECT c.document_id, c.parsed, coalesce(n.inserted, 0)::BIGINT AS inserted, (c.parsed - coalesce(n.inserted, 0))::BIGINT AS skipped
     FROM (SELECT document_id, count(*) AS parsed FROM ({SOURCE_CHUNKS}) GROUP BY 1) c
@@ -182,13 +195,13 @@ def evolve_columns(spark, sf):
 
 @query(
     """SELECT DISTINCT md5('default:' || source) AS document_id, 'default' AS tenant_id, 'url' AS source_type, source AS source_uri
-    FROM documents WHERE source NOT IN (SELECT d.source FROM documents d JOIN benchmark b ON d.doc_id = b.item_id)"""
+    FROM documents WHERE source NOT IN (SELECT 'src' || r_regionkey FROM region)"""
 )
 def backfill_documents(spark, sf):
-    """Documents for legacy names, where the sources of the benchmark's ids exist already."""
-    listed = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
-    known = table(spark, sf, "documents").join(listed, "doc_id", "left_semi").select(
-        F.lit("default").alias("tenant_id"), F.col("source").alias("source_uri")
+    """Documents for legacy names, where the sources numbered like a region exist already."""
+    known = table(spark, sf, "region").select(
+        F.lit("default").alias("tenant_id"),
+        F.concat(F.lit("src"), F.col("r_regionkey").cast("string")).alias("source_uri"),
     )
     return store.backfilled_documents(legacy_chunks(spark, sf), known)
 

@@ -59,11 +59,19 @@ def ingest(
     vectors are staged too, since each is used more than once.
     """
     source_type = MODES[mode]
-    named = identified(files, tenant)
     rejects = None
     if mode != "folder":
-        named, rejects = fs.split_by_size(named, max_bytes)
-    units = fs.decode_staged(detect.detect_types(named), decoders)
+        # rejects are named without their bytes, which are not read
+        name = F.nullif(F.col("file_name"), F.lit(""))
+        name = F.coalesce("source_uri", name) if "source_uri" in files.columns else name
+        _, rejects = fs.split_by_size(files.withColumn("source_uri", name), max_bytes)
+        files = files.where(F.col("length") <= max_bytes)
+    named = identified(files, tenant)
+    # every file is decoded, sectioned and chunked by itself, also if another has its name: until then its
+    # key is the document and a number of its own, fixed when the units are staged
+    number = F.monotonically_increasing_id().cast("string")
+    typed = detect.detect_types(named).withColumn("document_id", F.concat_ws("#", "document_id", number))
+    units = fs.decode_staged(typed, decoders)
     errors = fs.unit_rejects(units)
     rejects = errors if rejects is None else rejects.unionByName(errors)
 
@@ -71,12 +79,12 @@ def ingest(
     if mode == "upload":
         seen = seen.where(F.col("file_type") != "unknown")
     arrivals = seen.select(
-        "document_id",
+        F.substring_index("document_id", "#", 1).alias("document_id"),
         F.lit(tenant).alias("tenant_id"),
         "source_uri",
         F.lit(source_type).alias("source_type"),
         (F.lit(None).cast("string") if mode == "folder" else F.col("text")).alias("checksum"),
-        F.lit(0).alias("seq"),
+        F.substring_index("document_id", "#", -1).cast("long").alias("seq"),
     )
 
     # Documents registered under another id (an older scheme) keep it; usually there are none.
@@ -89,11 +97,11 @@ def ingest(
         .select("document_id", "_known")
     )
     sections = fs.unit_sections(units).withColumn("tenant_id", F.lit(tenant))
+    parsed = chunking.chunk_sections(sections, **packing)
+    parsed = stage(parsed.withColumn("document_id", F.substring_index("document_id", "#", 1)), "parsed")
     if other.take(1):
-        renamed = join_unique(sections, other, "document_id", ["document_id", "position"])
-        sections = renamed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
-
-    parsed = stage(chunking.chunk_sections(sections, **packing), "parsed")
+        renamed = join_unique(parsed, other, "document_id", ["document_id", "chunk_index"])
+        parsed = renamed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
     if mode == "folder":
         kept = parsed.select("document_id").distinct()
         arrivals = (

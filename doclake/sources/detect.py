@@ -38,7 +38,7 @@ def _list_members(content: pd.Series) -> pd.Series:
         try:
             with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
                 return archive.namelist()
-        except zipfile.BadZipFile:
+        except Exception:  # whatever is odd about one archive, it has no members and the job goes on
             return None
 
     return pd.Series([names(data) for data in content], dtype=object)

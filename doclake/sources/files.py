@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -26,7 +25,7 @@ from doclake.schemas import (
 )
 from doclake.session import stage
 from doclake.sources import sections as sx
-from doclake.sources.decoders import DECODERS, PasswordProtected
+from doclake.sources.decoders import DECODERS, PasswordProtected, csv_cells
 
 REJECT_COLUMNS = ["source_uri", "file_type", "reason", "message"]
 
@@ -44,11 +43,13 @@ UNIT_BATCH = 4096
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Regular files of one folder, not of its subfolders: file_name, length, content.
+    """Regular files of one folder, not of its subfolders: file_name, length, modificationTime, content.
 
-    The content column is read only if something downstream selects it.
+    The content column is read only if something downstream selects it. Spark's readers pass over names
+    that begin with ``_`` or ``.``; such files are listed with null content, which decoding rejects.
     """
-    return (
+    names = hidden_files(spark, folder)
+    shown = (
         spark.read.format("binaryFile")
         .load(folder)
         .select(
@@ -58,6 +59,29 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
             "content",
         )
     )
+    return shown.unionByName(names) if names is not None else shown
+
+
+def hidden_files(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Regular files of a folder that Spark's readers pass over, from the file system's listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [
+        (s.getPath().getName(), s.getLen(), s.getModificationTime() / 1000)
+        for s in system.listStatus(path)
+        if s.isFile() and s.getPath().getName().startswith(("_", "."))
+    ]
+    # checksums that the local file system keeps beside its files are its own
+    found = [f for f in found if not (f[0].startswith(".") and f[0].endswith(".crc"))]
+    if not found:
+        return None
+    rows = spark.createDataFrame(found, "file_name string, length long, _seconds double")
+    return rows.select(
+        "file_name",
+        "length",
+        F.timestamp_seconds("_seconds").alias("modificationTime"),
+        F.lit(None).cast("binary").alias("content"),
+    )
 
 
 def split_by_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +110,10 @@ def decode(typed: DataFrame, decoders: dict[str, Callable] | None = None) -> Dat
     def units(file_type: str, content: bytes) -> list[dict]:
         if file_type == "unknown":
             return error(REASON_UNKNOWN, UNKNOWN_FORMAT)
+        if file_type not in table:
+            return error(REASON_NO_DECODER, f"No decoder for {file_type.upper()} was given")
+        if content is None:
+            return error(REASON_UNREADABLE, UNREADABLE.format(file_type.upper()))
         try:
             return list(table[file_type](bytes(content)))
         except PasswordProtected as problem:
@@ -153,7 +181,7 @@ def csv_rows(files: DataFrame) -> DataFrame:
             rows = [
                 (document, index, cells)
                 for document, content in zip(frame["document_id"], frame["content"])
-                for index, cells in enumerate(csv.reader(io.StringIO(bytes(content).decode("utf-8", "replace"))))
+                for index, cells in enumerate(csv_cells(bytes(content)))
             ]
             yield pd.DataFrame(rows, columns=["document_id", "row_idx", "values"])
 
@@ -178,6 +206,7 @@ def large_csv_sections(spark: SparkSession, path: str, block: int = BLOCK) -> Da
 
     @F.pandas_udf("array<string>")
     def cells(lines: pd.Series) -> pd.Series:
+        csv.field_size_limit(2**31 - 1)
         return pd.Series([next(csv.reader([line]), []) for line in lines], dtype=object)
 
     lines = spark.read.text(path).select(

@@ -142,13 +142,27 @@ def row_sections(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
-    """(document_id, sheet_idx, sheet_name, row_idx, col_idx, value) to value arrays, null as ``""``."""
+    """(document_id, sheet_idx, sheet_name, row_idx, col_idx, value) to value arrays up to the row's last
+    cell; null and absent cells are ``""``; of cells given twice the smaller value counts."""
     value = F.coalesce(F.col("value").cast("string"), F.lit("")).alias("v")
     return (
         cells.groupBy("document_id", "sheet_idx", "sheet_name", "row_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", value))).alias("_cells"))
+        .agg(F.array_sort(F.collect_list(F.struct("col_idx", value))).alias("_sorted"))
+        .withColumn(
+            "_cells",
+            F.map_from_entries(
+                F.filter("_sorted", lambda c, i: (i == 0) | (c["col_idx"] != F.get("_sorted", i - 1)["col_idx"]))
+            ),
+        )
         .select(
-            "document_id", "sheet_idx", "sheet_name", "row_idx", F.transform("_cells", lambda c: c["v"]).alias("values")
+            "document_id",
+            "sheet_idx",
+            "sheet_name",
+            "row_idx",
+            F.transform(
+                F.sequence(F.lit(0), F.array_max(F.map_keys("_cells"))),
+                lambda i: F.coalesce(F.col("_cells")[i], F.lit("")),
+            ).alias("values"),
         )
     )
 

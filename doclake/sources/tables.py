@@ -12,17 +12,18 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append") -> No
     documents.write.mode(mode).parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append", files_per_tenant: int = 64) -> None:
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Partition by tenant and keep a document's chunks together.
 
     Rows are laid out by document, so row-group statistics serve document filters; a long document
-    is cut into blocks and a large tenant into several files.
+    is cut into blocks. The number of files follows the data: partitions are rebalanced to the advisory
+    size, small ones joined and large ones split.
     """
-    place = F.pmod(
-        F.xxhash64("document_id", block_of(F.col("chunk_index"), BLOCK)), F.lit(files_per_tenant)
-    )
+    block = block_of(F.coalesce("chunk_index", F.lit(0)), BLOCK)
     (
-        chunks.repartition("tenant_id", place)
+        chunks.withColumn("_block", block)
+        .hint("rebalance", F.col("tenant_id"), F.col("document_id"), F.col("_block"))
+        .drop("_block")
         .sortWithinPartitions("tenant_id", "document_id", "chunk_index")
         .write.mode(mode)
         .partitionBy("tenant_id")

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from doclake.operators import answers as ans
+from doclake.operators import answers as ans, embedding, retrieval
 from doclake.operators.embedding import HashEncoder
 from doclake.plans.ask import ask
 from doclake.plans.ingest import ingest
@@ -13,10 +13,10 @@ from doclake.sources.decoders import PasswordProtected
 from doclake.streaming.ingest import file_stream, ingest_stream
 
 FILES = {
-    "q4.csv": b"Region,Revenue\nWest,4200000\nEast,3100000\nWest,4200000\n",
-    "other.csv": b"Region,Revenue\nWest,4200000\n",
+    "trees.csv": b"tree,height\noak,21\nelm,17\noak,21\n",
+    "other.csv": b"tree,height\noak,21\n",
     "locked.pdf": b"%PDF-1.4 LOCKED",
-    "pages.pdf": b"%PDF-1.4 one page about warranty months",
+    "pages.pdf": b"%PDF-1.4 one page about storks in spring",
     "broken.pdf": b"%PDF-1.4 BROKEN",
     "empty.pdf": b"%PDF-1.4 EMPTY",
     "junk.xyz": b"no commas here",
@@ -50,7 +50,7 @@ def test_ingest(spark, empty, mode):
     done = ingest(files(spark, FILES), *empty, mode=mode, max_bytes=60, decoders={"pdf": pdf})
     documents = {r.source_uri: r for r in done.documents.collect()}
     rejects = {r.source_uri: r.reason for r in done.rejects.collect()}
-    with_chunks = {"q4.csv", "other.csv", "pages.pdf"}
+    with_chunks = {"trees.csv", "other.csv", "pages.pdf"}
     registered = {
         "folder": with_chunks,
         "upload": set(FILES) - {"junk.xyz", "nothing.csv"},
@@ -62,14 +62,14 @@ def test_ingest(spark, empty, mode):
     names = {r.document_id: r.source_uri for r in documents.values()}
     chunks = {(names[r.document_id], r.chunk_index): r for r in done.chunks.collect()}
     assert {k: r.chunk_text for k, r in chunks.items()} == {
-        ("q4.csv", 0): "Region: West; Revenue: 4200000",
-        ("q4.csv", 1): "Region: East; Revenue: 3100000",
-        ("other.csv", 0): "Region: West; Revenue: 4200000",
-        ("pages.pdf", 0): "one page about warranty months",
+        ("trees.csv", 0): "tree: oak; height: 21",
+        ("trees.csv", 1): "tree: elm; height: 17",
+        ("other.csv", 0): "tree: oak; height: 21",
+        ("pages.pdf", 0): "one page about storks in spring",
     }
-    assert chunks["q4.csv", 0].chunk_type == "row" and chunks["pages.pdf", 0].page_number == 1
+    assert chunks["trees.csv", 0].chunk_type == "row" and chunks["pages.pdf", 0].page_number == 1
     assert all(len(r.embedding) == 384 for r in chunks.values())
-    assert {names[r.document_id]: r.chunks_stored for r in done.report.collect()} == {"q4.csv": 3, "other.csv": 1, "pages.pdf": 1}
+    assert {names[r.document_id]: r.chunks_stored for r in done.report.collect()} == {"trees.csv": 3, "other.csv": 1, "pages.pdf": 1}
     assert done.memo.count() == 3
 
     again = ingest(files(spark, FILES), done.documents, done.chunks, done.memo, mode=mode, max_bytes=60, decoders={"pdf": pdf})
@@ -77,6 +77,38 @@ def test_ingest(spark, empty, mode):
     assert {r.document_id for r in again.documents.collect()} == set(names)
 
 
+def test_two_files_of_one_name_are_kept_apart(spark, empty):
+    contents = [b"tree,height\noak,21\n", b"bird,nest\nstork,chimney\nswift,roof\n", b"tree,height\noak,21\n"]
+    rows = [("list.csv", len(c), bytearray(c)) for c in contents]
+    done = ingest(spark.createDataFrame(rows, "file_name string, length long, content binary").repartition(2), *empty)
+    texts = sorted(r.chunk_text for r in done.chunks.collect())
+    assert texts == ["bird: stork; nest: chimney", "bird: swift; nest: roof", "tree: oak; height: 21"]
+    assert done.documents.count() == 1 and done.report.first().chunks_stored == 4
+
+
+def test_an_edited_document_is_retrieved_by_version(spark, empty):
+    first = ingest(files(spark, {"list.csv": b"tree,height\noak,21\nelm,17\n"}), *empty)
+    edited = files(spark, {"list.csv": b"tree,height\noak,22\nelm,18\n"})
+    stored = first.chunks.cache()
+    second = ingest(edited, first.documents, stored, first.memo)
+    chunks = stored.unionByName(second.chunks).cache()
+    assert chunks.count() == 4
+    asked = embedding.embed(spark.createDataFrame([("q", "default", None, "How high is the oak?")], "query_id string, tenant_id string, document_id string, question string"), "question", "query")
+    hits = retrieval.retrieve(asked, chunks, second.documents, 4).collect()
+    assert sorted(r["rank"] for r in hits) == [1, 2, 3, 4] and len({r.chunk_text for r in hits}) == 4
+
+
+def test_rejects_by_size_do_not_read_bytes(spark, empty, tmp_path):
+    (tmp_path / "big.csv").write_bytes(b"a,b\n" + b"1,2\n" * 100)
+    (tmp_path / "small.csv").write_bytes(b"a,b\n1,2\n")
+    done = ingest(fs.scan_folder(spark, str(tmp_path)), *empty, max_bytes=100)
+    sized = done.rejects.where("reason = 'too_large'")
+    assert [r.source_uri for r in sized.collect()] == ["big.csv"] and done.chunks.count() == 1
+    plan = done.rejects._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "binaryFile" in line]
+    assert scans and not any("content#" in line.split("Batched")[0] for line in scans)
+
+
 def test_size_cap_applies_to_uploads_only(spark, empty):
     big = {"big.csv": b"a,b\n" + b"1,2\n" * 50}
     done = ingest(files(spark, big), *empty, mode="upload", max_bytes=100)
@@ -85,8 +117,8 @@ def test_size_cap_applies_to_uploads_only(spark, empty):
 
 
 def test_known_documents_keep_their_id(spark, empty):
-    known = spark.createDataFrame([("legacy-id", "default", "url", "q4.csv", "old", None)], DOCUMENTS)
-    done = ingest(files(spark, {"q4.csv": FILES["q4.csv"]}), known, *empty[1:])
+    known = spark.createDataFrame([("legacy-id", "default", "url", "trees.csv", "old", None)], DOCUMENTS)
+    done = ingest(files(spark, {"trees.csv": FILES["trees.csv"]}), known, *empty[1:])
     assert {r.document_id for r in done.chunks.collect()} == {"legacy-id"}
     row = done.documents.first()
     assert row.document_id == "legacy-id" and row.checksum != "old"
@@ -98,13 +130,13 @@ def test_ask(spark, empty):
     document = {r.source_uri: r.document_id for r in documents.collect()}
     questions = spark.createDataFrame(
         [
-            ("1", 0, "default", document["q4.csv"], "n", "What is the revenue of East?"),
-            ("2", 1, "default", document["q4.csv"], "n", "boom"),
-            ("3", 2, "default", document["q4.csv"], "n", "   "),
+            ("1", 0, "default", document["trees.csv"], "n", "How high is the elm?"),
+            ("2", 1, "default", document["trees.csv"], "n", "boom"),
+            ("3", 2, "default", document["trees.csv"], "n", "   "),
             ("4", 3, "default", "unknown-document", "n", "Anything?"),
-            ("5", 4, "default", None, "n", "one page about warranty months"),
+            ("5", 4, "default", None, "n", "one page about storks in spring"),
             ("6", 5, "default", None, "n", "stored question"),
-            ("7", 6, "default", document["q4.csv"], "n", "What is the revenue of East?"),
+            ("7", 6, "default", document["trees.csv"], "n", "How high is the elm?"),
         ],
         "query_id string, pos int, tenant_id string, document_id string, namespace string, question string",
     )
@@ -127,7 +159,7 @@ def test_ask(spark, empty):
     }
     assert [r.pos for r in sorted(rows.values(), key=lambda r: r.query_id)] == list(range(7))
     assert rows["1"].answer == rows["7"].answer and len(rows["1"].sources) == 2
-    assert {s.document_id for s in rows["1"].sources} == {document["q4.csv"]}
+    assert {s.document_id for s in rows["1"].sources} == {document["trees.csv"]}
     assert rows["5"].sources[0].source_uri == "pages.pdf"
     assert rows["2"].sources == [] and rows["4"].low_confidence and rows["6"].answer == "from memo"
     assert result.memo.count() == 3

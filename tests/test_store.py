@@ -103,7 +103,7 @@ def test_dense_position_with_one_key_holding_most_rows(spark):
 def test_hot_keys_are_bounded_and_joined_once(spark):
     left = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id)) AS k")
     right = left.groupBy("k").agg(F.min("id").alias("first"))
-    assert [r.k for r in hot_keys(left, "k").collect()] == ["hot"]
-    rows = join_unique(left, right.where("k <> 'k1'"), "k", ["id"]).collect()
+    assert [(r.k, r._salts) for r in hot_keys(left, "k", 500).collect()] == [("hot", 4)]
+    rows = join_unique(left, right.where("k <> 'k1'"), "k", ["id"], 500).collect()
     assert len(rows) == 5000
     assert all(r.first == (0 if r.k == "hot" else None if r.k == "k1" else r.id) for r in rows)
