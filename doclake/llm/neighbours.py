@@ -1,9 +1,13 @@
-"""Nearest vectors by largest inner product: a vantage-point tree per shard, with relaxed pruning.
+"""Nearest vectors by largest inner product: vantage-point trees per shard, with relaxed pruning.
 
 An inner product becomes a distance by one more coordinate, ``sqrt(M**2 - |x|**2)`` for a stored vector
 (``M`` the largest norm) and 0 for a query: then ``|q - x|**2 = |q|**2 + M**2 - 2 q.x``, so the nearest are
 those of the largest inner product and the triangle inequality holds. A branch is left out when it is
 farther than the worst of the best found, divided by ``factor``: 1 is exact, a larger one prunes more.
+
+If ``M`` or ``|q|`` were far above the norms of the vectors, all distances would be about alike, and a relaxed
+search would leave out nearly everything. So a shard has a tree for each band of norms within a factor of
+``BAND``, with the ``M`` of its own vectors, and queries are scaled to that norm, which changes no ranking.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ FACTOR = 2.0
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 LEAF = 64
+#: The largest norm of a tree is at most so many times its smallest.
+BAND = 1.25
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -35,9 +41,11 @@ def usable(vectors: DataFrame) -> DataFrame:
 class Tree:
     """A vantage-point tree over the rows of ``points`` in the distance described above."""
 
-    def __init__(self, points: np.ndarray, reach: float, leaf: int = LEAF):
-        self.points, self.reach = points, reach
-        self.extra = np.sqrt(np.maximum(0.0, reach - np.einsum("nd,nd->n", points, points)))
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+        self.ids, self.points = ids, points
+        norms = np.einsum("nd,nd->n", points, points)
+        self.reach = float(norms.max())
+        self.extra = np.sqrt(np.maximum(0.0, self.reach - norms))
         self.leaf = leaf
         self.root = self._build(np.arange(len(points)))
 
@@ -57,13 +65,32 @@ class Tree:
         return pivot, inside, outside, self._build(rows[left]), self._build(rows[~left])
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float):
-    """Scores and ids of the ``k`` best of ``tree`` for every query but rows with the query's own id;
-    where fewer exist the score is -inf. Ties go to the smaller id. Queries go down together."""
+def banded(ids: np.ndarray, points: np.ndarray, band: float = BAND) -> list[Tree]:
+    """A tree for each band of norms, the largest norms first."""
+    norms = np.sqrt(np.einsum("nd,nd->n", points, points))
+    level = np.floor(np.log(np.maximum(norms, np.finfo(float).tiny)) / np.log(band))
+    return [Tree(ids[level == one], points[level == one]) for one in np.unique(level)[::-1]]
+
+
+def search(trees: list[Tree], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float):
+    """Scores and ids of the ``k`` best of ``trees`` for every query but rows with the query's own id;
+    where fewer exist the score is -inf. Ties go to the smaller id. Queries go down together, and not into
+    trees whose norms are too small for them."""
     n = len(queries)
     best, best_ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    norms = np.einsum("nd,nd->n", queries, queries)
-    slack = 1e-9 * (1 + tree.reach)
+    lengths = np.sqrt(np.einsum("nd,nd->n", queries, queries))
+    for tree in trees:
+        most = lengths * np.sqrt(tree.reach) * (1 + 1e-9)
+        _search(tree, np.flatnonzero(most >= best[:, -1]), queries, query_ids, lengths, best, best_ids, factor)
+    return best, best_ids
+
+
+def _search(tree: Tree, all_: np.ndarray, queries, query_ids, lengths, best, best_ids, factor: float) -> None:
+    """Betters ``best`` and ``best_ids`` of the queries ``all_`` by the vectors of one tree."""
+    ids, k = tree.ids, best.shape[1]
+    scale = np.where(lengths > 0, np.sqrt(tree.reach) / np.where(lengths > 0, lengths, 1.0), 1.0)
+    norms = (lengths * scale) ** 2
+    slack = 1e-7 * np.sqrt(tree.reach)
 
     def offer(some: np.ndarray, rows: np.ndarray) -> None:
         for begin in range(0, len(rows), 256):
@@ -79,7 +106,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
             best[at], best_ids[at] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
 
     def reach_of(some: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, norms[some] + tree.reach - 2 * best[some, -1])) / factor + slack
+        return np.sqrt(np.maximum(0.0, norms[some] + tree.reach - 2 * scale[some] * best[some, -1])) / factor + slack
 
     def descend(node, some: np.ndarray) -> None:
         if not len(some):
@@ -88,7 +115,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
             offer(some, node)
             return
         pivot, inside, outside, left, right = node
-        products = queries[some] @ tree.points[pivot]
+        products = scale[some] * (queries[some] @ tree.points[pivot])
         far = np.sqrt(np.maximum(0.0, norms[some] + tree.reach - 2 * products))
         nearer = far <= (inside + outside) / 2
         for first, second, chosen in ((left, right, nearer), (right, left, ~nearer)):
@@ -97,8 +124,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
             bound = outside - gap if second is right else gap - inside
             descend(second, mine[bound <= reach_of(mine)])
 
-    descend(tree.root, np.arange(n))
-    return best, best_ids
+    descend(tree.root, all_)
 
 
 def _matrix(table) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +156,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     stored, asked = staged(usable(vectors), "vectors"), staged(usable(queries).dropDuplicates(["vec_id"]), "queries")
-    norm = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    n, reach = stored.agg(F.count("*"), F.max(norm)).first()
-    shards = partitions_for(spark, n, shard_rows)
+    shards = partitions_for(spark, stored.count(), shard_rows)
     blocks = max(1, -(-asked.count() // query_rows))
-    reach = float(reach or 0.0)
 
     def dealt(frame: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
         key = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(parts)).cast("int")
@@ -146,7 +169,7 @@ def nearest(
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             (ids, points), (query_ids, rows) = _matrix(left), _matrix(right)
-            scores, near = search(Tree(points, reach), ids, rows, query_ids, k, factor)
+            scores, near = search(banded(ids, points), rows, query_ids, k, factor)
             q, rank = np.nonzero(scores > -np.inf)
             found = [query_ids[q], near[q, rank], scores[q, rank]]
         return pa.table(found, names=["query_id", "vec_id", "score"])

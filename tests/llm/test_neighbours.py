@@ -74,3 +74,20 @@ def test_rows_that_take_no_part(spark):
     got = lists(neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0")))
     assert got == {0: [(20, 0.5), (20, 0.5), (7, 0.0)], 20: [(0, 0.5), (7, -0.5)]}
     assert neighbours.nearest(vectors.where("false"), vectors).count() == 0
+
+
+@pytest.mark.parametrize("mix", ["one long vector", "mixed norms", "long queries"])
+def test_relaxed_recall_does_not_hang_on_the_norms(spark, mix):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(1500, 16))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    if mix == "one long vector":
+        rows[7] *= 30
+    if mix == "mixed norms":
+        rows *= rng.lognormal(0, 1, (1500, 1))
+    ids, asked = np.arange(1500), rows[::20] * (30 if mix == "long queries" else 1)
+    rows, asked = (x.astype(np.float32).astype(np.float64) for x in (rows, asked))
+    got = lists(neighbours.nearest(frame(spark, ids, rows), frame(spark, ids[::20], asked), shard_rows=200))
+    want = brute(ids, rows, ids[::20], asked, 20)
+    hits = sum(s >= want[q][-1][1] - 1e-6 for q, near in got.items() for _, s in near)
+    assert hits >= 0.9 * sum(map(len, want.values()))
