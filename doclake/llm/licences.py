@@ -1,6 +1,8 @@
 """Licences named in documents: known sentences, then rules over the sequence of their identifiers.
 
-Every sentence is normalised and looked up; the identifiers of a document's known sentences, in order, form
+Texts are cut at sentence ends and line breaks. Every piece is normalised and looked up, and so are runs of
+pieces within a paragraph, as licence texts are wrapped, stand in comments and have colons and abbreviations
+inside their sentences; of overlapping runs the longest counts. The identifiers of a document's known sentences, in order, form
 its sequence. Rules are tried in order, most specific first: a rule that matches takes its identifiers out of
 the sequence, so that a later, more general rule does not see them again.
 """
@@ -87,6 +89,13 @@ RULES = [
 #: Ends of sentences and lines, and what normalisation turns into one space.
 ENDS = r"[.!?;:][ \t\r\f]+|[ \t\r\f]*\n[ \t\r\f\n]*"
 OTHER = r"[^a-z0-9]+"
+#: Pieces of a wrapped sentence.
+RUN = 24
+_KNOWN = [s for some in SENTENCES.values() for s in some]
+LONGEST = max(map(len, _KNOWN))
+#: Texts without the first two words of a known sentence are not cut.
+HINT = "(?i)(?:" + "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for s in _KNOWN})) + ")"
+FIRST = r"^\|?(?:" + "|".join(sorted({s.split()[0] for s in _KNOWN})) + ")(?: |$)"
 
 
 def normalised(sentence: Column) -> Column:
@@ -100,15 +109,52 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(entries))
 
 
+def _pieces(text: Column) -> Column:
+    """The normalised pieces of a text; one that begins a paragraph has a bar before it. Blank lines and lines
+    of comment marks alone part paragraphs."""
+    marked = F.regexp_replace(text, r"\n[ \t\r\f]*\n[ \t\r\f\n]*", "\n\u0001")
+
+    def one(piece: Column) -> Column:
+        apart = piece.startswith("\u0001") | piece.rlike(r"^[^A-Za-z0-9]+$")
+        # a known sentence has at least one letter for each of its own, and little between them
+        said = F.when(F.length(piece) <= 4 * LONGEST, normalised(piece)).otherwise(F.lit("|"))
+        return F.concat(F.when(apart, F.lit("|")).otherwise(F.lit("")), said)
+
+    return F.transform(F.split(marked, ENDS), one)
+
+
+def _matches(pieces: Column) -> Column:
+    """``place``, ``n`` and ``ident`` of the longest known run that begins at each piece."""
+    known = F.create_map(*[F.lit(x) for ident, some in SENTENCES.items() for s in some for x in (s, ident)])
+
+    def run(place: Column, n: Column) -> Column:
+        said = F.array_join(F.array_remove(F.slice(pieces, place + 1, n), ""), " ")
+        ident = F.try_element_at(known, F.regexp_replace(said, r"^\|", ""))
+        return F.struct(place.alias("place"), n.alias("n"), ident.alias("ident"))
+
+    def longest(place: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(pieces) - place)), lambda n: run(place, n))
+        return F.element_at(F.filter(F.concat(F.array(F.struct(place.alias("place"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("ident"))), runs), lambda m: m["ident"].isNotNull() | (m["n"] == 0)), -1)
+
+    begins = F.transform(pieces, lambda piece, i: F.when(piece.rlike(FIRST), i))
+    found = F.filter(F.transform(F.array_compact(begins), longest), lambda m: m["n"] > 0)
+    return found
+
+
+def _uncovered(found: Column) -> Column:
+    """Matches without those inside a longer one that begins earlier."""
+    wide = F.filter(found, lambda m: m["n"] > 1)
+    inside = lambda m: F.exists(wide, lambda w: (w["place"] < m["place"]) & (m["place"] < w["place"] + w["n"]))
+    return F.filter(found, lambda m: ~inside(m))
+
+
 def known_sentences(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``place`` and ``ident`` of every known sentence; the dictionary's size is fixed."""
-    # the outer form, as the plain one would split every text twice: once to see whether anything comes out
-    split = docs.select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split("text", ENDS)).alias("place", "raw"))
-    longest = max(len(s) for some in SENTENCES.values() for s in some)
-    # a known sentence has at least one letter for each of its own, and little between them
-    likely = split.where(F.length("raw").between(8, 4 * longest))
-    sentences = likely.select("doc_id", "place", normalised(F.col("raw")).alias("sentence"))
-    return sentences.join(F.broadcast(dictionary(docs.sparkSession)), "sentence").select("doc_id", "place", "ident")
+    # values are bound to columns by generators, so that they are computed once
+    rows = docs.where(F.col("text").rlike(HINT)).select(F.col("doc_id").cast("long"), "text")
+    cut = rows.select("doc_id", F.explode_outer(F.array(_pieces(F.col("text")))).alias("pieces"))
+    met = cut.select("doc_id", F.explode_outer(F.array(_matches(F.col("pieces")))).alias("found"))
+    return met.select("doc_id", F.explode(_uncovered(F.col("found"))).alias("m")).select("doc_id", "m.place", "m.ident")
 
 
 def _apply(rules: list[tuple[str, list[str]]], sequence: Column) -> Column:

@@ -53,3 +53,55 @@ def test_dictionary_is_normalised(spark):
 
 def test_empty(docs):
     assert licences.scan_licences(docs.where("false")).count() == 0
+
+
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "GPL-3.0-or-later": """/*
+ * Copyright (C) 2020 Somebody
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */""",
+    "BSD-3-Clause": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 3. Neither the name of the copyright holder nor the names of its
+#    contributors may be used to endorse or promote products derived from
+#    this software without specific prior written permission.""",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public\r
+// License, v. 2.0. If a copy of the MPL was not distributed""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0
+# (the "License");
+# you may not use this file except in compliance
+# with the License.""",
+}
+
+
+def test_wrapped_texts(spark):
+    rows = [(i, text) for i, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: (r.licences, r.sequence) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: l for i, (l, _) in got.items()} == dict(enumerate(WRAPPED))
+    assert got[0][1] == "<mit-grant><mit-notice>" and got[1][1] == "<gpl-redistribute><gpl-hope>"
+    assert got[2][1] == "<bsd-grant><bsd-endorse>" and got[4][1] == "<apache-grant><apache-grant>"
+
+
+def test_paragraphs_are_not_joined(spark):
+    rows = [(1, "Licensed under the\n\nMIT License agreement"), (2, "licensed under\n *\n * the MIT license")]
+    assert licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
