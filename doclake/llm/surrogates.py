@@ -5,7 +5,9 @@ that all its spellings are one entity. Its surrogate is drawn from a keyed hash
 letters become letters of the same case, script and sort (vowel or consonant), digits digits, punctuation
 stays; first names become first names of the same gender and script; addresses stay valid, and card numbers
 keep whether their check digit holds. All entities of the corpus are then checked: where two would share a
-surrogate, or a surrogate is itself an entity, the later ones draw again.
+surrogate, or a surrogate is itself an entity, the later ones draw again. Draws keep length and sorts of
+letters, so a class of short values can run full; from the ``WIDEN``-th attempt on, entities draw from a wider
+class: any octets, longer names, local parts and secrets, telephone numbers of 23 digits.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from doclake.llm.common import staged
 
 KEY = "change me"
 ROUNDS = 40
+#: The attempt from which an entity may leave its class.
+WIDEN = 6
 
 # Titles by gender, first names by gender and script.
 MALE_TITLES = ["Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur", "Sir"]
@@ -128,20 +132,30 @@ def scrambled(text: Column, stream: Column, skip: Column | None = None) -> Colum
     return F.array_join(F.transform(places, one), "")
 
 
+#: Letters that stand for hexadecimal digits in a longer name.
+_LONGER = {"latin": "aeioubdfgklmnprt", "cyrillic": "аеиоубдгклмнпрст", "greek": "αειουβδγκλμνπρστ"}
+
+
+def _more(key: str, kind: str, name: Column, attempt: Column) -> Column:
+    """Hexadecimal digits to add to a value that left its class, none before; more with every attempt."""
+    digits = F.substring(_stream(key, f"more {kind}", name, attempt), F.lit(1), 8 + 2 * (attempt - WIDEN))
+    return F.when(attempt >= WIDEN, digits).otherwise(F.lit(""))
+
+
 def _email(entity: Column, key: str, attempt: Column) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     ending = F.regexp_extract(domain, r"\.[A-Za-z]+$", 0)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending))
     ours = _let(_stream(key, "email", F.lower(entity), attempt), lambda s: scrambled(local, s))
     theirs = _let(_stream(key, "domain", F.lower(domain), F.lit(0)), lambda s: scrambled(name, s))
-    return F.concat(ours, F.lit("@"), theirs, ending)
+    return F.concat(ours, _more(key, "email", F.lower(entity), attempt), F.lit("@"), theirs, ending)
 
 
 def _address(entity: Column, key: str, attempt: Column) -> Column:
     def octet(part: Column, i: Column, stream: Column) -> Column:
         n, k = part.cast("int"), _draw(stream, i * 3) * 256 + _draw(stream, i * 3 + 1)
-        low = F.when(n < 10, 0).when(n < 100, 10).otherwise(100)
-        size = F.when(n < 10, 10).when(n < 100, 90).otherwise(156)
+        low = F.when((n < 10) | (attempt >= WIDEN), 0).when(n < 100, 10).otherwise(100)
+        size = F.when(attempt >= WIDEN, 256).when(n < 10, 10).when(n < 100, 90).otherwise(156)
         return (low + F.pmod(n - low + k, size)).cast("string")
 
     stream = _stream(key, "address", entity, attempt)
@@ -171,10 +185,15 @@ def _card(entity: Column, key: str, attempt: Column) -> Column:
 
 
 def _phone(entity: Column, kind: str, key: str, attempt: Column) -> Column:
-    """The country code stays."""
+    """The country code stays, unless a telephone number leaves its class."""
     code = F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
     stream = _stream(key, kind, F.regexp_replace(entity, r"\D", ""), attempt)
-    return _let(stream, lambda s: scrambled(entity, s, code))
+    near = _let(stream, lambda s: scrambled(entity, s, code))
+    if kind == "social":
+        return near  # a thousand million of one form
+    digits = F.translate(F.substring(stream, F.lit(1), F.lit(23)), "abcdef", "012345")
+    wide = F.regexp_replace(digits, r"^(\d{3})(\d{4})(\d{4})(\d{4})(\d{4})(\d{4})$", "+$1 $2 $3 $4 $5 $6")
+    return F.when(attempt >= WIDEN, wide).otherwise(near)
 
 
 def _person(entity: Column, key: str, attempt: Column) -> Column:
@@ -204,7 +223,12 @@ def _person(entity: Column, key: str, attempt: Column) -> Column:
     )
     # drawing again changes the surname of this person alone
     family = _let(_stream(key, "surname", F.when(attempt > 0, F.lower(names)).otherwise(F.lower(surname)), attempt), lambda s: scrambled(surname, s))
-    return F.concat(title, given, family)
+    more = _more(key, "surname", F.lower(names), attempt)
+    letters = F.when(script == "cyrillic", F.translate(more, "0123456789abcdef", _LONGER["cyrillic"])).when(
+        names.rlike(r"\p{IsGreek}"), F.translate(more, "0123456789abcdef", _LONGER["greek"])
+    )
+    more = F.coalesce(letters, F.translate(more, "0123456789abcdef", _LONGER["latin"]))
+    return F.concat(title, given, family, more)
 
 
 def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -213,6 +237,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
     secret = F.concat(
         F.substring(entity, F.lit(1), F.length(entity) - F.length(value)),
         _let(_stream(key, "secret", value, attempt), lambda s: scrambled(value, s)),
+        _more(key, "secret", value, attempt),
     )
     return (
         F.when(kind == "email", _email(entity, key, attempt))

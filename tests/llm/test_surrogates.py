@@ -108,3 +108,23 @@ def test_no_python_in_the_plan(docs):
     plan = su.replace_entities(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas", plan)
     assert su.entities(F.col("text")) is not None
+
+
+def test_full_classes_are_widened(spark):
+    """Of about a hundred two-letter surnames 80 are taken, so that no assignment among them exists."""
+    people = [f"Mr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"][:80]
+    docs = spark.createDataFrame(list(enumerate(people)), "doc_id long, text string").coalesce(1)
+    drawn = su.assign(docs, "k").collect()
+    real = {r.canon for r in drawn}
+    assert max(r.attempt for r in drawn) >= su.WIDEN
+    assert len({r.drawn for r in drawn}) == len(drawn) == len(real) == 80 and not real & {r.drawn for r in drawn}
+
+
+def test_wide_surrogates_are_of_their_kind(spark):
+    texts = ["1.2.3.4", "Mr Li", "Herr Ли", "Mr Λι", "a@b.io", "token=aaaaaaaa", "+49 1-22-33", "(555) 123-4567"]
+    entity = F.col("text")
+    made = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", su.kind_of(entity).alias("kind"), su.surrogate(entity, su.kind_of(entity), F.lit(su.WIDEN), "k").alias("new")
+    )
+    for r in made.select("*", su.entities(F.col("new")).alias("found"), su.kind_of(F.col("new")).alias("again")).collect():
+        assert r.found == [r.new] and r.again == r.kind and r.new != r.text, r
