@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
     decontaminate,
+    filter_audit,
+    fim,
     licences,
+    main_text,
     neardup,
     neighbours,
     packing,
@@ -89,3 +92,18 @@ def op9_repeated_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), VOCABULARY)
+
+
+@query(main_text.oracle())
+def op11_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(table(spark, sf, "pages"))
+
+
+@query(fim.oracle())
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fim.digests(table(spark, sf, "documents"))
+
+
+@query(filter_audit.oracle())
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -22,11 +22,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, con, name):
-    assert oracle.compare(QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()) is None
+    assert oracle.compare(oracle.frame_of(QUERIES[name](spark, SF)), con.sql(ORACLES[name]).df()) is None
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
