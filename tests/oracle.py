@@ -34,6 +34,11 @@ def _canonical(frame: pd.DataFrame) -> tuple[list[str], list[tuple]]:
     return columns, sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
+def frame_of(df) -> pd.DataFrame:
+    """The rows of a Spark DataFrame; whole numbers stay whole where a column has nulls."""
+    return df.toArrow().to_pandas(integer_object_nulls=True)
+
+
 def compare(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
     """A description of the first difference, or None."""
     left_columns, left = _canonical(spark_frame)
@@ -51,7 +56,7 @@ def compare(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
 def check(spark, con, name: str, sf: str) -> str | None:
     import __spark_entry__ as entry
 
-    frame = entry.queries()[name](spark, sf).toPandas()
+    frame = frame_of(entry.queries()[name](spark, sf))
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return None if len(frame.columns) else "no columns"
