@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import copies, decontaminate, packing, surrogates, toxicity
+from doclake.llm import decontaminate, neardup, packing, surrogates, toxicity
 from doclake.llm.common import staged, table
 from doclake.llm.queries import VOCABULARY
 
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first stays."""
-    return copies.keep_one(docs)
+    """Of each group of near copies (fingerprints of four-word shingles, 4 of 64 bits) the first stays."""
+    return neardup.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
