@@ -16,7 +16,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doclake.llm.common import BROADCAST_ROWS, staged
+from doclake.llm.common import BROADCAST_ROWS, staged, text_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -120,10 +120,11 @@ def reach(words: Column, least: float) -> Column:
 
 
 def prepare_items(benchmark: DataFrame, radius: int) -> tuple[DataFrame, int, int]:
-    """The items with words: ``item_id``, ``words``, ``marks``, ``fp``; their number and most words."""
+    """The items with words: ``item`` (a number), ``item_id``, ``words``, ``marks``; their most words, and the rows
+    of their largest broadcast. Items are told apart by number, so that null and repeated ids are items, too."""
     both = _let(hashes_of(F.col("text")), lambda h: F.struct(F.size(h).alias("words"), window_shingles(h).alias("marks")))
-    items = staged(benchmark.select("item_id", both.alias("of")).distinct(), "items").select("item_id", "of.*")
-    items = items.where("words > 0")
+    items = benchmark.select("item_id", both.alias("of")).distinct().select("item_id", "of.*").where("words > 0")
+    items = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
     n, most, marks = items.agg(F.count("*"), F.max("words"), F.sum(F.size("marks"))).first()
     return items, most or 0, max(n * BLOCKS * len(neighbour_masks(radius)), marks or 0)
 
@@ -135,17 +136,22 @@ def contaminated(
     every document and item that has one of similarity ``least`` or more.
 
     Words are compared in lower case without punctuation. A text shorter than an item is one window.
-    Null and empty texts and items match nothing; repeated rows and rows with the same id are taken
-    together; a null id is kept as such; other columns are ignored; empty tables give no rows.
+    Null and empty texts and items match nothing; repeated rows, rows with the same id and items with the
+    same id are taken together. A row without id is a document of its own for each text, an item without id
+    one for all such items; both are kept with null ids. Other columns are ignored; empty tables give no rows.
 
     The items are broadcast in parts of at most ``BROADCAST_ROWS`` rows, each part in a scan of its own;
     documents are not shuffled, only what was found is.
     """
+    return _best(docs, benchmark, least, radius).drop("text_key")
+
+
+def _best(docs: DataFrame, benchmark: DataFrame, least: float, radius: int) -> DataFrame:
     items, most, rows = prepare_items(benchmark, radius)
     parts = max(1, -(-rows // BROADCAST_ROWS))
     found = None
     for part in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
+        some = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
         for size in sorted({min(r.words, SHINGLE) for r in some.select(F.least("words", F.lit(SHINGLE)).alias("words")).distinct().collect()}):
             matched = _match(docs, some.where(F.least("words", F.lit(SHINGLE)) == size), size, most, least, radius)
             found = matched if found is None else found.unionByName(matched)
@@ -153,10 +159,11 @@ def contaminated(
         found = _match(docs, items, SHINGLE, 1, least, radius)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("distance")).alias("distance")))
     return (
-        found.groupBy("doc_id", "item_id")
+        found.groupBy("doc_id", "text_key", "item_id")
         .agg(best.alias("best"))
         .select(
             "doc_id",
+            "text_key",
             "item_id",
             F.col("best.similarity").alias("similarity"),
             (-F.col("best.start")).alias("start"),
@@ -170,9 +177,12 @@ def _match(docs: DataFrame, items: DataFrame, size: int, most: int, least: float
     # emptiness below it, where the expressions above the text would be copied into each other.
     anchors = F.broadcast(items.select(F.explode("marks").alias("mark"), "words").distinct())
     both = _let(hashes_of(F.col("text")), lambda h: F.struct(h.alias("hashes"), shingles(h, size).alias("marks")))
-    marked = docs.select(F.col("doc_id").cast("long"), both.alias("of"))
-    marked = marked.select("doc_id", F.col("of.hashes").alias("hashes"), F.col("of.marks").alias("marks"))
-    at = marked.select("doc_id", "hashes", F.posexplode_outer("marks").alias("place", "mark")).join(anchors, "mark")
+    key = ["doc_id", "text_key"]
+    marked = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("doc_id"), F.col("text")).alias("text_key"), both.alias("of")
+    )
+    marked = marked.select(*key, F.col("of.hashes").alias("hashes"), F.col("of.marks").alias("marks"))
+    at = marked.select(*key, "hashes", F.posexplode_outer("marks").alias("place", "mark")).join(anchors, "mark")
     first = F.greatest(F.lit(0), F.col("place") - reach(F.col("words"), least))
     last = F.least(F.col("place"), F.size("hashes") - F.col("words"))
     starts = F.when(F.size("hashes") <= F.col("words"), F.array(F.lit(0))).when(
@@ -185,20 +195,20 @@ def _match(docs: DataFrame, items: DataFrame, size: int, most: int, least: float
         ),
     )
     windows = (
-        at.select("doc_id", "words", "hashes", F.explode_outer(starts).alias("start"))
+        at.select(*key, "words", "hashes", F.explode_outer(starts).alias("start"))
         .where(F.col("start").isNotNull())
-        .select("doc_id", "words", "start", printed.alias("of"))
-        .select("doc_id", "words", "start", F.col("of.ours").alias("ours"), F.col("of.fp").alias("fp"))
+        .select(*key, "words", "start", printed.alias("of"))
+        .select(*key, "words", "start", F.col("of.ours").alias("ours"), F.col("of.fp").alias("fp"))
     )
     blocks = F.array(*[block_of(F.col("fp"), b) for b in range(BLOCKS)])
     windows = windows.select("*", F.posexplode_outer(blocks).alias("block", "value"))
 
-    prints = items.select("item_id", "words", fingerprint(F.col("marks"), max(1, most)).alias("item_fp"))
+    prints = items.select("item", "words", fingerprint(F.col("marks"), max(1, most)).alias("item_fp"))
     masks = F.array(*[F.lit(m) for m in neighbour_masks(radius)])
     looked_up = (
         prints.select("*", F.posexplode(F.array(*[block_of(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("block", "_value"))
         .select("*", F.explode(masks).alias("_mask"))
-        .select("item_id", "words", "item_fp", "block", F.col("_value").bitwiseXOR(F.col("_mask")).alias("value"))
+        .select("item", "words", "item_fp", "block", F.col("_value").bitwiseXOR(F.col("_mask")).alias("value"))
     )
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # several blocks may find a pair: the first of them keeps it
@@ -206,19 +216,22 @@ def _match(docs: DataFrame, items: DataFrame, size: int, most: int, least: float
     pairs = (
         windows.join(F.broadcast(looked_up), ["words", "block", "value"])
         .where((F.bit_count(differ) <= radius) & (earliest == F.col("block")))
-        .select("doc_id", "item_id", "start", "ours", F.bit_count(differ).alias("distance"))
+        .select(*key, "item", "start", "ours", F.bit_count(differ).alias("distance"))
     )
-    verified = pairs.join(F.broadcast(items.select("item_id", "marks")), "item_id")
+    verified = pairs.join(F.broadcast(items.select("item", "item_id", "marks")), "item")
     return verified.select(
-        "doc_id", "item_id", similarity(F.col("ours"), F.col("marks")).alias("similarity"), "start", "distance"
+        *key, "item_id", similarity(F.col("ours"), F.col("marks")).alias("similarity"), "start", "distance"
     ).where(F.col("similarity") >= least)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item, columns unchanged; rows without an id
-    stay."""
-    leaked = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """The rows of ``docs`` whose document holds no benchmark item, columns unchanged and of any names.
+
+    Rows with the same id go together; a row without an id goes if its own text holds an item.
+    """
+    return without(docs, _best(docs, benchmark, least, radius).select("doc_id", "text_key"))
 
 
 def oracle(least: float = SIMILARITY) -> str:

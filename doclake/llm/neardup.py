@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from doclake.llm.common import keyed_sample, staged
+from doclake.llm.common import keyed_sample, staged, text_key, without
 from doclake.llm.components import components
 
 SHINGLE = 4
@@ -66,16 +66,20 @@ def _take(items: Iterator, n: int) -> Iterator:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row; a null or wordless text has fingerprint 0."""
+    """``doc_id``, ``text_key`` and ``fp`` of every row; a null or wordless text has fingerprint 0."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            marks = [simhash(text.as_py(), shingle, seed) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["doc_id", "fp"])
+            marks = pa.array([simhash(text.as_py(), shingle, seed) for text in batch.column(1)], pa.int64())
+            columns = [batch.column(0), batch.column(2), marks]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("doc_id"), F.col("text")).alias("text_key")
+    )
+    return read.mapInArrow(run, "doc_id long, text_key string, fp long")
 
 
 # --- trees ---
@@ -267,6 +271,13 @@ def near_duplicates(
     A null id takes part, but is never a ``component_id`` unless its whole component has none. Other
     columns are ignored; an empty table gives no rows.
     """
+    return _components(docs, shingle, radius, shard_rows).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _components(docs: DataFrame, shingle: int, radius: int, shard_rows: int | None) -> DataFrame:
+    """``doc_id``, ``text_key``, ``fp`` and ``component_id`` of every row."""
     marked = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "distinct")
     label = components(links(distinct, radius, shard_rows)).select(F.col("node").alias("fp"), "label")
@@ -274,16 +285,17 @@ def near_duplicates(
     whole = linked.groupBy("label").agg(F.min("_first").alias("_whole"))
     of_linked = linked.join(whole, "label").select("fp", "_whole")
     named = distinct.join(of_linked, "fp", "left")
-    named = named.select("fp", F.coalesce("_whole", "_first").alias("component_id"))
-    return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    # a table of its own, so that both sides of the join are dealt anew and a fingerprint that very many
+    # documents have can be split
+    named = staged(named.select("fp", F.coalesce("_whole", "_first").alias("component_id")), "named")
+    return marked.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, columns unchanged.
 
-    Of repeated rows with the same id all stay; rows without an id stay.
+    Of repeated rows with the first id all stay. Rows without an id go if their component has a document with
+    one, and stay otherwise. Columns may have any names; an empty table stays empty.
     """
-    firsts = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_anti")
+    known = _components(docs, shingle, radius, shard_rows).where("component_id IS NOT NULL")
+    return without(docs, known.where("doc_id IS NULL OR doc_id <> component_id").select("doc_id", "text_key"))

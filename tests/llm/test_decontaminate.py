@@ -93,6 +93,21 @@ def test_empty(spark):
     assert dc.drop_contaminated(docs, bench.where("false")).count() == 1
 
 
+def test_rows_and_items_without_ids(spark):
+    draw = lambda seed: " ".join(f"w{(seed * 7 + i) % 61}" for i in range(30))
+    items = [(None, draw(1), "x"), (None, draw(3), "x"), (7, draw(5), "x"), (7, draw(9), "x")]
+    docs = [(None, f"a b {draw(1)} c", "x"), (None, draw(9), "x"), (None, "clean words", "x"), (None, None, "x"), (1, draw(3), "x"), (2, "so so", "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, gone_key string").selectExpr("*", "text AS text_key", "text AS fp")
+    bench = spark.createDataFrame(items, "item_id long, text string, item string")
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in dc.contaminated(frame, bench).collect())
+    assert got == [("1", "None"), ("None", "7"), ("None", "None")]
+    kept = dc.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for i, t in [(None, "clean words"), (None, None), (2, "so so")]
+    )
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = cases()
     found = dc.contaminated(
