@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doclake.llm.common import staged
+from doclake.llm.common import BROADCAST_KEYS, bounded_broadcast, staged, text_key
 
 KEY = "change me"
 ROUNDS = 40
@@ -251,9 +251,13 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``entity``, ``kind`` and ``canon`` of every entity found."""
+    """``doc_id``, ``text_key``, ``entity``, ``kind`` and ``canon`` of every entity found."""
     # the outer form, as the plain one would search every text twice: once to see whether anything comes out
-    found = docs.select(F.col("doc_id").cast("long"), F.explode_outer(entities(F.col("text"))).alias("entity"))
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key(F.col("doc_id"), F.col("text")).alias("text_key"),
+        F.explode_outer(entities(F.col("text"))).alias("entity"),
+    )
     found = found.where(F.col("entity").isNotNull()).select("*", kind_of(F.col("entity")).alias("kind"))
     return found.select("*", canonical(F.col("entity"), F.col("kind")).alias("canon"))
 
@@ -288,35 +292,47 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Null and empty texts and texts without entities stay as they are. Repeated rows get the same
     surrogates, rows without an id too; other columns are kept whatever their names; an empty table stays
-    empty. Entities that had to draw again are brought to their documents by a join; if there are none,
-    documents are not shuffled.
+    empty. Which entities had to draw again is brought to their documents by a join: of up to
+    ``BROADCAST_KEYS`` entries without a shuffle of documents. A row without id is known by its text.
     """
     redrawn = assign(docs, key).where("attempt > 0").select("kind", "canon", "attempt")
     columns = docs.columns
-    if redrawn.isEmpty():
-        work = docs.withColumn("_redrawn", F.lit(None).cast("map<string,int>"))
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    others = [c for c in columns if c not in ("text", "n_chars")]
+    work = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key(F.col("doc_id"), F.col("text")).alias("text_key"),
+        F.col("text"),
+    )
+    redraws = redrawn.count()
+    if redraws == 0:
+        work = work.withColumn("redrawn", F.lit(None).cast("map<string,int>"))
     else:
-        entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("key"), "attempt")
-        per_doc = occurrences(docs).join(redrawn, ["kind", "canon"]).groupBy("doc_id")
-        per_doc = per_doc.agg(F.map_from_entries(F.collect_set(entry)).alias("_redrawn"))
-        same = docs["doc_id"].eqNullSafe(per_doc["doc_id"])
-        work = docs.join(per_doc.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-        work = work.drop("_doc")
-    work = work.withColumn("_entities", entities(F.col("text")))
+        entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("key"), "attempt").alias("entry")
+        entries = occurrences(docs).join(bounded_broadcast(redrawn, redraws, BROADCAST_KEYS), ["kind", "canon"])
+        entries = staged(entries.select("doc_id", "text_key", entry).distinct(), "redrawn")
+        ids, texts = F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text")
+        maps = entries.groupBy(ids, texts).agg(F.map_from_entries(F.collect_list("entry")).alias("redrawn"))
+        maps = bounded_broadcast(maps, entries.count(), BROADCAST_KEYS)
+        own = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("text_key").eqNullSafe(F.col("of_text"))
+        work = work.join(maps, own, "left")
+    work = work.withColumn("entities", entities(F.col("text")))
 
     def new(entity: Column) -> Column:
         kind = kind_of(entity)
 
         def made(kind: Column) -> Column:
-            attempt = F.coalesce(F.col("_redrawn")[F.concat_ws("\x1f", kind, canonical(entity, kind))], F.lit(0))
+            attempt = F.coalesce(F.col("redrawn")[F.concat_ws("\x1f", kind, canonical(entity, kind))], F.lit(0))
             return surrogate(entity, kind, attempt, key)
 
         return _let(kind, made)
 
     between = F.split("text", PATTERN, -1)
-    mixed = F.zip_with(between, F.transform("_entities", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    text = F.when(F.size("_entities") > 0, F.array_join(mixed, "")).otherwise(F.col("text"))
+    mixed = F.zip_with(between, F.transform("entities", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    text = F.when(F.size("entities") > 0, F.array_join(mixed, "")).otherwise(F.col("text"))
     work = work.withColumn("text", text)
+    made = {"text": F.col("text")}
     if "n_chars" in columns:
-        work = work.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return work.select(*columns)
+        made["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return work.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in columns])

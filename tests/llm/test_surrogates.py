@@ -1,5 +1,6 @@
 """Surrogates: what is found, how it is replaced, and that entities stay apart and together."""
 
+import random
 import re
 
 import pytest
@@ -44,6 +45,63 @@ def test_columns_and_untouched_rows(docs, replaced):
     assert replaced[9].text.startswith("x " * 50000) and "bob@" not in replaced[9].text
 
 
+def test_clashing_columns(spark):
+    """Columns named like the operator's own come back as they were, and no entity stays in any of them."""
+    names = ["row", "redrawn", "entities", "text_key", "of_id", "of_text", "attempt", "key", "entity", "canon", "drawn", "_entities", "_doc", "a.b"]
+    rows = [(i, f"{i}.{i + 1}.1.{k} and so on", 1, *names) for i in range(5) for k in range(9)] + [(None, "0.1.1.2", 1, *names), (None, "4.5.1.8", 1, *names)]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    assert su.assign(docs, "k").where("attempt > 0").count() > 0  # some had to draw again
+    out = su.replace_entities(docs, "k")
+    assert out.dtypes == docs.dtypes
+    by_canon = {r.canon: r.drawn for r in su.assign(docs, "k").collect()}
+    got = out.collect()
+    assert len(got) == len(rows) and all(list(r)[3:] == names and r.n_chars == len(r.text) for r in got)
+    want = sorted((str(i), t.replace(t.split()[0], by_canon[t.split()[0]])) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.text) for r in got) == want
+
+
+def test_many_redraws_meet_by_a_shuffle(spark, monkeypatch):
+    rows = [(i, f"{i}.{k}.1.1 x") for i in range(6) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, su.replace_entities(docs, "k").collect()))
+    monkeypatch.setattr(su, "BROADCAST_KEYS", 0)
+    assert sorted(map(str, su.replace_entities(docs, "k").collect())) == few
+
+
+def brute_corpus():
+    rng = random.Random(4)
+    mails = [f"{rng.choice('abc')}{rng.choice('de')}@x{n}.org" for n in range(4)] * 5
+    hosts = [f"{a}.{b}.1.1" for a in range(3) for b in range(4)]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004"]
+    people = ["Mr Li", "Mr Lu", "Mrs Li", "Dr. Anna Lee", "Mr. John Smith", "Mrs. Smith"]
+    pool = mails + hosts + cards + people
+    return [(i, ", ".join(rng.sample(pool, 4)) + f" and words {i}") for i in range(60)]
+
+
+def test_corpus_against_brute_force(spark):
+    """Over a corpus: everything found goes, no two of a kind share a surrogate, none is an entity of the corpus, and
+    one entity has one surrogate in all documents."""
+    rows = brute_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r.doc_id, r.entity, r.kind, r.canon) for r in su.occurrences(docs).collect()]
+    after = su.replace_entities(docs, "k")
+    new = [(r.doc_id, r.entity, r.kind, r.canon) for r in su.occurrences(after).collect()]
+    assert sorted((i, k) for i, _, k, _ in found) == sorted((i, k) for i, _, k, _ in new)
+    real, given = {(k, c) for _, _, k, c in found}, {}
+    assert not real & {(k, c) for _, _, k, c in new}
+    texts = {r.doc_id: r.text for r in after.collect()}
+    for doc_id, text in rows:
+        olds = sorted((text.index(e), e, k, c) for i, e, k, c in found if i == doc_id)
+        news = sorted((texts[doc_id].index(e), e, k, c) for i, e, k, c in new if i == doc_id)
+        rest, left = text, texts[doc_id]
+        for (_, e, kind, canon), (_, n, _, drawn) in zip(olds, news):
+            assert given.setdefault((kind, canon), drawn) == drawn
+            rest, left = rest.replace(e, "\0", 1), left.replace(n, "\0", 1)
+        assert rest == left  # all but the entities is as it was
+    assert len({(k, d) for (k, _), d in given.items()}) == len(given) == len(real)
+
+
 def test_emails(replaced):
     first, same, other = found(replaced[1].text.replace(".com.", ".com"))
     assert first.lower() == same and first != same and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", first)
