@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from doclake.llm.common import staged
+from doclake.llm.common import BROADCAST_KEYS, bounded_broadcast, staged
 from doclake.llm.pieces import slices
 
 WIDTH = 50
@@ -25,7 +25,8 @@ LEVELS = 3
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(f, -1, 1 << 64) for f in FACTORS)
 
-BASE = "doc_id long, n_words long, digest binary, marks array<long>"
+#: ``row`` tells rows of one id apart by their text.
+BASE = "doc_id long, row long, n_words long, digest binary, marks array<long>"
 
 
 def lengths(width: int, levels: int = LEVELS) -> list[int]:
@@ -112,7 +113,7 @@ def _lists(pa, columns: list[list[np.ndarray]], kind):
 
 
 def digest_documents(docs: DataFrame, width: int, length: int) -> DataFrame:
-    """``doc_id``, ``n_words``, the digest of the joined words and the distinct representatives."""
+    """``doc_id``, ``row``, ``n_words``, the digest of the joined words and the distinct representatives."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -130,36 +131,40 @@ def digest_documents(docs: DataFrame, width: int, length: int) -> DataFrame:
                 marks.append(_distinct([
                     representatives(word_hashes(words), length, width) for _, words in overlapping(text, width)
                 ]).view(np.int64))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())]
+            columns = [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [*columns, *_lists(pa, [marks], np.int64)], names=["doc_id", "n_words", "digest", "marks"]
+                [*columns, *_lists(pa, [marks], np.int64)], names=["doc_id", "row", "n_words", "digest", "marks"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BASE)
+    return _rows(docs).mapInArrow(run, BASE)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
 
 
 def repeated_marks(marks: DataFrame, name: str) -> DataFrame:
-    """For each document its marks that another document has, too: ``doc_id`` and the sorted list."""
-    rows = marks.select("doc_id", F.explode("marks").alias("mark"))
+    """For each row its marks that another document has, too: ``doc_id``, ``row`` and the list."""
+    rows = marks.select("doc_id", "row", F.explode("marks").alias("mark"))
     both = rows.groupBy("mark").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
     # a table of its own, so that the join deals both sides anew and a frequent mark can be split
     repeated = staged(both.where("_low < _high").select("mark"), "repeated")
     shared = rows.join(repeated, "mark")
-    return shared.groupBy("doc_id").agg(F.collect_list("mark").alias(name))
+    return shared.groupBy("doc_id", "row").agg(F.collect_list("mark").alias(name))
 
 
 def _known(batch, row: int, lengths_: list[int]) -> list[tuple[int, np.ndarray]]:
     """The repeated representatives that a row carries, level by level."""
     return [
-        (length, np.unique(batch.column(2 + k)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)))
+        (length, np.unique(batch.column(3 + k)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)))
         for k, length in enumerate(lengths_)
     ]
 
 
 def extend(survivors: DataFrame, width: int, known: list[int], length: int) -> DataFrame:
-    """The distinct representatives of the next ``length`` among windows left: ``doc_id``, ``marks``.
+    """The distinct representatives of the next ``length`` among windows left: ``doc_id``, ``row``, ``marks``.
 
-    ``survivors``: ``doc_id``, ``text`` and a list of repeated representatives per length of ``known``.
+    ``survivors``: ``doc_id``, ``text``, ``row`` and a list of repeated representatives per length of ``known``.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -173,31 +178,34 @@ def extend(survivors: DataFrame, width: int, known: list[int], length: int) -> D
                     hashes = word_hashes(words)
                     parts.append(representatives(hashes, length, width)[_candidates(hashes, width, levels)])
                 marks.append(_distinct(parts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_lists(pa, [marks], np.int64)], names=["doc_id", "marks"])
+            columns = [batch.column(0), batch.column(2), *_lists(pa, [marks], np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "marks"])
 
-    return survivors.mapInArrow(run, "doc_id long, marks array<long>")
+    return survivors.mapInArrow(run, "doc_id long, row long, marks array<long>")
 
 
 def full_windows(survivors: DataFrame, width: int, known: list[int]) -> DataFrame:
-    """All windows of full width that are left: ``doc_id``, ``at``, ``high``, ``low``."""
+    """All windows of full width that are left: ``doc_id``, ``row``, ``at``, ``high``, ``low``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                levels = _known(batch, row, known)
+            for at_row, (doc_id, text, row) in enumerate(
+                zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist())
+            ):
+                levels = _known(batch, at_row, known)
                 for at, words in overlapping(text.as_py(), width):
                     hashes = word_hashes(words)
                     open_ = _candidates(hashes, width, levels)
                     if open_.any():
                         lanes = [window_hashes(hashes[:, k], width, k)[open_].view(np.int64) for k in (0, 1)]
                         places = (np.flatnonzero(open_) + at).astype(np.int32)
-                        ids = np.full(len(places), doc_id, np.int64)
-                        columns = [pa.array(c) for c in (ids, places, *lanes)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "high", "low"])
+                        ids, rows = np.full(len(places), doc_id, np.int64), np.full(len(places), row, np.int64)
+                        columns = [pa.array(c) for c in (ids, rows, places, *lanes)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "at", "high", "low"])
 
-    return survivors.mapInArrow(run, "doc_id long, at int, high long, low long")
+    return survivors.mapInArrow(run, "doc_id long, row long, at int, high long, low long")
 
 
 def remove(covered: DataFrame, width: int) -> DataFrame:
@@ -240,8 +248,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Words are runs between ASCII white space. A word goes if it is covered by a window of ``width`` words
     whose sequence also starts in a document with a smaller id. Null and empty texts have no words. Of
-    rows with the same id none is smaller; rows without an id are neither compared nor changed. Other
-    columns are ignored; an empty table gives no rows.
+    rows with the same id none is smaller, and each is judged by its own text; rows without an id are neither
+    compared nor changed. Other columns are ignored; an empty table gives no rows.
 
     Documents with the same words as a smaller one are settled by their digest; the rest go through the
     levels of ``lengths(width)``.
@@ -249,22 +257,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     first, second, _ = levels = lengths(width)
     base = staged(digest_documents(docs, width, first), "digests")
     long_ = base.where(f"n_words >= {width} and doc_id is not null")
-    owners = long_.groupBy("digest").agg(F.min("doc_id").alias("_owner"))
-    owned = staged(long_.select("doc_id", "digest", "marks").join(owners, "digest"), "owned")
-    copies = owned.where("doc_id > _owner").select("doc_id", "digest").distinct()
-
-    level_one = repeated_marks(owned.where("doc_id = _owner"), "_one")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    survivors = staged(texts.join(level_one, "doc_id"), "survivors")
+    # only digests that several documents share go to the others; a table of its own, so that the join deals both
+    # sides anew where it is not broadcast, and a frequent digest can be split
+    ends = long_.groupBy("digest").agg(F.min("doc_id").alias("_owner"), F.max("doc_id").alias("_last"))
+    owners = staged(ends.where("_owner < _last").select("digest", "_owner"), "owners")
+    owners = bounded_broadcast(owners, owners.count(), BROADCAST_KEYS)
+    copy = F.col("_owner").isNotNull() & (F.col("doc_id") > F.col("_owner"))
+    owned = long_.join(owners, "digest", "left")
+    copies = owned.where(copy).select("doc_id", "digest").distinct()
+
+    level_one = repeated_marks(owned.where(~copy).select("doc_id", "row", "marks"), "_one")
+    survivors = staged(_rows(docs).join(level_one, ["doc_id", "row"]).select("doc_id", "text", "row", "_one"), "survivors")
     level_two = repeated_marks(staged(extend(survivors, width, levels[:1], second), "marks"), "_two")
-    left = survivors.join(level_two, "doc_id").select("doc_id", "text", "_one", "_two")
+    left = survivors.join(level_two, ["doc_id", "row"]).select("doc_id", "text", "row", "_one", "_two")
     windows = staged(full_windows(left, width, levels[:2]), "windows")
 
     lowest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
     lowest = staged(lowest.where("_low < _high").drop("_high"), "lowest")
     later = windows.join(lowest, ["high", "low"]).where("doc_id > _low")
-    places = later.groupBy("doc_id").agg(F.collect_list("at").alias("_places"))
-    cut = remove(survivors.select("doc_id", "text").join(places, "doc_id"), width).distinct()
+    places = later.groupBy("doc_id", "row").agg(F.collect_set("at").alias("_places"))
+    covered = survivors.select("doc_id", "text", "row").join(places, ["doc_id", "row"])
+    cut = remove(covered.select("doc_id", "text", "_places"), width).distinct()
 
     empty = F.lit(hashlib.sha256().digest())
     whole_copies = copies.select("doc_id", "digest", F.lit(None).cast("long").alias("n_removed"), empty.alias("kept"))

@@ -40,6 +40,8 @@ def corpus():
     rows += [(11, passage), (12, passage.replace(" ", "\n")), (12, passage), (13, draw(49)), (14, rows[0][1])]
     rows += [(20, "x " * 300), (21, "x " * 120), (22, "x " * 49), (23, None), (24, ""), (25, " \n"), (None, passage)]
     rows += [(30, hot[: len(hot) // 2]), (31, rows[2][1]), (31, draw(80)), (40, "É\x1cb c\x85d " * 40), (41, "É\x1cb c\x85d " * 40)]
+    # rows of one id are judged each by its own text, whatever the other one loses
+    rows += [(50, passage), (51, draw(60) + " " + passage), (51, draw(121)), (51, draw(30) + " " + hot), (51, draw(121))]
     return rows
 
 
@@ -55,7 +57,8 @@ def test_against_brute_force(spark, monkeypatch, slice_bytes):
             seen = [(at + k, tuple(w[k : k + 50])) for at, w in substrings.overlapping(text, 50) for k in range(len(w) - 49)]
             assert seen == [(k, tuple(words[k : k + 50])) for k in range(len(words) - 49)]
         return
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int").repartition(4)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int")
+    docs = docs.selectExpr("*", "digest AS row", "digest AS _owner", "digest AS marks").repartition(4)
     got = sorted((tuple(r) for r in substrings.remove_repeats(docs).collect()), key=str)
     assert got == brute(rows)
 
