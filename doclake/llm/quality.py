@@ -192,8 +192,8 @@ def _measured(docs: DataFrame, keep: list[str], finish, schema: str) -> DataFram
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Trees fitted on at most about ``sample`` labelled documents that are not held out.
 
-    The ids of the sample, bounded by that parameter, are broadcast; one row of numbers for each comes
-    back. Of contradicting labels the larger counts; null labels and labels without a document none.
+    The ids of the sample, bounded by that parameter, are broadcast; one row of numbers for each id comes
+    back, the smallest of repeated rows and of rows with one id. Of contradicting labels the larger counts; null labels and labels without a document none.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = keyed_sample(usable.select(F.col("doc_id").cast("long"), "quality"), "doc_id", sample)
@@ -201,9 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
 
     def finish(pa, batch, rows):
-        return {"label": batch.column(1), "row": pa.array(list(rows), pa.list_(pa.float64()))}
+        return {"id": batch.column(1), "label": batch.column(2), "row": pa.array(list(rows), pa.list_(pa.float64()))}
 
-    found = _measured(rows, ["_label"], finish, "label int, row array<double>").toArrow()
+    measured = _measured(rows, ["doc_id", "_label"], finish, "id long, label int, row array<double>")
+    found = measured.groupBy("id").agg(F.min(F.struct("label", "row")).alias("one")).select("one.*").toArrow()
     matrix = found.column("row").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS))
     marks = found.column("label").to_numpy().astype(float)
     order = np.lexsort(np.vstack([matrix.T, marks]))

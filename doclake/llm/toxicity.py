@@ -22,6 +22,8 @@ from doclake.llm.quality import held_out
 SAMPLE = 9_000
 #: Features that go into the first count, and those that get a weight.
 CANDIDATES, FEATURES = 20_000, 1_500
+#: A feature needs so many deviations more or fewer toxic documents than chance gives it.
+LEAST_STRENGTH = 3.0
 GRADES = 4
 BEGINNINGS = (4, 5, 6, 7)
 REJECT_FROM = 0.5
@@ -85,68 +87,89 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - margin[:, None], -60, 60)))
 
 
-def fit(rows: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 300, penalty: float = 2e-4):
+class Sparse:
+    """A matrix of ``n`` rows and ``m`` columns by its entries, held by rows and by columns."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, m: int):
+        self._sides = [self._side(row, at, value, n), self._side(at, row, value, m)]
+
+    @staticmethod
+    def _side(line: np.ndarray, other: np.ndarray, value: np.ndarray, lines: int):
+        order = np.argsort(line, kind="stable")
+        there, starts = np.unique(line[order], return_index=True)
+        return lines, there, starts, other[order], value[order].astype(float)
+
+    def _product(self, side: int, vector: np.ndarray) -> np.ndarray:
+        lines, there, starts, other, value = self._sides[side]
+        out = np.zeros(lines)
+        if len(there):
+            out[there] = np.add.reduceat(value * vector[other], starts)
+        return out
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return self._product(0, weights)
+
+    def transposed_times(self, slopes: np.ndarray) -> np.ndarray:
+        return self._product(1, slopes)
+
+
+def fit(rows: Sparse, m: int, grades: np.ndarray, n_grades: int, rounds: int = 300, penalty: float = 2e-5):
     """Weights and cuts by gradient steps with momentum on the mean log likelihood.
 
     The first cut is free; the others follow it at distances that are exponentials, and so stay ordered.
     """
-    n, m = rows.shape
+    n = len(grades)
     theta = np.zeros(m + n_grades - 1)
     theta[m] = 2.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    at_least = grades[:, None] > np.arange(n_grades - 1)[None, :]
     for step in range(1, rounds + 1):
-        weights, first, gaps = theta[:m], theta[m], np.exp(theta[m + 1 :])
-        cuts = first + np.r_[0.0, np.cumsum(gaps)]
-        exceed = 1 / (1 + np.exp(np.clip(cuts[None, :] - (rows @ weights)[:, None], -60, 60)))
-        # chance of a grade: exceed[k - 1] - exceed[k], with 1 before the first and 0 after the last
-        bounds = np.hstack([np.ones((n, 1)), exceed, np.zeros((n, 1))])
-        every = np.arange(n)
-        chance = np.maximum(bounds[every, grades] - bounds[every, grades + 1], 1e-12)
-        bend = np.hstack([np.zeros((n, 1)), exceed * (1 - exceed), np.zeros((n, 1))])
-        by_margin = (bend[every, grades] - bend[every, grades + 1]) / chance
-        by_cut = np.zeros((n, n_grades - 1))
-        upper = grades < n_grades - 1
-        by_cut[every[upper], grades[upper]] += bend[every, grades + 1][upper] / chance[upper]
-        lower = grades > 0
-        by_cut[every[lower], grades[lower] - 1] -= bend[every, grades][lower] / chance[lower]
-        cut_slopes = by_cut.sum(0) / n
-        slope = np.empty_like(theta)
-        slope[:m] = rows.T @ by_margin / n - penalty * weights
-        slope[m] = cut_slopes.sum()
-        slope[m + 1 :] = [cut_slopes[k + 1 :].sum() * gaps[k] for k in range(n_grades - 2)]
+        _, slope = likelihood(theta, rows, m, grades, n_grades, penalty)
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta += 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    cuts = theta[m] + np.r_[0.0, np.cumsum(np.exp(theta[m + 1 :]))]
-    return theta[:m], cuts
-
-
-def graded(rows: np.ndarray, toxic: np.ndarray, n_grades: int) -> np.ndarray:
-    """Grades from two-valued labels: 0 where not toxic; toxic documents are parted evenly by how strongly
-    their features speak for toxicity (summed log odds), the weakest being grade 1."""
-    present = rows > 0
-    yes, no = present[toxic > 0].sum(0) + 0.5, present[toxic == 0].sum(0) + 0.5
-    odds = np.log(yes / ((toxic > 0).sum() + 1)) - np.log(no / ((toxic == 0).sum() + 1))
-    strength = rows @ np.maximum(odds, 0)
-    grades = np.zeros(len(rows), np.int64)
-    bad = np.flatnonzero(toxic > 0)
-    place = np.argsort(np.argsort(strength[bad], kind="stable"), kind="stable")
-    grades[bad] = 1 + place * (n_grades - 1) // max(1, len(bad))
-    return grades
+    return theta[:m], _cuts(theta[m:])
+
+
+def _cuts(tail: np.ndarray) -> np.ndarray:
+    return tail[0] + np.r_[0.0, np.cumsum(np.exp(tail[1:]))]
+
+
+def likelihood(theta: np.ndarray, rows: Sparse, m: int, grades: np.ndarray, n_grades: int, penalty: float):
+    """The penalised mean log likelihood at ``theta`` (weights, first cut, logarithms of the gaps) and its slope."""
+    n = len(grades)
+    weights, cuts = theta[:m], _cuts(theta[m:])
+    exceed = 1 / (1 + np.exp(np.clip(cuts[None, :] - rows.times(weights)[:, None], -60, 60)))
+    # chance of a grade: exceed[k - 1] - exceed[k], with 1 before the first and 0 after the last
+    bounds = np.hstack([np.ones((n, 1)), exceed, np.zeros((n, 1))])
+    every = np.arange(n)
+    chance = np.maximum(bounds[every, grades] - bounds[every, grades + 1], 1e-12)
+    bend = np.hstack([np.zeros((n, 1)), exceed * (1 - exceed), np.zeros((n, 1))])
+    by_margin = (bend[every, grades] - bend[every, grades + 1]) / chance
+    by_cut = np.zeros((n, n_grades - 1))
+    upper = grades < n_grades - 1
+    by_cut[every[upper], grades[upper]] += bend[every, grades + 1][upper] / chance[upper]
+    lower = grades > 0
+    by_cut[every[lower], grades[lower] - 1] -= bend[every, grades][lower] / chance[lower]
+    cut_slopes = by_cut.sum(0) / n
+    slope = np.empty_like(theta)
+    slope[:m] = rows.transposed_times(by_margin) / n - penalty * weights
+    slope[m] = cut_slopes.sum()
+    slope[m + 1 :] = [cut_slopes[k + 1 :].sum() * np.exp(theta[m + 1 + k]) for k in range(n_grades - 2)]
+    return np.log(chance).mean() - penalty / 2 * weights @ weights, slope
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_grades: int = GRADES) -> Severity:
     """A model of ``labels(doc_id, toxic)``, fitted on at most about ``sample`` documents not held out.
 
-    ``toxic`` of 0 and 1 is graded by ``graded``; if larger values occur they are the grades. The sample's
-    ids are broadcast; its texts stay on the executors, and features and counts of bounded number come
-    back. Null labels and labels without a document are left out; of contradicting labels the larger
+    The values of ``toxic`` are the grades, larger ones than ``n_grades - 1`` being that. Labels of 0 and 1 leave
+    one cut: severity is then the chance to be toxic. The sample's ids are broadcast; its texts stay on the
+    executors, and features and counts of bounded number come back: one row for each id, the smallest of
+    repeated rows and of rows with one id. Null labels and labels without a document are left out; of contradicting labels the larger
     counts. Without both kinds of labels every document has severity near zero.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = keyed_sample(usable.select(F.col("doc_id").cast("long"), "toxic"), "doc_id", sample)
     known = F.broadcast(known.groupBy("doc_id").agg(F.max("toxic").alias("_grade")))
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id").select("_grade", "text")
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id").select("_grade", "text", "doc_id")
 
     def appear(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -172,13 +195,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_grades: in
         for batch in batches:
             found = [counted(text.as_py()) for text in batch.column(1)]
             columns = [
+                batch.column(2),
                 batch.column(0).cast(pa.int32()),
                 pa.array([f[0] for f in found], pa.list_(pa.int32())),
                 pa.array([f[1] for f in found], pa.list_(pa.float32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "grade", "at", "value"])
 
-    found = chosen.mapInArrow(count, "grade int, at array<int>, value array<float>").toArrow()
+    found = chosen.mapInArrow(count, "id long, grade int, at array<int>, value array<float>")
+    found = found.groupBy("id").agg(F.min(F.struct("grade", "at", "value")).alias("one")).select("one.*").toArrow()
     grade = found.column("grade").to_numpy()
     sizes = np.array([len(a) for a in found.column("at")], np.int64)
     row = np.repeat(np.arange(len(grade)), sizes)
@@ -189,6 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_grades: in
 
 def _fit_sparse(numbers, grade, row, at, value, n_grades) -> Severity:
     toxic = grade > 0
+    n_grades = min(n_grades, int(grade.max(initial=1)) + 1)
     if not toxic.any() or toxic.all():
         share = 20.0 if not toxic.any() else -20.0
         return Severity({}, np.zeros(0), share + np.arange(n_grades - 1.0))
@@ -199,14 +225,14 @@ def _fit_sparse(numbers, grade, row, at, value, n_grades) -> Severity:
     expected = both * n_yes / n
     # features that are present more often than by chance, in units of the deviation
     strength = (yes - expected) / np.sqrt(expected * (1 - both / n) * (1 - n_yes / n) + 1e-9)
-    kept = np.argsort(-np.where(both < n, np.abs(strength), 0), kind="stable")[:FEATURES]
+    strength = np.where(both < n, np.abs(strength), 0)
+    kept = np.argsort(-strength, kind="stable")[:FEATURES]
+    kept = kept[strength[kept] >= LEAST_STRENGTH]
     place = np.full(m, -1)
     place[kept] = np.arange(len(kept))
-    rows = np.zeros((n, len(kept)), np.float32)
     inside = place[at] >= 0
-    rows[row[inside], place[at[inside]]] = value[inside]
-    grades = np.minimum(grade, n_grades - 1) if grade.max() > 1 else graded(rows, grade, n_grades)
-    weights, cuts = fit(rows, grades.astype(np.int64), n_grades)
+    rows = Sparse(row[inside], place[at[inside]], value[inside], n, len(kept))
+    weights, cuts = fit(rows, len(kept), np.minimum(grade, n_grades - 1).astype(np.int64), n_grades)
     names = list(numbers)
     return Severity({names[k]: i for i, k in enumerate(kept.tolist())}, weights, cuts)
 
@@ -244,7 +270,11 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Severity, reject_from: float = REJECT_FROM) -> DataFrame:
-    """The rows of ``docs`` whose chance to be toxic is below ``reject_from``, columns unchanged."""
+    """The rows of ``docs`` whose chance to be toxic is below ``reject_from``, columns unchanged and of any names.
+
+    Null and empty texts have no features and are judged by the first cut alone; repeated rows and rows without
+    id are judged each by its text; an empty table stays empty.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
