@@ -1,17 +1,18 @@
 """Licences named in documents: known sentences, then rules over the sequence of their identifiers.
 
-Texts are cut at sentence ends and line breaks. Every piece is normalised and looked up, and so are runs of
-pieces within a paragraph, as licence texts are wrapped, stand in comments and have colons and abbreviations
-inside their sentences; of overlapping runs the longest counts. The identifiers of a document's known sentences, in order, form
-its sequence. Rules are tried in order, most specific first: a rule that matches takes its identifiers out of
+Texts are cut at sentence ends and line breaks. Licence texts are wrapped, stand in comments and have colons and
+abbreviations inside their sentences, so the normalised words of a paragraph are run through a trie of the known
+sentences from the beginning of each piece; of overlapping runs the longest counts. The identifiers of a
+document's known sentences, in order, form its sequence. Rules are tried in order, most specific first: a rule that matches takes its identifiers out of
 the sequence, so that a later, more general rule does not see them again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+from collections.abc import Iterator
 
-from doclake.llm.common import ascii_lower
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Sentences after normalisation, and the licences that their sequences mean.
 SENTENCES = {
@@ -58,12 +59,43 @@ SENTENCES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
         "products derived from this software without specific prior written permission"
     ],
+    "gpl2-redistribute": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 2 of the license or at your "
+        "option any later version"
+    ],
+    "lgpl21-redistribute": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation either version 2 1 of the license or at "
+        "your option any later version"
+    ],
+    "agpl3-redistribute": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version"
+    ],
+    "bsd-disclaimer": [
+        "this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a "
+        "particular purpose are disclaimed"
+    ],
+    "isc-grant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies"
+    ],
+    "unlicense-line": ["this is free and unencumbered software released into the public domain"],
     "cc-by-nc-line": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
     "cc-by-sa-line": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
     "cc-by-line": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
     "mpl-line": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "reserved": ["all rights reserved"],
 }
+#: Identifiers that stand in a line of their own after "SPDX-License-Identifier:".
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 "
+    "EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense Zlib"
+).split()
 RULES = [
     ("Apache-2.0", ["apache-grant", "apache-grant", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["apache-grant", "apache-grant"]),
@@ -77,8 +109,17 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-redistribute"]),
     ("GPL-3.0-only", ["gpl3-line"]),
     ("GPL-2.0-only", ["gpl2-line"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-endorse", "bsd-disclaimer"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-disclaimer"]),
     ("BSD-2-Clause", ["bsd-grant"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-line"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-line"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-line"]),
     ("CC-BY-4.0", ["cc-by-line"]),
@@ -86,75 +127,93 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 
+SENTENCES |= {f"spdx:{name}": ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())] for name in SPDX}
+RULES += [(name, [f"spdx:{name}"]) for name in SPDX]
+
 #: Ends of sentences and lines, and what normalisation turns into one space.
 ENDS = r"[.!?;:][ \t\r\f]+|[ \t\r\f]*\n[ \t\r\f\n]*"
 OTHER = r"[^a-z0-9]+"
-#: Pieces of a wrapped sentence.
-RUN = 24
 _KNOWN = [s for some in SENTENCES.values() for s in some]
-LONGEST = max(map(len, _KNOWN))
-#: Texts without the first two words of a known sentence are not cut.
-HINT = "(?i)(?:" + "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for s in _KNOWN})) + ")"
-FIRST = r"^\|?(?:" + "|".join(sorted({s.split()[0] for s in _KNOWN})) + ")(?: |$)"
+#: A text without any of these words holds no known sentence: the longest word of each.
+HINTS = sorted({max(s.split(), key=len).encode() for s in _KNOWN})
 
+_ends = re.compile(ENDS.encode())
+_words = re.compile(rb"[a-z0-9]+")
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(sentence), OTHER, " "))
 
+def _trie() -> dict:
+    """Known sentences word by word; the identifier stands under the key None."""
+    root: dict = {}
+    for ident, some in SENTENCES.items():
+        for sentence in some:
+            node = root
+            for word in sentence.encode().split():
+                node = node.setdefault(word, {})
+            node[None] = ident
+    return root
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """``sentence`` and ``ident``: the fixed list above."""
-    rows = [(s, ident) for ident, some in SENTENCES.items() for s in some]
-    entries = F.array(*[F.struct(F.lit(s).alias("sentence"), F.lit(i).alias("ident")) for s, i in rows])
-    return spark.range(1).select(F.inline(entries))
 
+_TRIE = _trie()
 
-def _pieces(text: Column) -> Column:
-    """The normalised pieces of a text; one that begins a paragraph has a bar before it. Blank lines and lines
-    of comment marks alone part paragraphs."""
-    marked = F.regexp_replace(text, r"\n[ \t\r\f]*\n[ \t\r\f\n]*", "\n\u0001")
 
-    def one(piece: Column) -> Column:
-        apart = piece.startswith("\u0001") | piece.rlike(r"^[^A-Za-z0-9]+$")
-        # a known sentence has at least one letter for each of its own, and little between them
-        said = F.when(F.length(piece) <= 4 * LONGEST, normalised(piece)).otherwise(F.lit("|"))
-        return F.concat(F.when(apart, F.lit("|")).otherwise(F.lit("")), said)
+def paragraphs(text: bytes) -> Iterator[list[list[bytes]]]:
+    """The words of each piece of each paragraph. Blank lines and lines of comment marks alone part paragraphs."""
+    pieces, at = [], 0
+    for end in [*_ends.finditer(text), None]:
+        piece = text[at : end.start() if end else len(text)]
+        words = _words.findall(piece)
+        if words:
+            pieces.append(words)
+        if end is None or end.group().count(b"\n") > 1 or (piece and not words):
+            if pieces:
+                yield pieces
+            pieces = []
+        at = end.end() if end else at
 
-    return F.transform(F.split(marked, ENDS), one)
 
+def identify(text: str | None) -> list[str]:
+    """Identifiers of the known sentences of a text, in order.
 
-def _matches(pieces: Column) -> Column:
-    """``place``, ``n`` and ``ident`` of the longest known run that begins at each piece."""
-    known = F.create_map(*[F.lit(x) for ident, some in SENTENCES.items() for s in some for x in (s, ident)])
-
-    def run(place: Column, n: Column) -> Column:
-        said = F.array_join(F.array_remove(F.slice(pieces, place + 1, n), ""), " ")
-        ident = F.try_element_at(known, F.regexp_replace(said, r"^\|", ""))
-        return F.struct(place.alias("place"), n.alias("n"), ident.alias("ident"))
-
-    def longest(place: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(pieces) - place)), lambda n: run(place, n))
-        return F.element_at(F.filter(F.concat(F.array(F.struct(place.alias("place"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("ident"))), runs), lambda m: m["ident"].isNotNull() | (m["n"] == 0)), -1)
-
-    begins = F.transform(pieces, lambda piece, i: F.when(piece.rlike(FIRST), i))
-    found = F.filter(F.transform(F.array_compact(begins), longest), lambda m: m["n"] > 0)
+    A known sentence begins and ends with a piece and may run over any number of them; from each piece the
+    longest counts, and one that begins inside a longer run before it does not.
+    """
+    text = (text or "").encode("utf-8", "replace").lower()
+    if not any(hint in text for hint in HINTS):
+        return []
+    found = []
+    for pieces in paragraphs(text):
+        covered = 0
+        for first in range(len(pieces)):
+            node, last, ident = _TRIE, 0, None
+            for k in range(first, len(pieces)):
+                for word in pieces[k]:
+                    node = node.get(word)
+                    if node is None:
+                        break
+                if node is None:
+                    break
+                if None in node:
+                    last, ident = k + 1, node[None]
+            if ident is not None:
+                if first >= covered:
+                    found.append(ident)
+                if last > first + 1:
+                    covered = max(covered, last)
     return found
 
 
-def _uncovered(found: Column) -> Column:
-    """Matches without those inside a longer one that begins earlier."""
-    wide = F.filter(found, lambda m: m["n"] > 1)
-    inside = lambda m: F.exists(wide, lambda w: (w["place"] < m["place"]) & (m["place"] < w["place"] + w["n"]))
-    return F.filter(found, lambda m: ~inside(m))
+def known_sentences(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``idents``, in order, of every row with a known sentence; one narrow pass."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            rows = [(i, found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) if (found := identify(text.as_py()))]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "idents"])
 
-def known_sentences(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``place`` and ``ident`` of every known sentence; the dictionary's size is fixed."""
-    # values are bound to columns by generators, so that they are computed once
-    rows = docs.where(F.col("text").rlike(HINT)).select(F.col("doc_id").cast("long"), "text")
-    cut = rows.select("doc_id", F.explode_outer(F.array(_pieces(F.col("text")))).alias("pieces"))
-    met = cut.select("doc_id", F.explode_outer(F.array(_matches(F.col("pieces")))).alias("found"))
-    return met.select("doc_id", F.explode(_uncovered(F.col("found"))).alias("m")).select("doc_id", "m.place", "m.ident")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, idents array<string>")
 
 
 def _apply(rules: list[tuple[str, list[str]]], sequence: Column) -> Column:
@@ -168,17 +227,14 @@ def _apply(rules: list[tuple[str, list[str]]], sequence: Column) -> Column:
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``sequence`` (identifiers in order) and ``licences`` of the documents that hold any known
-    sentence.
+    """``doc_id``, ``sequence`` (identifiers in order) and ``licences`` of the rows that hold any known sentence.
 
-    Null and empty texts hold none. Rows with the same id are read as one document, their sentences in
-    order of place; a null id is kept as such. Other columns are ignored; an empty table gives no rows.
-    Only known sentences are shuffled.
+    Null and empty texts hold none. Every row is read by itself, also if others have its id or it has none, and
+    repeated rows give a row each. Other columns are ignored; an empty table gives no rows. Nothing is shuffled.
     """
-    in_order = F.array_sort(F.collect_list(F.struct("place", "ident")))
-    sequence = F.array_join(F.transform(in_order, lambda s: F.concat(F.lit("<"), s["ident"], F.lit(">"))), "")
-    grouped = known_sentences(docs).groupBy("doc_id").agg(sequence.alias("sequence"))
-    return grouped.select("doc_id", "sequence", F.array_join(_apply(RULES, F.col("sequence")), ",").alias("licences"))
+    sequence = F.array_join(F.transform("idents", lambda ident: F.concat(F.lit("<"), ident, F.lit(">"))), "")
+    found = known_sentences(docs).select("doc_id", sequence.alias("sequence"))
+    return found.select("doc_id", "sequence", F.array_join(_apply(RULES, F.col("sequence")), ",").alias("licences"))
 
 
 def oracle() -> str:

@@ -1,5 +1,8 @@
 """Licences: rules over sequences of known sentences."""
 
+import random
+import re
+
 import pytest
 
 from doclake.llm import licences
@@ -45,9 +48,9 @@ def test_sequences(docs):
     assert got[2] == "<mit-line><mit-grant>" and got[8] == "<mit-line>" * 3
 
 
-def test_dictionary_is_normalised(spark):
-    for row in licences.dictionary(spark).collect():
-        assert row.sentence == row.sentence.strip() and "  " not in row.sentence
+def test_dictionary_is_normalised():
+    for sentence in (s for some in licences.SENTENCES.values() for s in some):
+        assert sentence == " ".join(re.findall("[a-z0-9]+", sentence))
     assert {i for _, wanted in licences.RULES for i in wanted} <= set(licences.SENTENCES)
 
 
@@ -55,6 +58,7 @@ def test_empty(docs):
     assert licences.scan_licences(docs.where("false")).count() == 0
 
 
+# Fixed texts: public wording of licences, as it stands in files.
 WRAPPED = {
     "MIT": """Copyright (c) 2020 Somebody
 
@@ -105,3 +109,76 @@ def test_wrapped_texts(spark):
 def test_paragraphs_are_not_joined(spark):
     rows = [(1, "Licensed under the\n\nMIT License agreement"), (2, "licensed under\n *\n * the MIT license")]
     assert licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+MORE = {
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or modify it under the terms of
+ * the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms
+of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify it under the terms of the
+# GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License,
+# or (at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT": "\n".join(licences.SENTENCES["mit-grant"][0].split()),  # one word a line
+    "BSD-3-Clause": "// SPDX-License-Identifier: BSD-3-Clause",
+    "GPL-2.0-only": "/* SPDX-License-Identifier: GPL-2.0-only */",
+    "Apache-2.0": "Licensed under" + " " * 40_000 + "the Apache License, Version 2.0.",
+}
+
+
+def test_more_licences():
+    for licence, text in MORE.items():
+        found = "".join(f"<{i}>" for i in licences.identify(text))
+        assert [name for name, wanted in licences.RULES if "".join(f"<{i}>" for i in wanted) in found][0] == licence
+
+
+def test_rows_of_one_id_and_without_ids(spark):
+    rows = [(None, "MIT License", 1), (None, "Licensed under CC BY 4.0", 1), (5, "All rights reserved.", 1), (5, "MIT License", 1), (5, "MIT License", 1)]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, idents int")).collect()
+    want = [("None", "MIT"), ("None", "CC-BY-4.0"), ("5", "proprietary"), ("5", "MIT"), ("5", "MIT")]
+    assert sorted((str(r.doc_id), r.licences) for r in got) == sorted(want)
+
+
+def brute(text):
+    """All runs of pieces of each paragraph, joined and compared with every known sentence."""
+    known = {s: ident for ident, some in licences.SENTENCES.items() for s in some}
+    paragraphs, at = [[]], 0
+    for end in [*re.finditer(licences.ENDS, text), None]:
+        piece = text[at : end.start() if end else len(text)]
+        words = " ".join(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in piece)))
+        if words:
+            paragraphs[-1].append(words)
+        if end is not None and (end.group().count("\n") > 1 or (piece and not words)):
+            paragraphs.append([])
+        at = end.end() if end else at
+    found = []
+    for pieces in paragraphs:
+        runs = {}
+        for i in range(len(pieces)):
+            for n in range(1, len(pieces) - i + 1):
+                said = " ".join(pieces[i : i + n])
+                if said in known:
+                    runs[i] = (n, known[said])
+        for i, (n, ident) in sorted(runs.items()):
+            if not any(j < i < j + m for j, (m, _) in runs.items() if m > 1):
+                found.append(ident)
+    return found
+
+
+def test_wrapped_texts_against_brute_force():
+    rng = random.Random(2)
+    sentences = [s for some in licences.SENTENCES.values() for s in some]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choice([rng.choice(sentences).split(), ["other", "words"], ["É", "the", "license"], []])
+        text = ""
+        for word in words:
+            text += rng.choice([word, word.upper(), word.capitalize()])
+            text += rng.choice([" ", " ", " ", ", ", "\n", "\n# ", ": ", ". ", "\n\n", "\n *\n * "] if rng.random() < 0.3 else [" "])
+        assert licences.identify(text) == brute(text), text
