@@ -12,10 +12,6 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-
-
 def l2_norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
 

@@ -4,49 +4,44 @@ Inputs: ``questions`` (query_id, tenant_id, document_id or null, embedding) and
 (document_id, tenant_id, chunk_index, text_hash, embedding, ...). A question with a document sees that
 document alone; one without sees its tenant. Ties are broken by document, chunk index and text hash.
 A stored chunk is known by its document and text hash: versions of a document may share chunk indexes.
-Rows without a vector take no part.
+Rows without a vector, a tenant or an asked scope take no part.
 
-Chunk vectors are scanned in place: questions travel to the chunks, in blocks of a checked size.
-Questions beyond one block are searched in several scans when they range over tenants, and by a
-shuffle on (document, block of chunks, block of questions) when each has a document.
+Both sides are packed where they lie: the rows of a scope in an Arrow batch become one row that holds a
+block of vectors. Blocks meet by an ordinary join on the scope, and each pair of blocks is one matrix
+product. Few question blocks are broadcast, so that chunk vectors stay in place; many meet the chunk blocks
+by a shuffle, scopes with very many chunks being salted. Nothing that grows with the questions passes
+through the driver. What a task sends on is ``k`` rows per question, merged over all blocks it has seen.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from doclake.operators.hotjoin import join_unique
-from doclake.operators.ranking import block_of
-from doclake.operators.topk import PARTIAL, PARTIAL_DDL, Best, Questions, matrix, search
-from doclake.schemas import DEFAULT_CHUNK_TYPE, TOP_K
+from doclake.operators.hotjoin import hot_keys
+from doclake.operators.topk import PARTIAL_DDL, Best, Questions, matrix
+from doclake.schemas import DEFAULT_CHUNK_TYPE, DOCUMENT_BUCKETS, TOP_K
 from doclake.session import stage
 
-# At most this many questions are held by the driver and sent to the tasks at once.
-QUESTION_BLOCK = 4096
-# A group of the shuffled search holds at most this many chunks.
-CHUNK_BLOCK = 8192
-# Hits up to this many rows are broadcast to the chunk scan.
-BROADCAST_HITS = 100_000
-# Up to this many documents, their ids go to the scan as a filter.
-PRUNED_DOCUMENTS = 1000
+# Most rows of one scope that are packed into a block.
+QUESTION_BLOCK = 1024
+CHUNK_BLOCK = 4096
+# Question vectors of up to so many bytes are broadcast to the chunks.
+BROADCAST_BYTES = 64 << 20
+# In the shuffled search a scope is dealt to a task for so many chunks.
+SCOPE_CHUNKS = 1_000_000
+# Question blocks whose best hits a task holds at once.
+_HELD = 16
 
 CHUNK_ORDER = ["distance", "document_id", "chunk_index", "text_hash"]
-
-
-def _scope(*parts: Column) -> Column:
-    return F.to_json(F.array(*parts))
-
-
-def _question_scope() -> Column:
-    return F.when(F.col("document_id").isNull(), _scope(F.col("tenant_id"))).otherwise(
-        _scope(F.col("tenant_id"), F.col("document_id"))
-    )
+_CHUNK_ROW = ["document_id", "chunk_index", "text_hash", "embedding"]
+_CHUNK_ROWS = "array<struct<document_id:string,chunk_index:int,text_hash:string,embedding:array<float>>>"
+_QUESTION_ROWS = "array<struct<query_id:string,embedding:array<float>>>"
 
 
 def rank_hits(partial: DataFrame, k: int) -> DataFrame:
@@ -55,30 +50,31 @@ def rank_hits(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _collect_block(rows: DataFrame, limit: int) -> pa.Table | None:
-    """The rows as an Arrow table, or None if there are more than ``limit``."""
-    table = rows.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
-
-
-def _as_questions(table: pa.Table) -> Questions:
-    return Questions(
-        table.column("query_id").to_pylist(),
-        matrix(table.column("embedding")),
-        table.column("scopes").to_pylist(),
-    )
+def _scope(keys: list[str]) -> Column:
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in keys]))
 
 
-def _scan(chunks: DataFrame, scope: Column, questions: Questions, k: int) -> DataFrame:
-    """Partial top-k by one narrow pass over the chunk vectors."""
-    shared = chunks.sparkSession.sparkContext.broadcast(questions)
+def _packed(rows: DataFrame, scope: Column, columns: list[str], kind: str, block: int) -> DataFrame:
+    """``scope`` and ``rows``, up to ``block`` rows of one scope; one narrow pass, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from search(batches, shared.value, k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            firsts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+            starts = np.concatenate([np.arange(a, b, block) for a, b in zip(firsts[:-1], firsts[1:])])
+            taken = pa.array(order)
+            packed = pa.StructArray.from_arrays([batch.column(c).take(taken) for c in columns], names=columns)
+            ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(codes[order][starts])), pa.ListArray.from_arrays(ends, packed)],
+                names=["scope", "rows"],
+            )
 
-    return chunks.select(
-        scope.alias("scope"), "document_id", "chunk_index", "text_hash", "embedding"
-    ).mapInArrow(run, PARTIAL_DDL)
+    return rows.select(scope.alias("scope"), *columns).mapInArrow(run, f"scope string, rows {kind}")
 
 
 def _searchable(chunks: DataFrame) -> DataFrame:
@@ -88,157 +84,106 @@ def _searchable(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("embedding").isNotNull())
 
 
-def _empty(chunks: DataFrame) -> DataFrame:
-    return chunks.sparkSession.createDataFrame([], PARTIAL_DDL)
-
-
-def _search_documents(table: pa.Table, chunks: DataFrame, k: int) -> DataFrame:
-    documents = table.column("document_id").unique().to_pylist()
-    tenants = table.column("tenant_id").unique().to_pylist()
-    if len(documents) <= PRUNED_DOCUMENTS:
-        chunks = chunks.where(F.col("document_id").isin(documents))
-    if len(tenants) <= PRUNED_DOCUMENTS:
-        chunks = chunks.where(F.col("tenant_id").isin(tenants))
-    return _scan(chunks, _scope(F.col("tenant_id"), F.col("document_id")), _as_questions(table), k)
-
-
-def _search_tenants(table: pa.Table, chunks: DataFrame, k: int) -> DataFrame:
-    tenants = table.column("tenant_id").unique().to_pylist()
-    if len(tenants) <= PRUNED_DOCUMENTS:
-        chunks = chunks.where(F.col("tenant_id").isin(tenants))
-    return _scan(chunks, _scope(F.col("tenant_id")), _as_questions(table), k)
-
-
-def _search_tenants_sliced(questions: DataFrame, chunks: DataFrame, k: int, limit: int) -> DataFrame:
-    """Tenant-wide questions beyond one block: one scan of the vectors per slice of questions.
+def _compare(pairs: DataFrame, k: int) -> DataFrame:
+    """Partial hits of pairs of blocks (number, asked, rows): ``k`` rows per question and task, more only where a
+    task sees the blocks of very many questions."""
 
-    Slices are cut by hash; a slice that still exceeds the block is cut again.
-    """
-    pending = [(1, 0)]
-    found: DataFrame | None = None
-    while pending:
-        parts, part = pending.pop()
-        piece = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        table = _collect_block(piece, limit)
-        if table is None:
-            pending += [(parts * 2, part), (parts * 2, part + parts)]
-        elif table.num_rows:
-            hits = _search_tenants(table, chunks, k)
-            found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else _empty(chunks)
-
-
-def _search_documents_shuffled(
-    questions: DataFrame, chunks: DataFrame, k: int, chunk_block: int, question_block: int
-) -> DataFrame:
-    """Document-scoped questions beyond one block.
-
-    A document's chunks are cut into blocks of chunk indexes and its questions into blocks by
-    hash, and each pair of blocks is one group: neither a long document nor one that everybody
-    asks about ends up in a single task. Each group yields ``k`` rows per question.
-    """
-    key = ["tenant_id", "document_id"]
-    # a chunk without an index is searched in the first block
-    chunks = chunks.withColumn("_place", F.coalesce("chunk_index", F.lit(0)))
-    lengths = chunks.groupBy(*key).agg(block_of(F.max("_place"), chunk_block).alias("_last"))
-    asked = questions.groupBy(*key).agg(
-        F.ceil(F.count("*") / F.lit(question_block)).cast("long").alias("_parts")
-    )
-    grid = asked.join(lengths, key).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    narrow = chunks.select(*key, "chunk_index", "text_hash", "embedding", block_of(F.col("_place"), chunk_block).alias("_c"))
-    left = narrow.join(grid.select(*key, "_c", "_parts"), [*key, "_c"]).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
-    )
-    cell_rows = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    plan = asked.join(lengths, key).withColumn("_k", _scope(*map(F.col, key))).drop(*key)
-    keyed = questions.select("query_id", *key, "embedding").withColumn("_k", _scope(*map(F.col, key)))
-    right = (
-        join_unique(keyed, plan, "_k", ["query_id"])
-        .where(F.col("_parts").isNotNull())
-        .withColumn("_c", cell_rows)
-        .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_parts")))
-    )
-    group = [*key, "_c", "_q"]
-    # Fresh aliases: both sides may descend from the same table.
-    left = left.select(*[F.col(c).alias(f"c{c}") for c in group], "chunk_index", "text_hash", F.col("embedding").alias("x"))
-    left = left.withColumn("document_id", F.col("cdocument_id"))
-    right = right.select(*[F.col(c).alias(f"q{c}") for c in group], "query_id", F.col("embedding").alias("q"))
-
-    def compare(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-        ids = question_rows.column("query_id").to_pylist()
-        batch = Questions(ids, matrix(question_rows.column("q")), [["all"]] * len(ids))
-        best = Best(batch, k)
-        if chunk_rows.num_rows and ids:
-            rows = chunk_rows.combine_chunks()
-            best.offer(
-                batch.by_scope["all"],
-                np.arange(rows.num_rows),
-                matrix(rows.column("x")),
-                rows.to_batches()[0],
-            )
-        return pa.Table.from_batches(list(best.batches()), schema=PARTIAL)
-
-    return (
-        left.groupBy(*[f"c{c}" for c in group])
-        .cogroup(right.groupBy(*[f"q{c}" for c in group]))
-        .applyInArrow(compare, PARTIAL_DDL)
-    )
-
-
-def top_k(
-    questions: DataFrame,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, Best] = OrderedDict()
+        for batch in batches:
+            for number, asked, rows in zip(*(batch.column(c) for c in ("number", "asked", "rows"))):
+                best = held.pop(number.as_py(), None)
+                if best is None:
+                    ids = asked.values.field("query_id").to_pylist()
+                    best = Best(Questions(ids, matrix(asked.values.field("embedding")), [["all"]] * len(ids)), k)
+                    if len(held) == _HELD:
+                        yield from held.popitem(last=False)[1].batches()
+                held[number.as_py()] = best
+                found = pa.RecordBatch.from_struct_array(rows.values)
+                best.offer(best.questions.by_scope["all"], np.arange(len(found)), matrix(found.column("embedding")), found)
+        for best in held.values():
+            yield from best.batches()
+
+    return pairs.select("number", "asked", "rows").mapInArrow(run, PARTIAL_DDL)
+
+
+def _search(
+    asked: DataFrame,
     chunks: DataFrame,
-    k: int = TOP_K,
+    tenant_keys: list[str],
+    k: int,
     question_block: int = QUESTION_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Exact ``k`` nearest chunks per question: (query_id, document_id, chunk_index, text_hash, distance, rank)."""
-    chunks = _searchable(chunks)
-    questions = questions.where(F.col("embedding").isNotNull())
-    asked = questions.select(
-        "query_id", "tenant_id", "document_id", "embedding", F.array(_question_scope()).alias("scopes")
-    )
-    table = _collect_block(asked, question_block)
-    found = []
-    if table is not None:
-        scoped = pc.is_valid(table.column("document_id"))
-        narrow, wide = table.filter(scoped), table.filter(pc.invert(scoped))
-        if wide.num_rows:
-            found.append(_search_tenants(wide, chunks, k))
-        if narrow.num_rows:
-            found.append(_search_documents(narrow, chunks, k))
-    else:
-        asked = stage(asked, "asked")
-        wide = asked.where(F.col("document_id").isNull())
-        narrow = asked.where(F.col("document_id").isNotNull())
-        found.append(_search_tenants_sliced(wide, chunks, k, question_block))
-        found.append(_search_documents_shuffled(narrow, chunks, k, chunk_block, question_block))
-    return rank_hits(reduce(DataFrame.unionByName, found or [_empty(chunks)]), k)
+    """Partial hits of ``asked`` (query_id, document_id, embedding, ``tenant_keys``) among the chunks with the same
+    keys, and the same document where the question has one."""
+    kinds = [tenant_keys, [*tenant_keys, "document_id"]]
+    scope = F.when(F.col("document_id").isNull(), _scope(kinds[0])).otherwise(_scope(kinds[1]))
+    asked = asked.where(F.col("embedding").isNotNull() & F.col("tenant_id").isNotNull())
+    asked = asked.select(scope.alias("scope"), "query_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    packed = _packed(asked.hint("rebalance", "scope"), F.col("scope"), ["query_id", "embedding"], _QUESTION_ROWS, question_block)
+    # written once: the vectors may come from an encoder
+    blocks = packed.select("scope", F.col("rows").alias("asked")).withColumn("number", F.monotonically_increasing_id())
+    blocks = stage(blocks, "asked").withColumn("place", F.from_json("scope", "array<string>"))
+    bytes_ = F.sum(F.size("asked") * F.size(F.col("asked")[0]["embedding"]) * 4).alias("bytes")
+    sizes = {r.keys: r.bytes for r in blocks.groupBy(F.size("place").alias("keys")).agg(bytes_).collect()}
+    found = [
+        _meet(blocks.where(F.size("place") == len(keys)), chunks, keys, k, chunk_block, sizes[len(keys)] <= broadcast_bytes)
+        for keys in kinds
+        if len(keys) in sizes
+    ]
+    return reduce(DataFrame.unionByName, found or [chunks.sparkSession.createDataFrame([], PARTIAL_DDL)])
+
+
+def _meet(blocks: DataFrame, chunks: DataFrame, keys: list[str], k: int, chunk_block: int, few: bool) -> DataFrame:
+    """Blocks of questions of one kind with the chunks' blocks."""
+    types = dict(chunks.dtypes)
+    # the scopes asked for cut the scan down: a predicate on their side lets partitions be pruned by them
+    scopes = blocks.where(F.size("asked") > 0)
+    scopes = scopes.select(*[F.col("place")[i].cast(types[c]).alias(c) for i, c in enumerate(keys)]).distinct()
+    near = chunks.join(scopes, keys, "left_semi").select(*dict.fromkeys([*keys, *_CHUNK_ROW]))
+    packed = _packed(near, _scope(keys), _CHUNK_ROW, _CHUNK_ROWS, chunk_block)
+    blocks = blocks.drop("place")
+    if few:
+        return _compare(packed.join(F.broadcast(blocks), "scope"), k)
+    hot = F.broadcast(hot_keys(near.select(_scope(keys).alias("scope")), "scope", SCOPE_CHUNKS))
+    first = F.col("rows")[0]
+    salt = F.pmod(F.xxhash64(first["document_id"], first["chunk_index"], first["text_hash"]), F.coalesce("_salts", F.lit(1)))
+    left = packed.join(hot, "scope", "left").withColumn("salt", salt.cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = blocks.join(hot, "scope", "left").withColumn("salt", F.explode(copies)).drop("_salts")
+    return _compare(left.join(right, ["scope", "salt"]), k)
+
+
+def top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, **blocks) -> DataFrame:
+    """Exact ``k`` nearest chunks per question: (query_id, document_id, chunk_index, text_hash, distance, rank).
+
+    ``blocks``: ``question_block``, ``chunk_block`` and ``broadcast_bytes``, which decide the plan, not the result.
+    """
+    return rank_hits(_search(questions, _searchable(chunks), ["tenant_id"], k, **blocks), k)
+
+
+def document_bucket(document: Column) -> Column:
+    """The partition of a stored document's chunks within its tenant."""
+    return F.pmod(F.xxhash64(document), F.lit(DOCUMENT_BUCKETS)).cast("int")
 
 
 def hit_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the chunk columns a reader needs.
 
-    Hits are staged first, so that the search runs once. A small set is sent to the chunk scan,
-    which is cut down to the documents hit if they are few; a large one meets the chunks by a
-    shuffle on the store's key of document and text hash.
+    Hits are staged first, so that the search runs once. They meet the chunks by the store's key of document
+    and text hash, and by the bucket of the document where the store is parted by it: then the scan reads the
+    buckets hit, found when the query runs.
     """
-    wanted = chunks.select(
-        "document_id",
-        "text_hash",
-        "chunk_text",
-        "page_number",
-        "sheet_name",
-        F.coalesce("chunk_type", F.lit(DEFAULT_CHUNK_TYPE)).alias("chunk_type"),
-    )
-    hits = stage(hits, "hits")
-    small = _collect_block(hits, BROADCAST_HITS)
-    if small is not None:
-        documents = small.column("document_id").unique().to_pylist()
-        if len(documents) <= PRUNED_DOCUMENTS:
-            wanted = wanted.where(F.col("document_id").isin(documents))
-        hits = F.broadcast(hits)
-    return wanted.join(hits, ["document_id", "text_hash"])
+    keys = ["document_id", "text_hash"]
+    kind = F.coalesce("chunk_type", F.lit(DEFAULT_CHUNK_TYPE)).alias("chunk_type")
+    hits = stage(hits, "hits").where("rank > 0")
+    if "document_bucket" in chunks.columns:
+        keys.append("document_bucket")
+        hits = hits.withColumn("document_bucket", document_bucket(F.col("document_id")))
+    wanted = chunks.select(*keys, "chunk_text", "page_number", "sheet_name", kind)
+    return wanted.join(hits, keys).drop("document_bucket")
 
 
 def cite_sources(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -246,28 +191,53 @@ def cite_sources(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(documents.select("document_id", "source_uri"), "document_id", "left")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = TOP_K, **blocks) -> DataFrame:
-    """Ranked hits with text and citation columns."""
-    return cite_sources(hit_texts(top_k(questions, chunks, k, **blocks), chunks), documents)
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = TOP_K, cells: Cells | None = None, **options
+) -> DataFrame:
+    """Ranked hits with text and citation columns; with ``cells``, ``chunks`` have a ``cell`` and are searched by it."""
+    hits = top_k(questions, chunks, k, **options) if cells is None else top_k_cells(questions, chunks, cells, k=k, **options)
+    return cite_sources(hit_texts(hits, chunks), documents)
 
 
-# --- approximate search over coarse cells ---
+# --- search over coarse cells ---
 
 
 class Cells:
-    """Centroids of the coarse index: ``lists`` x ``dim``, a size fixed by the caller."""
+    """Centroids of the coarse index and, once measured, the radius of each cell: a size fixed by the caller."""
 
-    def __init__(self, centroids: np.ndarray) -> None:
+    def __init__(self, centroids: np.ndarray, radii: np.ndarray | None = None) -> None:
         self.centroids = np.asarray(centroids, dtype=np.float64)
+        self.radii = radii
+        self._gaps: np.ndarray | None = None
 
-    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
-        n = min(n, len(self.centroids))
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
         far = (
             np.einsum("ij,ij->i", vectors, vectors)[:, None]
             + np.einsum("ij,ij->i", self.centroids, self.centroids)[None, :]
             - 2.0 * (vectors @ self.centroids.T)
         )
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+        return np.sqrt(np.maximum(far, 0.0))
+
+    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(self.distances(vectors), axis=1, kind="stable")[:, : min(n, len(self.centroids))]
+
+    def beyond(self, vectors: np.ndarray, n: int, reach: np.ndarray, factor: float) -> list[np.ndarray]:
+        """Per vector the cells after the ``n`` nearest that may hold something nearer than ``reach``.
+
+        No member of a cell is nearer than the distance to its centroid less its radius; nor, as members are
+        in the cell of their nearest centroid, than the plane midway between that centroid and the nearest one
+        to the vector. A ``factor`` above 1 shortens the reach by it.
+        """
+        distances = self.distances(vectors)
+        order = np.argsort(distances, axis=1, kind="stable")
+        own = order[:, 0] if len(order) else np.zeros(0, np.int64)
+        if self._gaps is None:
+            self._gaps = self.distances(self.centroids)
+        gaps = 2 * np.maximum(self._gaps[own], 1e-12)
+        plane = (distances**2 - np.take_along_axis(distances, own[:, None], 1) ** 2) / gaps
+        plane[np.arange(len(own)), own] = 0.0
+        least = np.take_along_axis(np.maximum(distances - self.radii[None, :], plane), order[:, n:], 1)
+        return [cells[bound * factor <= r + 1e-9] for cells, bound, r in zip(order[:, n:], least, reach)]
 
 
 def train_cells(chunks: DataFrame, lists: int, seed: int = 42, rounds: int = 10) -> Cells:
@@ -293,60 +263,108 @@ def mean_cells(labelled: DataFrame) -> Cells:
     return Cells(matrix(table.column("row")))
 
 
+def _lists_of(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+
+
 def _nearest_udf(cells: Cells, n: int):
     """The ``n`` nearest cells of a vector; nondeterministic only to be run once per row."""
 
     @F.arrow_udf("array<int>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        found = cells.nearest(matrix(vectors), n).astype(np.int32)
-        offsets = np.arange(len(found) + 1, dtype=np.int32) * (found.shape[1] if len(found) else 0)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+        return _lists_of(list(cells.nearest(matrix(vectors), n)))
 
     return nearest.asNondeterministic()
 
 
+def _beyond_udf(cells: Cells, n: int, factor: float):
+    @F.arrow_udf("array<int>")
+    def beyond(vectors: pa.Array, reach: pa.Array) -> pa.Array:
+        return _lists_of(cells.beyond(matrix(vectors), n, reach.to_numpy(zero_copy_only=False), factor))
+
+    return beyond.asNondeterministic()
+
+
 def assign_cells(chunks: DataFrame, cells: Cells) -> DataFrame:
     """``chunks`` that have a vector, with its ``cell``; one narrow pass."""
     return _searchable(chunks).withColumn("cell", _nearest_udf(cells, 1)("embedding")[0])
 
 
+def measured(cells: Cells, indexed: DataFrame) -> Cells:
+    """``cells`` with their radii: the largest distance from a centroid to a member, -inf without members.
+
+    One row per cell comes back. Members that are added later must be measured, too (``max`` of both).
+    """
+
+    @F.arrow_udf("double")
+    def own_distance(vectors: pa.Array, own: pa.Array) -> pa.Array:
+        distances = cells.distances(matrix(vectors))
+        return pa.array(distances[np.arange(len(distances)), own.to_numpy()])
+
+    far = indexed.where(F.col("embedding").isNotNull()).groupBy("cell").agg(F.max(own_distance("embedding", "cell")).alias("far"))
+    radii = np.full(len(cells.centroids), -np.inf)
+    for row in far.collect():
+        radii[row.cell] = row.far
+    return Cells(cells.centroids, radii)
+
+
 def write_cells(indexed: DataFrame, path: str) -> None:
     """Store chunks by cell; a crowded cell is split into as many tasks and files as its size asks for."""
     indexed.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path)
 
 
+def probe_cells(
+    questions: DataFrame, indexed: DataFrame, cells: Cells, probes: int, k: int, factor: float | None, **blocks
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, probes): what ``top_k_cells`` returns, and the (query_id, tenant_id, document_id, cell) it read."""
+    keys, columns = ["tenant_id", "cell"], ["query_id", "tenant_id", "document_id"]
+    asked = questions.where(F.col("embedding").isNotNull() & F.col("tenant_id").isNotNull()).select(*columns, "embedding")
+    # questions are placed once, however often they are read
+    asked = stage(asked.withColumn("cells", _nearest_udf(cells, probes)("embedding")), "probed")
+    first = asked.select(*columns, "embedding", F.explode("cells").alias("cell"))
+    chunks = _searchable(indexed)
+    hits = rank_hits(_search(first, chunks, keys, k, **blocks), k)
+    read = first.select(*columns, "cell")
+    if factor is None:
+        return hits, read
+    hits = stage(hits, "first-hits")
+    full = hits.groupBy("query_id").agg(F.max("distance").alias("reach"), F.count("*").alias("n")).where(F.col("n") >= k)
+    reach = F.coalesce("reach", F.lit(float("inf")))
+    rest = asked.join(full.drop("n"), "query_id", "left").withColumn("reach", reach)
+    rest = stage(rest.withColumn("cells", _beyond_udf(cells, probes, factor)("embedding", "reach")), "probed-again")
+    second = rest.select(*columns, "embedding", F.explode("cells").alias("cell"))
+    more = _search(second, chunks, keys, k, **blocks)
+    return rank_hits(hits.drop("rank").unionByName(more), k), read.unionByName(second.select(*columns, "cell"))
+
+
 def top_k_cells(
     questions: DataFrame,
     indexed: DataFrame,
     cells: Cells,
-    probes: int,
+    probes: int = 1,
     k: int = TOP_K,
-    question_block: int = QUESTION_BLOCK,
+    factor: float | None = None,
+    **blocks,
 ) -> DataFrame:
-    """Approximate tenant-wide search: only the ``probes`` cells nearest to a question are read."""
-    pending = [(1, 0)]
-    found: DataFrame | None = None
-    probed = questions.where(F.col("embedding").isNotNull())
-    probed = probed.withColumn("_cells", _nearest_udf(cells, probes)("embedding")).select(
-        "query_id",
-        "embedding",
-        "_cells",
-        F.transform("_cells", lambda c: _scope(F.col("tenant_id"), c.cast("string"))).alias("scopes"),
-    )
-    probed = stage(probed, "probed")  # questions are encoded and placed once, however many slices follow
-    scope = _scope(F.col("tenant_id"), F.col("cell").cast("string"))
-    while pending:
-        parts, part = pending.pop()
-        table = _collect_block(
-            probed.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), question_block
-        )
-        if table is None:
-            pending += [(parts * 2, part), (parts * 2, part + parts)]
-        elif table.num_rows:
-            wanted = sorted({c for row in table.column("_cells").to_pylist() for c in row})
-            hits = _scan(indexed.where(F.col("cell").isin(wanted)), scope, _as_questions(table), k)
-            found = hits if found is None else found.unionByName(hits)
-    return rank_hits(found if found is not None else _empty(indexed), k)
+    """``k`` nearest chunks by inverted lists: the blocks of a cell meet the questions that probe it, by a join on
+    (tenant, cell) and, for questions with a document, on that.
+
+    Without ``factor`` only the ``probes`` nearest cells are read. With it, cells must be ``measured``: the
+    first round's k-th distance tells which other cells may hold something nearer, and a second round reads
+    them. A factor of 1 is exact; above 1 cells are left out whose bound, times the factor, exceeds it.
+    """
+    return probe_cells(questions, indexed, cells, probes, k, factor, **blocks)[0]
+
+
+def share_read(probes: DataFrame, questions: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``read``, the share of the tenants' vectors that probing tenant-wide questions compared, over all questions."""
+    sizes = _searchable(indexed).groupBy("tenant_id", "cell").agg(F.count("*").alias("n"))
+    tenants = sizes.groupBy("tenant_id").agg(F.sum("n").alias("n"))
+    seen = probes.join(sizes, ["tenant_id", "cell"]).agg(F.sum("n").alias("seen"))
+    whole = questions.join(tenants, "tenant_id").agg(F.sum("n").alias("whole"))
+    return seen.join(whole).select((F.col("seen") / F.col("whole")).alias("read"))  # one row each
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
-"""The per-task part of nearest-neighbour search: questions against Arrow batches of chunks.
+"""The per-task part of nearest-neighbour search: a block of questions against blocks of chunks.
 
-A batch is compared with the questions of its scope by one matrix product, and only rows that can
+Two blocks are compared by one matrix product, and only rows that can
 still enter a question's best ``k`` get an exact distance. What a task sends on is ``k`` rows per
 question, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,21 +124,3 @@ class Best:
             }
         ).cast(PARTIAL)
         yield from out.to_batches()
-
-
-def search(batches: Iterable[pa.RecordBatch], questions: Questions, k: int) -> Iterator[pa.RecordBatch]:
-    """Best ``k`` per question over a task's batches (scope, document_id, chunk_index, text_hash, embedding)."""
-    best = Best(questions, k)
-    for batch in batches:
-        asked = pc.is_in(batch.column("scope"), value_set=questions.scopes)
-        batch = batch.filter(asked)
-        if not batch.num_rows:
-            continue
-        x = matrix(batch.column("embedding"))
-        coded = batch.column("scope").dictionary_encode()
-        codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
-        edges = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-        for code, scope in enumerate(coded.dictionary.to_pylist()):
-            best.offer(questions.by_scope[scope], order[edges[code] : edges[code + 1]], x, batch)
-    yield from best.batches()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doclake.functions import text as tx
-from doclake.operators import answers as ans, embedding
+from doclake.operators import answers as ans, embedding, retrieval
 from doclake.plans.ask import ask
 from doclake.plans.catalog.base import (
     REPLIES,
@@ -21,6 +21,7 @@ from doclake.plans.catalog.base import (
 )
 from doclake.plans.catalog.search import corpus, sql_budget, sql_retrieved
 from doclake.schemas import BLANK_ANSWER, CONTEXT_SEPARATOR, ERROR_ANSWER, REFUSAL
+from doclake.session import stage
 
 
 def _quoted(text: str) -> str:
@@ -255,8 +256,7 @@ ASKED = f"""
     GROUP BY namespace, question"""
 
 
-@query(
-    f"""WITH fresh AS (SELECT a.namespace, a.question, b.block, lower(a.question) LIKE '%oui%' AS bad
+ANSWERED = f"""WITH fresh AS (SELECT a.namespace, a.question, b.block, lower(a.question) LIKE '%oui%' AS bad
         FROM ({ASKED}) a JOIN ({sql_budget(sql_retrieved(f'SELECT query_id, question FROM ({ASKED})'), 3000)}) b ON a.query_id = b.query_id AND b.rank = 1)
     SELECT q.query_id, q.pos, CASE WHEN {sql_strip('q.question')} = '' THEN {_quoted(BLANK_ANSWER)} WHEN m.answer IS NOT NULL THEN m.answer
                 WHEN f.bad THEN {_quoted(ERROR_ANSWER)} ELSE {sql_strip('f.block')} END AS answer,
@@ -264,9 +264,24 @@ ASKED = f"""
            CASE WHEN {sql_strip('q.question')} = '' THEN 'blank' WHEN m.answer IS NOT NULL THEN 'memo' WHEN f.bad THEN 'error' ELSE 'ok' END AS status
     FROM ({QUESTIONS}) q LEFT JOIN ({MEMO}) m ON m.namespace = q.namespace AND m.question = q.question
     LEFT JOIN fresh f ON f.namespace = q.namespace AND f.question = q.question"""
-)
+
+
+@query(ANSWERED)
 def ask_documents(spark, sf):
     """Memo, retrieval, context, hook, grading and response rows in one plan."""
     chunks, documents = corpus(spark, sf)
     done = ask(user_questions(spark, sf), chunks, documents, stored_answers(spark, sf), _first_source)
     return done.responses.select("query_id", "pos", "answer", "low_confidence", "status")
+
+
+@query(ANSWERED)
+def ask_cells(spark, sf):
+    """The same with the search over cells, whose bounds make it exact."""
+    chunks, documents = corpus(spark, sf)
+    cells = retrieval.train_cells(chunks, 16, rounds=3)
+    indexed = stage(retrieval.assign_cells(chunks, cells), "indexed")
+    done = ask(
+        user_questions(spark, sf), indexed, documents, stored_answers(spark, sf), _first_source,
+        cells=retrieval.measured(cells, indexed), probes=2, factor=1.0,
+    )
+    return done.responses.select("query_id", "pos", "answer", "low_confidence", "status")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,7 +19,8 @@ from doclake.plans.catalog.base import (
     table,
     whole_sections,
 )
-from doclake.session import stage
+from doclake.session import scratch_dir, stage
+from doclake.sources import tables
 
 SEPARATOR_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
@@ -63,6 +65,10 @@ def _rounded(hits):
     return hits.select("query_id", "document_id", "chunk_index", F.round("distance", 6).alias("distance"), "rank")
 
 
+#: Small blocks, none of them broadcast.
+SHUFFLED = {"question_block": 64, "chunk_block": 256, "broadcast_bytes": 0}
+
+
 @query(SHORT.format(_sql_top_k("tenant_id")))
 def topk_global(spark, sf):
     return _rounded(retrieval.top_k(vector_questions(spark, sf, False), vector_chunks(spark, sf)))
@@ -76,12 +82,16 @@ def topk_scoped(spark, sf):
 @query(SHORT.format(_sql_top_k("document_id")))
 def topk_scoped_shuffled(spark, sf):
     """The same by the path for question sets that exceed one block."""
-    hits = retrieval.top_k(
-        vector_questions(spark, sf, True), vector_chunks(spark, sf), question_block=64, chunk_block=256
-    )
+    hits = retrieval.top_k(vector_questions(spark, sf, True), vector_chunks(spark, sf), **SHUFFLED)
     return _rounded(hits)
 
 
+@query(SHORT.format(_sql_top_k("tenant_id")))
+def topk_global_shuffled(spark, sf):
+    """Tenant-wide questions in blocks of 64, met with blocks of chunks by a shuffle."""
+    return _rounded(retrieval.top_k(vector_questions(spark, sf, False), vector_chunks(spark, sf), **SHUFFLED))
+
+
 PAIRS = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
@@ -109,13 +119,13 @@ def cosine_from_l2(spark, sf):
         FROM (SELECT q.vec_id::VARCHAR AS query_id, c.document_id, c.chunk_index, round(list_distance(q.v, c.v), 9) AS distance
               FROM ({VECTORS}) q JOIN v c ON q.document_id = c.document_id))
     SELECT path, query_id, document_id, chunk_index, round(distance, 6) AS distance, rank
-    FROM hits, (VALUES ('one block'), ('shuffled')) p(path) WHERE rank <= 5"""
+    FROM hits, (VALUES ('broadcast'), ('shuffled')) p(path) WHERE rank <= 5"""
 )
 def topk_null_vectors(spark, sf):
     """Chunks without a vector take no part, whichever way the questions go."""
     chunks = vector_chunks(spark, sf).withColumn("embedding", F.when(F.col("chunk_index") % 7 != 0, F.col("embedding")))
     asked = vector_questions(spark, sf, True)
-    paths = {"one block": {"question_block": 1 << 20}, "shuffled": {"question_block": 64, "chunk_block": 256}}
+    paths = {"broadcast": {}, "shuffled": SHUFFLED}
     found = [_rounded(retrieval.top_k(asked, chunks, **b)).withColumn("path", F.lit(p)) for p, b in paths.items()]
     return reduce(DataFrame.unionByName, found)
 
@@ -145,49 +155,72 @@ def _versions(spark, sf):
     WHERE rank <= 4"""
 )
 def reingest_retrieve(spark, sf):
-    """A first version of every document, an edited one upserted after it, and retrieval over both."""
+    """A first version of every document, an edited one upserted after it, and retrieval over both from a table
+    parted by tenant and bucket of documents."""
     rows = _versions(spark, sf)
     first = store.new_chunks(rows.where("_version = 0").drop("_version"), rows.limit(0))
     both = first.unionByName(store.new_chunks(rows.where("_version = 1").drop("_version"), first))
     documents = rows.select("document_id", F.concat(F.lit("doc://"), "document_id").alias("source_uri")).distinct()
+    path = f"{scratch_dir(spark)}/versions-{uuid.uuid4().hex}"
+    tables.write_chunks(both, path, bucketed=True)
+    both = tables.read_chunks(spark, path)
     hits = retrieval.retrieve(vector_questions(spark, sf, True).withColumn("tenant_id", F.lit("default")), both, documents, 4)
     return hits.select("query_id", "rank", "document_id", "chunk_text", "source_uri", "chunk_type")
 
 
-LISTS, PROBES = 20, 3
+LISTS, PROBES, FACTOR = 20, 2, 5.5
 
 
 def _cells(spark, sf):
     chunks = vector_chunks(spark, sf)
     cells = retrieval.train_cells(chunks, LISTS)
-    return cells, retrieval.assign_cells(chunks, cells)
+    indexed = stage(retrieval.assign_cells(chunks, cells), "indexed")
+    return retrieval.measured(cells, indexed), indexed
 
 
 def _label_cells(spark, sf):
     """Cells around the mean vector of each label: centroids that SQL can compute, too."""
     cells = retrieval.mean_cells(table(spark, sf, "embeddings").select("label", "embedding"))
-    return cells, retrieval.assign_cells(vector_chunks(spark, sf), cells)
+    indexed = stage(retrieval.assign_cells(vector_chunks(spark, sf), cells), "indexed")
+    return retrieval.measured(cells, indexed), indexed
 
 
-SQL_IVF = f"""
+# ``read``: the lists that a question probes, in two rounds; ``hits``: the five nearest in them.
+SQL_CELLS = f"""
     WITH v AS ({VECTORS}),
     c AS (SELECT label, list(m ORDER BY dim) AS m FROM (
               SELECT label, dim, avg(x) AS m FROM (
                   SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
               GROUP BY label, dim) GROUP BY label),
-    near AS (SELECT vec_id, tenant_id, document_id, chunk_index, v, label,
+    near AS (SELECT vec_id, tenant_id, document_id, chunk_index, v, label, list_distance(v.v, c.m) AS far, c.m,
                     row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v.v, c.m), label) AS place FROM v, c),
-    hits AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id, chunk_index))::INT AS rank
-             FROM (SELECT q.vec_id::VARCHAR AS query_id, x.document_id, x.chunk_index, round(list_distance(q.v, x.v), 9) AS distance
-                   FROM near q JOIN near x ON q.tenant_id = x.tenant_id AND q.label = x.label
-                   WHERE q.place <= {PROBES} AND x.place = 1))
-    SELECT query_id, document_id, chunk_index, distance, rank FROM hits WHERE rank <= 5"""
+    members AS MATERIALIZED (SELECT * FROM near WHERE place = 1),
+    radii AS (SELECT label, max(far) AS radius FROM members GROUP BY label),
+    pairs AS MATERIALIZED (
+        SELECT q.vec_id AS query, x.label, x.document_id, x.chunk_index, round(list_distance(q.v, x.v), 9) AS distance
+        FROM v q JOIN members x ON q.tenant_id = x.tenant_id),
+    reach AS (
+        SELECT query, max(distance) AS reach FROM (
+            SELECT p.query, p.distance FROM pairs p JOIN near q ON q.vec_id = p.query AND q.label = p.label AND q.place <= {PROBES}
+            QUALIFY row_number() OVER (PARTITION BY p.query ORDER BY p.distance, p.document_id, p.chunk_index) <= 5)
+        GROUP BY query HAVING count(*) = 5),
+    read AS (
+        SELECT q.vec_id AS query, q.label FROM near q JOIN radii USING (label) JOIN members o ON o.vec_id = q.vec_id
+        LEFT JOIN reach ON reach.query = q.vec_id
+        WHERE q.place <= {PROBES}
+           OR greatest(q.far - radius, (q.far ** 2 - o.far ** 2) / (2 * list_distance(q.m, o.m))) * {FACTOR}
+              <= coalesce(reach, 'inf'::DOUBLE) + 1e-9),
+    hits AS (
+        SELECT query::VARCHAR AS query_id, document_id, chunk_index, distance,
+               (row_number() OVER (PARTITION BY query ORDER BY distance, document_id, chunk_index))::INT AS rank
+        FROM pairs JOIN read USING (query, label))"""
 
 
-@query(SHORT.format(SQL_IVF))
+@query(f"{SQL_CELLS} SELECT query_id, document_id, chunk_index, round(distance, 6) AS distance, rank FROM hits WHERE rank <= 5")
 def topk_ivf(spark, sf):
+    """Two cells first, then those whose bound, relaxed by a factor, the fifth distance does not exclude."""
     cells, indexed = _label_cells(spark, sf)
-    return _rounded(retrieval.top_k_cells(vector_questions(spark, sf, False), indexed, cells, PROBES))
+    return _rounded(retrieval.top_k_cells(vector_questions(spark, sf, False), indexed, cells, PROBES, factor=FACTOR))
 
 
 @query(SHORT.format(_sql_top_k("tenant_id")))
@@ -198,15 +231,40 @@ def topk_ivf_all_cells(spark, sf):
 
 
 @query(
-    f"""SELECT count(*) AS expected, count(a.query_id) AS found, count(a.query_id) / count(*) AS recall
-    FROM ({_sql_top_k('tenant_id')}) e LEFT JOIN ({SQL_IVF}) a USING (query_id, document_id, chunk_index)"""
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS scope, * FROM ({SHORT.format(_sql_top_k(column))})"
+        for name, column in (("tenant", "tenant_id"), ("document", "document_id"))
+    )
+)
+def topk_ivf_exact(spark, sf):
+    """A factor of 1 gives the exact result, over a tenant and within a document, many questions as well."""
+    cells, indexed = _cells(spark, sf)
+    found = [
+        _rounded(
+            retrieval.top_k_cells(
+                vector_questions(spark, sf, scoped), indexed, cells, 1, factor=1.0, question_block=64, broadcast_bytes=small
+            )
+        ).withColumn("scope", F.lit(name))
+        for name, scoped, small in (("tenant", False, 1 << 26), ("document", True, 0))
+    ]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    f"""{SQL_CELLS},
+    found AS (SELECT query_id, document_id, chunk_index FROM hits WHERE rank <= 5)
+    SELECT *, found / expected AS recall FROM (
+        SELECT count(*) AS expected, count(a.query_id) AS found
+        FROM ({_sql_top_k('tenant_id')}) e LEFT JOIN found a USING (query_id, document_id, chunk_index)),
+    (SELECT (SELECT count(*) FROM pairs JOIN read USING (query, label)) / (SELECT count(*) FROM pairs) AS read)"""
 )
 def ivf_recall(spark, sf):
+    """Recall against the exact search, and the share of the tenants' vectors that was compared."""
     cells, indexed = _label_cells(spark, sf)
     questions = vector_questions(spark, sf, False)
-    return retrieval.recall(
-        retrieval.top_k_cells(questions, indexed, cells, PROBES), retrieval.top_k(questions, vector_chunks(spark, sf))
-    )
+    hits, probes = retrieval.probe_cells(questions, indexed, cells, PROBES, 5, FACTOR)
+    found = retrieval.recall(hits, retrieval.top_k(questions, vector_chunks(spark, sf)))
+    return found.join(retrieval.share_read(probes, questions, indexed))  # one row each
 
 
 # --- contexts of the hits above: texts from documents by id ---

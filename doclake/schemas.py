@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 # Sizes and limits that decide results.
-MODEL_TOKENS = 512
 CHUNK_TOKENS = 462
 OVERLAP_TOKENS = 50
 MIN_CHUNK_TOKENS = 10
@@ -11,15 +10,13 @@ SPECIAL_TOKENS = 2
 EMBEDDING_DIM = 384
 ENCODE_BATCH = 32
 TOP_K = 5
-IVF_LISTS = 100
-IVF_PROBES = 1
+DOCUMENT_BUCKETS = 64
 CONTEXT_TOKENS = 3000
 MAX_FILE_BYTES = 26_214_400
 MIN_OVERLAP = 0.15
 DEFAULT_TENANT = "default"
 DEFAULT_CHUNK_TYPE = "paragraph"
 DEFAULT_SOURCE_TYPE = "url"
-SECTION_TYPES = ("paragraph", "heading", "table", "row")
 FILE_TYPES = ("pdf", "docx", "xlsx", "csv")
 
 # Texts that callers compare against.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doclake.operators.ranking import BLOCK, block_of
+from doclake.operators.retrieval import document_bucket
 from doclake.schemas import CHUNKS, DOCUMENTS
 
 
@@ -12,21 +13,26 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append") -> No
     documents.write.mode(mode).parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append", bucketed: bool = False) -> None:
     """Partition by tenant and keep a document's chunks together.
 
     Rows are laid out by document, so row-group statistics serve document filters; a long document
     is cut into blocks. The number of files follows the data: partitions are rebalanced to the advisory
-    size, small ones joined and large ones split.
+    size, small ones joined and large ones split. ``bucketed`` parts a tenant further by ``document_bucket``,
+    which retrieval prunes by: for tenants with many files.
     """
+    parts = ["tenant_id"]
+    if bucketed:
+        chunks = chunks.withColumn("document_bucket", document_bucket(F.col("document_id")))
+        parts.append("document_bucket")
     block = block_of(F.coalesce("chunk_index", F.lit(0)), BLOCK)
     (
         chunks.withColumn("_block", block)
-        .hint("rebalance", F.col("tenant_id"), F.col("document_id"), F.col("_block"))
+        .hint("rebalance", *map(F.col, parts), F.col("document_id"), F.col("_block"))
         .drop("_block")
-        .sortWithinPartitions("tenant_id", "document_id", "chunk_index")
+        .sortWithinPartitions(*parts, "document_id", "chunk_index")
         .write.mode(mode)
-        .partitionBy("tenant_id")
+        .partitionBy(*parts)
         .parquet(path)
     )
 
@@ -36,4 +42,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk table; one that was written ``bucketed`` also has its ``document_bucket``."""
     return spark.read.schema(CHUNKS).parquet(path)
