@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from doclake.functions import network as net
 from doclake.operators import identity
 from doclake.plans.catalog.base import LINE_PAGES, line_pages, query, sql_strip, table, turns
+from doclake.session import scratch_dir
 from doclake.sources import detect, files as fs, sections as sx
+from doclake.sources.folder import write_files
 
 # --- files made of documents: the language decides the disguise ---
 
@@ -84,10 +87,23 @@ def size_cap(spark, sf):
     return marked.join(lengths, "source_uri").select(F.col("source_uri").cast("bigint").alias("doc_id"), "length", "rejected")
 
 
-@query()
+HIDDEN_NAME = """CASE lang WHEN 'en' THEN '_' || doc_id WHEN 'fr' THEN '.' || doc_id WHEN 'de' THEN '.' || doc_id || '.crc'
+    ELSE doc_id || '.txt' END"""
+
+
+@query(f"SELECT {HIDDEN_NAME} AS file_name, octet_length(encode(text))::BIGINT AS length, sha256(text) AS checksum FROM documents")
 def scan_folder(spark, sf):
-    """The table folder itself as binary files, with checksums."""
-    return fs.scan_folder(spark, sf).select(
+    """Documents written as files, three languages under names that Spark's readers pass over, and scanned."""
+    key = F.col("doc_id").cast("string")
+    name = (
+        F.when(F.col("lang") == "en", F.concat(F.lit("_"), key))
+        .when(F.col("lang") == "fr", F.concat(F.lit("."), key))
+        .when(F.col("lang") == "de", F.concat(F.lit("."), key, F.lit(".crc")))
+        .otherwise(F.concat(key, F.lit(".txt")))
+    )
+    folder = f"{scratch_dir(spark)}/folder-{uuid.uuid4().hex}"
+    write_files(table(spark, sf, "documents").select(name.alias("file_name"), F.encode("text", "UTF-8").alias("content")), folder)
+    return fs.read_files(fs.scan_folder(spark, folder)).select(
         "file_name", "length", identity.bytes_checksum(F.col("content")).alias("checksum")
     )
 
@@ -160,6 +176,47 @@ def csv_rows(spark, sf):
     return fs.csv_sections(_order_csv(spark, sf)).select("document_id", "position", "section_type", "text")
 
 
+LONG_LINES = """
+    SELECT l_orderkey // 2000 AS file, row_number() OVER (PARTITION BY l_orderkey // 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line,
+           l_linenumber, l_partkey, l_returnflag FROM lineitem"""
+
+
+@query(
+    f"""SELECT file || '.csv' AS source_uri, (line - 1)::INT AS position,
+           'line: ' || l_linenumber || '; item: part ' || l_partkey || ',' || chr(10) || chr(10) || 'flag "' || l_returnflag || '"; note: ' AS text
+    FROM ({LONG_LINES})"""
+)
+def csv_splits(spark, sf):
+    """Files of 2,000 orders each, with line breaks, commas and quotes in cells, and blank lines between records; read
+    in splits of 64 KB."""
+    line = F.concat(
+        F.col("l_linenumber").cast("string"),
+        F.lit(',"part '), F.col("l_partkey").cast("string"), F.lit(',\n\nflag ""'), F.col("l_returnflag"), F.lit('""",'),
+        F.col("l_suppkey").cast("string"), F.lit(",\n,,\n"),
+    )
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+    contents = (
+        table(spark, sf, "lineitem")
+        .groupBy(F.call_function("div", F.col("l_orderkey"), F.lit(2000)).cast("string").alias("file"))
+        .agg(F.array_sort(F.collect_list(order)).alias("lines"))
+        .select(
+            F.concat("file", F.lit(".csv")).alias("file_name"),
+            F.encode(
+                F.concat(F.lit("line,item,,note\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "")), "UTF-8"
+            ).alias("content"),
+        )
+    )
+    folder = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_files(contents, folder)
+    name = F.col("file_name")
+    listed = fs.scan_folder(spark, folder).select(
+        "path", "length", name.alias("document_id"), name.alias("source_uri"), F.lit("csv").alias("file_type")
+    )
+    units = fs.csv_split_units(listed, 1 << 16).where("kind = 'record'")
+    sections = sx.record_sections(units.select("document_id", F.col("j").alias("position"), "header", F.col("cells").alias("values")))
+    return sections.select(F.col("document_id").alias("source_uri"), "position", "text")
+
+
 # --- sheets made of customer, part and supplier ---
 
 

@@ -12,6 +12,7 @@ from doclake.operators.hotjoin import join_unique
 from doclake.schemas import DEFAULT_TENANT, MAX_FILE_BYTES
 from doclake.session import stage
 from doclake.sources import detect, files as fs
+from doclake.sources.csv_splits import SPLIT_BYTES
 
 # How documents get registered. ``url``: before parsing, so a file that cannot be parsed still has
 # a record. ``upload``: the same, but files of unknown type are turned away first. ``folder``: only
@@ -41,6 +42,32 @@ def identified(files: DataFrame, tenant: str) -> DataFrame:
     )
 
 
+def _typed(files: DataFrame, tenant: str, base: int = 0) -> DataFrame:
+    """Files with content, named and typed.
+
+    Every file is decoded, sectioned and chunked by itself, also if another has its name: until then its key is
+    the document and a number of its own, fixed when the units are staged.
+    """
+    number = (F.monotonically_increasing_id() + base).cast("string")
+    typed = detect.detect_types(identified(files, tenant))
+    return typed.withColumn("document_id", F.concat_ws("#", "document_id", number))
+
+
+def _units(files: DataFrame, tenant: str, decoders: dict[str, Callable] | None, split_bytes: int) -> DataFrame:
+    """Staged raw units of files with ``content`` or, where that is missing, ``path``."""
+    if "content" in files.columns:
+        return fs.decode_staged(_typed(files, tenant), decoders)
+    short = fs.read_files(files.where(F.col("length") <= split_bytes))
+    long_ = files.where(F.col("length") > split_bytes)
+    heads = fs.read_files(long_, split_bytes, detect.SNIFFED_BYTES, (detect.PDF_SIGNATURE, detect.ZIP_SIGNATURE))
+    # a base of their own keeps the numbers of long files apart from those of short ones
+    typed = _typed(heads, tenant, 1 << 62).withColumn("checksum", F.when(~F.col("cut"), F.col("checksum")))
+    split = F.col("cut") & (F.col("file_type") == "csv")
+    large = stage(typed.where(split).select("document_id", "source_uri", "file_type", "path", "length"), "large")
+    units = fs.decode(_typed(short, tenant), decoders).unionByName(fs.decode(typed.where(~split), decoders))
+    return stage(units.unionByName(fs.csv_split_units(large, split_bytes)), "units", partition_by=["kind"])
+
+
 def ingest(
     files: DataFrame,
     documents: DataFrame,
@@ -51,11 +78,14 @@ def ingest(
     max_bytes: int = MAX_FILE_BYTES,
     decoders: dict[str, Callable] | None = None,
     load=embedding.HashEncoder,
+    split_bytes: int = SPLIT_BYTES,
     **packing,
 ) -> Ingested:
-    """Run a batch of files (file_name, length, content, optionally source_uri) against the store.
+    """Run a batch of files (file_name, length, content or path, optionally source_uri) against the store.
 
-    Bytes are read once: everything after decoding works on the staged units. Chunks and fresh
+    Files that come by ``path``, as ``scan_folder`` lists them, are read after the size cap; CSV files of more
+    than ``split_bytes`` among them are read in splits and have no checksum. Bytes are read once: everything
+    after decoding works on the staged units. Chunks and fresh
     vectors are staged too, since each is used more than once.
     """
     source_type = MODES[mode]
@@ -66,12 +96,7 @@ def ingest(
         name = F.coalesce("source_uri", name) if "source_uri" in files.columns else name
         _, rejects = fs.split_by_size(files.withColumn("source_uri", name), max_bytes)
         files = files.where(F.col("length") <= max_bytes)
-    named = identified(files, tenant)
-    # every file is decoded, sectioned and chunked by itself, also if another has its name: until then its
-    # key is the document and a number of its own, fixed when the units are staged
-    number = F.monotonically_increasing_id().cast("string")
-    typed = detect.detect_types(named).withColumn("document_id", F.concat_ws("#", "document_id", number))
-    units = fs.decode_staged(typed, decoders)
+    units = _units(files, tenant, decoders, split_bytes)
     errors = fs.unit_rejects(units)
     rejects = errors if rejects is None else rejects.unionByName(errors)
 

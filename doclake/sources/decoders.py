@@ -6,6 +6,7 @@ A decoder yields dicts with ``kind`` and
 - paragraph: i (order), name (style), text
 - cell: i (table), j (row), k (column), text
 - row: i (sheet), j (row), name (sheet name), cells (list of str)
+- record: j (position among the records of the file), header and cells (lists of str)
 
 It raises ``PasswordProtected`` or ``ValueError`` for a rejection with its own message. Only light
 per-file work belongs here; splitting, pairing and numbering are DataFrame operators.
@@ -13,11 +14,10 @@ per-file work belongs here; splitting, pairing and numbering are DataFrame opera
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator
 
 from doclake.schemas import PASSWORD_PROTECTED
+from doclake.sources.csv_splits import whole_records
 
 
 class PasswordProtected(ValueError):
@@ -25,16 +25,10 @@ class PasswordProtected(ValueError):
         super().__init__(PASSWORD_PROTECTED)
 
 
-def csv_cells(data: bytes) -> Iterator[list[str]]:
-    """Rows of a CSV file; undecodable bytes are replaced, and a cell may be as long as the file."""
-    if len(data) > csv.field_size_limit():
-        csv.field_size_limit(len(data))
-    return csv.reader(io.StringIO(data.decode("utf-8", errors="replace")))
-
-
 def decode_csv(data: bytes) -> Iterator[dict]:
-    for index, cells in enumerate(csv_cells(data)):
-        yield {"kind": "row", "i": 0, "j": index, "name": None, "cells": cells}
+    """Records of a CSV file; undecodable bytes are replaced."""
+    for position, header, cells in whole_records(data):
+        yield {"kind": "record", "j": position, "header": header, "cells": cells}
 
 
 # Other kinds have no built-in decoder: callers bring theirs, and without one such files become

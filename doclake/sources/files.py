@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from doclake.functions import network as net
-from doclake.operators.ranking import BLOCK, dense_position
 from doclake.schemas import (
     MAX_FILE_BYTES,
     REASON_NO_DECODER,
@@ -25,63 +22,31 @@ from doclake.schemas import (
 )
 from doclake.session import stage
 from doclake.sources import sections as sx
-from doclake.sources.decoders import DECODERS, PasswordProtected, csv_cells
+from doclake.sources.csv_splits import RECORDS, SPLIT_BYTES, read_splits, record_columns, whole_records
+from doclake.sources.decoders import DECODERS, PasswordProtected
+from doclake.sources.folder import list_folder, read_files  # noqa: F401
 
 REJECT_COLUMNS = ["source_uri", "file_type", "reason", "message"]
 
 # One row per page, paragraph, table cell or sheet row of a file; the columns a kind lacks are null.
 UNITS = (
     "document_id string, source_uri string, file_type string, kind string, i int, j int, k int, "
-    "name string, text string, cells array<string>"
+    "name string, text string, cells array<string>, header array<string>"
 )
 UNIT_SCHEMA = pa.schema(
     [(c, pa.string()) for c in ("document_id", "source_uri", "file_type", "kind")]
     + [(c, pa.int32()) for c in "ijk"]
-    + [("name", pa.string()), ("text", pa.string()), ("cells", pa.list_(pa.string()))]
+    + [("name", pa.string()), ("text", pa.string()), ("cells", pa.list_(pa.string())), ("header", pa.list_(pa.string()))]
 )
 UNIT_BATCH = 4096
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Regular files of one folder, not of its subfolders: file_name, length, modificationTime, content.
+def scan_folder(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    """Regular files of one folder, not of its subfolders: file_name, path, length, modificationTime.
 
-    The content column is read only if something downstream selects it. Spark's readers pass over names
-    that begin with ``_`` or ``.``; such files are listed with null content, which decoding rejects.
+    ``read_files`` adds their bytes; ``ingest`` does so itself, after its size cap.
     """
-    names = hidden_files(spark, folder)
-    shown = (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .select(
-            F.regexp_extract("path", "[^/]+$", 0).alias("file_name"),
-            "length",
-            "modificationTime",
-            "content",
-        )
-    )
-    return shown.unionByName(names) if names is not None else shown
-
-
-def hidden_files(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Regular files of a folder that Spark's readers pass over, from the file system's listing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [
-        (s.getPath().getName(), s.getLen(), s.getModificationTime() / 1000)
-        for s in system.listStatus(path)
-        if s.isFile() and s.getPath().getName().startswith(("_", "."))
-    ]
-    # checksums that the local file system keeps beside its files are its own
-    found = [f for f in found if not (f[0].startswith(".") and f[0].endswith(".crc"))]
-    if not found:
-        return None
-    rows = spark.createDataFrame(found, "file_name string, length long, _seconds double")
-    return rows.select(
-        "file_name",
-        "length",
-        F.timestamp_seconds("_seconds").alias("modificationTime"),
-        F.lit(None).cast("binary").alias("content"),
-    )
+    return list_folder(spark, folder, partitions)
 
 
 def split_by_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +123,10 @@ def unit_sections(units: DataFrame) -> DataFrame:
         F.col("j").alias("row_idx"),
         F.col("cells").alias("values"),
     )
-    built = [sx.page_sections(pages), sx.block_sections(prose, cells), sx.row_sections(rows)]
+    records = units.where(F.col("kind") == "record").select(
+        "document_id", F.col("j").alias("position"), "header", F.col("cells").alias("values")
+    )
+    built = [sx.page_sections(pages), sx.block_sections(prose, cells), sx.row_sections(rows), sx.record_sections(records)]
     return reduce(DataFrame.unionByName, built)
 
 
@@ -174,51 +142,55 @@ def decode_staged(typed: DataFrame, decoders: dict[str, Callable] | None = None)
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
-    """(document_id, content) of CSV files to (document_id, row_idx, values); row 0 is the header."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (document, index, cells)
-                for document, content in zip(frame["document_id"], frame["content"])
-                for index, cells in enumerate(csv_cells(bytes(content)))
-            ]
-            yield pd.DataFrame(rows, columns=["document_id", "row_idx", "values"])
-
-    return files.select("document_id", "content").mapInPandas(
-        run, "document_id string, row_idx int, values array<string>"
+    """(document_id, content) of CSV files to (document_id, position, header, values) of their records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for document, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for record in whole_records(content.as_py() or b""):
+                    held.append((document, *record))
+                    if len(held) >= UNIT_BATCH:
+                        yield _record_batch(held)
+                        held = []
+            if held:
+                yield _record_batch(held)
+
+    return files.select("document_id", "content").mapInArrow(run, f"document_id string, {RECORDS}")
+
+
+def _record_batch(held: list[tuple]) -> pa.RecordBatch:
+    documents, *columns = zip(*held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(documents, pa.string()), *record_columns(*map(list, columns))], names=["document_id", "position", "header", "values"]
     )
 
 
 def csv_sections(files: DataFrame) -> DataFrame:
-    """Sections of CSV files; decoded rows are staged, since numbering reads them more than once."""
-    rows = stage(csv_rows(files), "rows")
-    sheet = [F.lit(0).alias("sheet_idx"), F.lit(None).cast("string").alias("sheet_name")]
-    return sx.row_sections(rows.select("document_id", *sheet, "row_idx", "values"))
+    """Sections of CSV files at hand; one narrow pass, as a file's records come in order."""
+    return sx.record_sections(csv_rows(files))
 
 
-def large_csv_sections(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Sections of CSV files of any size, read in splits; cells must not hold line breaks.
+def csv_split_units(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``decode`` for CSV files by ``path`` (document_id, source_uri, file_type, path, length), read in splits.
 
-    A line's place is its split's offset in the file and its order in the split; from these,
-    rows are numbered per file in blocks.
+    The same units as those of their bytes at hand, but that the checksum of a file is not known.
     """
-
-    @F.pandas_udf("array<string>")
-    def cells(lines: pd.Series) -> pd.Series:
-        csv.field_size_limit(2**31 - 1)
-        return pd.Series([next(csv.reader([line]), []) for line in lines], dtype=object)
-
-    lines = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("document_id"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_line"),
-        F.make_valid_utf8("value").alias("value"),
-    )
-    rows = stage(lines.withColumn("values", cells("value")).drop("value"), "lines")
-    numbered = dense_position(rows, ["document_id"], ["_split", "_line"], "row_idx", block)
-    sheet = [F.lit(0).alias("sheet_idx"), F.lit(None).cast("string").alias("sheet_name")]
-    return sx.row_sections(numbered.select("document_id", *sheet, "row_idx", "values"), block)
+    records, bad = read_splits(files, split_bytes)
+    key = files.select("path", "document_id", "source_uri", "file_type")
+    marked = key.join(bad.withColumn("bad", F.lit(True)), "path", "left")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in files.sparkSession.createDataFrame([], UNITS).schema}
+
+    def units(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select(*[given.get(c, F.col(c) if c in rows.columns else v).alias(c) for c, v in nothing.items()])
+
+    message = F.lit(UNREADABLE.format("CSV"))
+    parts = [
+        units(key, kind=F.lit("file")),
+        units(marked.where("bad"), kind=F.lit("error"), name=F.lit(REASON_UNREADABLE), text=message),
+        units(records.join(key, "path"), kind=F.lit("record"), j=F.col("position"), cells=F.col("values")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def screen_urls(urls: DataFrame, dns: DataFrame) -> DataFrame:

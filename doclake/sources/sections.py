@@ -141,6 +141,18 @@ def row_sections(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def record_sections(records: DataFrame) -> DataFrame:
+    """(document_id, position, header, values) of records in order, blank ones left out, to a section each."""
+    return records.select(
+        "document_id",
+        "position",
+        pair_row(F.coalesce("header", F.array().cast("array<string>")), F.col("values")).alias("text"),
+        F.lit("row").alias("section_type"),
+        _null("int").alias("page_number"),
+        _null("string").alias("sheet_name"),
+    )
+
+
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """(document_id, sheet_idx, sheet_name, row_idx, col_idx, value) to value arrays up to the row's last
     cell; null and absent cells are ``""``; of cells given twice the smaller value counts."""

@@ -26,4 +26,4 @@ def test_query(spark, con, name):
 def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"scan_folder"}
+    assert set(QUERIES) == set(ORACLES)

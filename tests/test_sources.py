@@ -1,5 +1,7 @@
+import csv
 import ipaddress
 import io
+import os
 import random
 import zipfile
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions import network as net
 from doclake.operators.identity import upload_uri
-from doclake.sources import detect, files as fs, sections as sx
+from doclake.sources import csv_splits, detect, files as fs, sections as sx
 
 
 def archive(*names):
@@ -123,13 +125,39 @@ def test_upload_name(spark):
     assert names == ["x.csv", "upload-ca978112ca1b", "upload-ca978112ca1b"]
 
 
-def test_folder_scan_is_flat_and_keeps_names(spark, tmp_path):
+def test_folder_scan_is_flat_and_sees_every_name(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "deep.csv").write_bytes(b"x")
-    for name in ("a b+c%41.csv", "é.txt"):
-        (tmp_path / name).write_bytes(b"12")
-    rows = fs.scan_folder(spark, str(tmp_path)).collect()
-    assert sorted((r.file_name, r.length, bytes(r.content)) for r in rows) == [("a b+c%41.csv", 2, b"12"), ("é.txt", 2, b"12")]
+    (tmp_path / "to.csv").symlink_to(tmp_path / "sub" / "deep.csv")
+    names = ["a b+c%41.csv", "é.txt", "_x", ".x", ".x.crc", "_SUCCESS", ".c.crc", "c", "#h?.csv", "empty"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"" if name == "empty" else name.encode())
+    want = {n: b"" if n == "empty" else n.encode() for n in names} | {"to.csv": b"x"}
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        for parts in (1, 3, 40):
+            rows = fs.read_files(fs.scan_folder(spark, folder, parts)).collect()
+            assert {r.file_name: bytes(r.content) for r in rows} == want and len(rows) == len(want)
+            assert all(r.length == len(want[r.file_name]) and not r.cut for r in rows)
+            assert all(abs(r.modificationTime.timestamp() - os.stat(tmp_path / r.file_name).st_mtime) < 1 for r in rows)
+    (tmp_path / "none").mkdir()
+    assert fs.scan_folder(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_heads_of_long_files(spark, tmp_path):
+    for name, data in {"long": b"a," * 500, "pdf": b"%PDF-" + b"x" * 995, "short": b"b" * 9}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r.file_name: r for r in fs.read_files(fs.scan_folder(spark, str(tmp_path)), 100, 10, (b"%PDF-",)).collect()}
+    assert {n: (len(r.content), r.cut) for n, r in rows.items()} == {"long": (10, True), "pdf": (1000, False), "short": (9, False)}
+
+
+def test_batches_of_content_are_bounded(spark, tmp_path, monkeypatch):
+    from doclake.sources import folder
+
+    for i in range(9):
+        (tmp_path / f"f{i}").write_bytes(bytes([i]) * 100)
+    monkeypatch.setattr(folder, "BATCH_BYTES", 250)
+    rows = fs.read_files(fs.scan_folder(spark, str(tmp_path), 1)).collect()
+    assert {r.file_name: set(r.content) for r in rows} == {f"f{i}": {i} for i in range(9)}
 
 
 def csv_texts(spark, data):
@@ -146,23 +174,49 @@ def test_csv(spark):
     assert csv_texts(spark, ragged) == [(0, "A: 1"), (1, 'A: x, "y"\nz; C: 3'), (2, "A: 7; C: �")]
 
 
-def test_large_csv_is_read_in_splits(spark, tmp_path):
-    pick = random.Random(4)
-    for name in ("a.csv", "b.csv"):
-        lines = ["id,note,,flag"]
-        for i in range(300):
-            lines.append(pick.choice([f'{i},"x, {i}",q,{i % 3}', f"{i}", f"{i},,,", " , ,", "", f"{i},a,b,c,d"]))
-        (tmp_path / name).write_bytes("\n".join(lines).encode() + b"\nlast,\xff\n")
-    whole = fs.scan_folder(spark, str(tmp_path)).withColumnRenamed("file_name", "document_id")
-    key = ["document_id", "position", "text"]
-    expected = sorted(map(tuple, fs.csv_sections(whole).select(key).collect()))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
-    try:
-        got = fs.large_csv_sections(spark, str(tmp_path), block=16)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert sorted(map(tuple, got.select(key).collect())) == expected and len(expected) > 300
+def odd_csv(pick, lines):
+    """Lines with quoted line breaks, doubled, stray and unclosed quotes, blanks and bytes that are no text."""
+    cells = ["x", "", " ", '"q, 1"', '"two\nlines"', '"a ""b""\n\n,c"', 'mid"dle', '"shut"more', "é", '""', '"\r\n"']
+    out = []
+    for _ in range(lines):
+        line = ",".join(pick.choice(cells) for _ in range(pick.randint(0, 4)))
+        out.append(line + pick.choice(["\n", "\n", "\r\n"]))
+    data = "".join(out).encode()
+    return data + pick.choice([b"", b"last,\xff", b'open,"to the\nend', b"\n"])
+
+
+@pytest.mark.parametrize("split_bytes", [1, 7, 64, 1 << 20])
+def test_csv_splits_give_what_the_whole_file_gives(spark, tmp_path, monkeypatch, split_bytes):
+    """Any split of any file: the records, their positions and the header; files that cannot be read are named."""
+    monkeypatch.setattr(csv_splits, "MOST_TASKS", 6)
+    pick = random.Random(split_bytes)
+    whole, refused = {}, set()
+    for i in range(20):
+        data = odd_csv(pick, pick.randint(0, 30 if split_bytes == 1 else 120))
+        if i == 3:
+            data = b""
+        if i == 4:
+            data = b"h\n" + b"a,b\n" * 40 + b"bare\rreturn\n" + b"c\n" * 40
+        (tmp_path / f"f{i}").write_bytes(data)
+        try:
+            whole[f"f{i}"] = list(csv_splits.whole_records(data))
+        except csv.Error:
+            refused.add(f"f{i}")
+    assert "f4" in refused and len(whole) > 5
+    records, bad = csv_splits.read_splits(fs.scan_folder(spark, str(tmp_path)), split_bytes)
+    got = {}
+    for r in records.collect():
+        got.setdefault(os.path.basename(r.path), []).append((r.position, r.header, r["values"]))
+    assert {n: sorted(rows) for n, rows in got.items()} == {n: rows for n, rows in whole.items() if rows}
+    assert {os.path.basename(r.path) for r in bad.collect()} == refused
+
+
+def test_a_cell_over_many_splits(spark, tmp_path, monkeypatch):
+    body = "line\n" * 300
+    (tmp_path / "f").write_bytes(f'a,b\n1,"{body}"\n2,x\n'.encode())
+    monkeypatch.setattr(csv_splits, "MOST_TASKS", 6)
+    records, _ = csv_splits.read_splits(fs.scan_folder(spark, str(tmp_path)), 100)
+    assert sorted((r.position, r["values"]) for r in records.collect()) == [(0, ["1", body]), (1, ["2", "x"])]
 
 
 def test_sheets(spark):
@@ -209,11 +263,3 @@ def test_a_kind_without_a_decoder_is_a_reject_of_its_own(spark, kind):
     assert [r.reason for r in fs.unit_rejects(fs.decode(typed)).collect()] == ["no_decoder"]
     own = {kind: lambda data: [{"kind": "page", "i": 0, "text": data.decode()}]}
     assert [r.text for r in fs.decode(typed, own).where("kind = 'page'").collect()] == ["x"]
-
-
-def test_hidden_files_are_listed_without_content(spark, tmp_path):
-    for name in ("_part", ".notes.csv", "seen.csv"):
-        (tmp_path / name).write_bytes(b"a,b\n1,2\n")
-    rows = {r.file_name: r for r in fs.scan_folder(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"_part", ".notes.csv", "seen.csv"} and all(r.length == 8 for r in rows.values())
-    assert rows["seen.csv"].content is not None and rows["_part"].content is None
