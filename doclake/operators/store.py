@@ -9,42 +9,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doclake.operators.identity import KEY, document_id
+from doclake.operators.membership import may_hold
 from doclake.operators.ranking import BLOCK, dense_position
 from doclake.schemas import DEFAULT_CHUNK_TYPE, DEFAULT_SOURCE_TYPE, DEFAULT_TENANT
+from doclake.session import stage
 
 CHUNK_KEY = ["document_id", "text_hash"]
-# Up to this many documents, their ids go to the scan as a filter.
-PRUNED_DOCUMENTS = 1000
 
 
-def first_occurrences(chunks: DataFrame) -> DataFrame:
+def _first_rows(chunks: DataFrame, at_rest: bool) -> tuple[DataFrame, DataFrame]:
+    """(``chunks`` with a number ``_row``, the key and ``_row`` of the first occurrence of every key).
+
+    The choice is made on keys and numbers alone, by a hash aggregate that combines copies before the shuffle: a
+    text that makes up a third of the rows never lands in one task, and texts are not sorted.
+    """
+    rows = (chunks if at_rest else stage(chunks, "arrived")).withColumn("_row", F.monotonically_increasing_id())
+    place = F.coalesce(F.col("chunk_index").cast("int"), F.lit(2**31 - 1))
+    return rows, rows.groupBy(*CHUNK_KEY).agg(F.min_by("_row", place).alias("_row"))
+
+
+def _taken(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows chosen by number. Chosen numbers are written, so that few of them are broadcast to the rows."""
+    return rows.join(stage(chosen.select("_row"), "chosen"), "_row", "left_semi").drop("_row")
+
+
+def first_occurrences(chunks: DataFrame, at_rest: bool = False) -> DataFrame:
     """One row per (document, text hash): the one with the lowest chunk index; rows without one come last.
 
-    Stated as an aggregate, not a window: copies collapse before the shuffle, so a text that
-    makes up a third of the rows never lands in one task.
+    ``at_rest``: ``chunks`` is a table, or a projection of one, which gives the same rows in the same order
+    whenever it is read; otherwise it is written first.
     """
-    rest = [c for c in chunks.columns if c not in CHUNK_KEY]
-    return (
-        chunks.groupBy(*CHUNK_KEY)
-        .agg(F.min_by(F.struct(*rest), F.coalesce("chunk_index", F.lit(2**31 - 1))).alias("_row"))
-        .select(*[F.col(c) if c in CHUNK_KEY else F.col(f"_row.{c}").alias(c) for c in chunks.columns])
-    )
+    return _taken(*_first_rows(chunks, at_rest))
 
 
-def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
+def new_chunks(chunks: DataFrame, store: DataFrame, at_rest: bool = False) -> DataFrame:
     """Rows to append: first occurrences that the store does not hold yet. Stored rows win."""
-    return first_occurrences(chunks).join(store.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
+    rows, first = _first_rows(chunks, at_rest)
+    return _taken(rows, first.join(stored_near(store, first), CHUNK_KEY, "left_anti"))
 
 
-def stored_for(store: DataFrame, batch: DataFrame, tenant: str, few: int = PRUNED_DOCUMENTS) -> DataFrame:
-    """The part of ``store`` that a batch of one tenant can collide with.
+def stored_near(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The keys of ``store`` that a batch may collide with: a filter of the batch's keys cuts the store's scan down
+    before anything of it is shuffled."""
+    return may_hold(store.select(*CHUNK_KEY), batch, CHUNK_KEY)
 
-    The tenant prunes partitions; up to ``few`` documents are named to the scan, which skips the
-    row groups that cannot hold them.
-    """
-    own = store.where(F.col("tenant_id") == tenant)
-    documents = [r[0] for r in batch.select("document_id").distinct().limit(few + 1).collect()]
-    return own.where(F.col("document_id").isin(documents)) if len(documents) <= few else own
+
+def store_traffic(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """(stored, shuffled, held): chunks of the store, those that an upsert of ``chunks`` shuffles, and those of
+    them that the batch really holds."""
+    keys = chunks.select(*CHUNK_KEY).distinct()
+    near = stored_near(store, keys)
+    held = near.join(keys, CHUNK_KEY, "left_semi")
+    counts = [frame.agg(F.count("*").alias(name)) for frame, name in ((store, "stored"), (near, "shuffled"), (held, "held"))]
+    return counts[0].join(counts[1]).join(counts[2])  # one row each
 
 
 def upsert_counts(chunks: DataFrame, store: DataFrame) -> DataFrame:

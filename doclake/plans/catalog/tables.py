@@ -115,7 +115,7 @@ APPENDED = f"""
 
 @query(APPENDED)
 def upsert_chunks(spark, sf):
-    return store.new_chunks(source_chunks(spark, sf).drop("doc_id"), stored_chunks(spark, sf))
+    return store.new_chunks(source_chunks(spark, sf).drop("doc_id"), stored_chunks(spark, sf), at_rest=True)
 
 
 @query(
@@ -127,7 +127,7 @@ def upsert_null_index(spark, sf):
     """Every second chunk has no index; its row is kept all the same."""
     chunks = source_chunks(spark, sf)
     chunks = chunks.withColumn("chunk_index", F.when(F.col("doc_id") % 2 == 0, F.col("chunk_index")))
-    kept = store.first_occurrences(chunks)
+    kept = store.first_occurrences(chunks, at_rest=True)
     return kept.select("document_id", "text_hash", F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), "chunk_text")
 
 

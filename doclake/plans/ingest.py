@@ -124,9 +124,10 @@ def ingest(
     sections = fs.unit_sections(units).withColumn("tenant_id", F.lit(tenant))
     parsed = chunking.chunk_sections(sections, **packing)
     parsed = stage(parsed.withColumn("document_id", F.substring_index("document_id", "#", 1)), "parsed")
-    if other.take(1):
-        renamed = join_unique(parsed, other, "document_id", ["document_id", "chunk_index"])
-        parsed = renamed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
+    renamed = bool(other.take(1))
+    if renamed:
+        parsed = join_unique(parsed, other, "document_id", ["document_id", "chunk_index"])
+        parsed = parsed.withColumn("document_id", F.coalesce("_known", "document_id")).drop("_known")
     if mode == "folder":
         kept = parsed.select("document_id").distinct()
         arrivals = (
@@ -134,7 +135,8 @@ def ingest(
             .withColumn("document_id", F.coalesce("_known", "document_id"))
             .join(kept, "document_id", "left_semi")
         )
-    fresh = stage(store.new_chunks(parsed, store.stored_for(chunks, parsed, tenant)), "fresh")
+    own = chunks.where(F.col("tenant_id") == tenant)
+    fresh = stage(store.new_chunks(parsed, own, at_rest=not renamed), "fresh")
     keyed = embedding.memo_keys(fresh, "chunk_text", "passage")
     encoded = stage(embedding.encode_misses(keyed, memo, "chunk_text", "passage", load), "encoded")
     vectors = memo.select("memo_key", "embedding").unionByName(encoded)

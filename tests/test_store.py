@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from doclake.operators import identity, store
+from doclake.operators import identity, membership, store
 from doclake.operators.hotjoin import hot_keys, join_unique
 from doclake.operators.ranking import dense_position
 from doclake.schemas import CHUNKS
@@ -55,15 +55,49 @@ def test_upsert_is_per_document_and_idempotent(spark):
     assert stored == {"a": 3, "b": 1}
 
 
-def test_only_the_part_of_the_store_that_matters_is_read(spark, tmp_path):
-    chunks = chunk_rows(spark, [("a", 0, "x"), ("b", 0, "x"), ("c", 0, "y")])
-    chunks.write.partitionBy("tenant_id").parquet(str(tmp_path / "s"))
+def test_ties_and_missing_indexes(spark):
+    chunks = chunk_rows(spark, [("a", 3, "x"), ("a", 3, "x"), ("a", None, "y"), ("a", None, "y"), ("a", 5, "y"), ("b", None, "x")])
+    got = store.first_occurrences(chunks.repartition(3))
+    assert sorted(map(str, got.select("document_id", "chunk_text", "chunk_index").collect())) == sorted(
+        f"Row(document_id={d!r}, chunk_text={t!r}, chunk_index={i})" for d, t, i in [("a", "x", 3), ("a", "y", 5), ("b", "x", None)]
+    )
+    assert got.columns == chunks.columns
+    assert store.first_occurrences(chunks.limit(0)).count() == 0
+
+
+def test_the_store_is_cut_down_before_the_shuffle(spark, tmp_path):
+    stored = spark.range(40_000).selectExpr("concat('d', id % 500) AS document_id", "sha2(cast(id AS string), 256) AS text_hash", "'t' AS tenant_id")
+    stored.write.partitionBy("tenant_id").parquet(str(tmp_path / "s"))
     stored = spark.read.parquet(str(tmp_path / "s"))
-    batch = chunks.where("document_id <> 'c'")
-    few, many = store.stored_for(stored, batch, "t"), store.stored_for(stored, batch, "t", few=1)
-    assert (few.count(), many.count(), store.stored_for(stored, batch, "u").count()) == (2, 3, 0)
-    plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(document_id, [" in plan and "PartitionFilters: [isnotnull(tenant_id" in plan
+    batch = chunk_rows(spark, [(f"d{i % 500}", i, str(i)) for i in range(0, 40_000, 400)] + [(f"n{i}", 0, "new") for i in range(50)])
+    traffic = store.store_traffic(batch, stored).first()
+    assert (traffic.stored, traffic.held) == (40_000, 100) and 100 <= traffic.shuffled < 120
+    added = store.new_chunks(batch, stored)
+    assert sorted(r.document_id for r in added.collect()) == sorted(f"n{i}" for i in range(50))
+
+
+def test_hash_aggregates_only(spark, tmp_path):
+    chunk_rows(spark, [("a", 0, "x"), ("b", 0, "x"), ("c", 0, "y")]).write.parquet(str(tmp_path / "b"))
+    batch = spark.read.parquet(str(tmp_path / "b"))
+    rows, first = store._first_rows(batch, True)
+    near = store.stored_near(batch, first)
+    for frame in (first.join(near, store.CHUNK_KEY, "left_anti"), store.new_chunks(batch, batch.limit(0), at_rest=True)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+        assert "chunk_text" not in "".join(exchanges)
+
+
+def test_filter_has_no_false_negatives_and_a_bounded_size(spark):
+    keys = spark.range(5000).selectExpr("cast(id * 7 AS string) AS k")
+    table = spark.range(100_000).selectExpr("cast(id AS string) AS k", "id")
+    for words in (64, 1 << 12, 1 << 18):
+        assert membership.filter_of(keys, ["k"], words).count() <= words
+        passed = membership.may_hold(table, keys, ["k"], words)
+        assert passed.columns == table.columns
+        assert passed.join(keys, "k", "left_semi").count() == 5000
+    assert passed.count() < 5600
+    assert membership.may_hold(table, keys.limit(0), ["k"]).count() == 0
 
 
 def test_delete_checks_the_tenant(spark):
