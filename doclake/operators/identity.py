@@ -37,18 +37,22 @@ def _arrivals(incoming: DataFrame) -> DataFrame:
     )
 
 
-def get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Resolve every (tenant, uri) of ``incoming``: ``is_new`` tells created from found.
+def _versioned(documents: DataFrame) -> DataFrame:
+    """Rows without a version are the first of their key."""
+    if "version" in documents.columns:
+        return documents.withColumn("version", F.coalesce("version", F.lit(0)))
+    return documents.withColumn("version", F.lit(0))
 
-    Found documents keep their id, source type and creation time; a checksum that comes with the
-    request replaces the stored one. ``incoming``: tenant_id, source_uri, source_type, checksum, seq.
-    """
-    old = existing.select(
+
+def _resolved(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """One row per key of ``incoming``, with ``is_new``, and ``_checksum`` and ``_version`` of what is known."""
+    old = _versioned(existing).select(
         *KEY,
         F.col("document_id").alias("_id"),
         F.col("source_type").alias("_type"),
         F.col("checksum").alias("_checksum"),
         F.col("created_at").alias("_created"),
+        F.col("version").alias("_version"),
     )
     return (
         _arrivals(incoming)
@@ -61,15 +65,43 @@ def get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
             F.coalesce("checksum", "_checksum").alias("checksum"),
             F.when(F.col("_id").isNull(), F.current_timestamp()).otherwise(F.col("_created")).alias("created_at"),
             F.col("_id").isNull().alias("is_new"),
+            "_checksum",
+            "_version",
         )
     )
 
 
+def get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Resolve every (tenant, uri) of ``incoming``: ``is_new`` tells created from found.
+
+    Found documents keep their id, source type and creation time; a checksum that comes with the
+    request replaces the stored one. ``existing``: one row per key (``latest``); ``incoming``: tenant_id,
+    source_uri, source_type, checksum, seq.
+    """
+    return _resolved(existing, incoming).drop("_checksum", "_version")
+
+
 def register(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The documents table after ``incoming``: untouched rows, refreshed rows and new rows."""
-    resolved = get_or_create(existing, incoming).drop("is_new")
-    untouched = existing.join(resolved.select(*KEY), KEY, "left_anti")
-    return untouched.select(*resolved.columns).unionByName(resolved)
+    """The rows that ``incoming`` adds to the documents table: new documents, and known ones with another checksum
+    as their next version. Nothing else of the table is written again.
+
+    A batch that is registered twice against the same table gives the same rows; appended twice, they count once.
+    """
+    rows = _resolved(existing, incoming)
+    changed = F.col("is_new") | ~F.col("checksum").eqNullSafe(F.col("_checksum"))
+    version = F.when(F.col("is_new"), 0).otherwise(F.col("_version") + 1).cast("int").alias("version")
+    columns = ["document_id", *KEY[:1], "source_type", "source_uri", "checksum", "created_at"]
+    return rows.where(changed).select(*columns, version)
+
+
+def latest(versions: DataFrame) -> DataFrame:
+    """The documents table as it stands: per key the row of the highest version. Copies of a row are combined before
+    the shuffle. Written to a new place this is the table's compaction."""
+    versions = _versioned(versions)
+    rest = [c for c in versions.columns if c not in (*KEY, "version")]
+    row = F.max_by(F.struct(*rest), F.struct("version", "checksum", "document_id")).alias("_row")
+    found = versions.groupBy(*KEY).agg(row, F.max("version").alias("version"))
+    return found.select(*[F.col(c) if c in (*KEY, "version") else F.col(f"_row.{c}").alias(c) for c in versions.columns])
 
 
 def refresh_checksums(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from doclake.functions import text as tx
 from doclake.functions.text import WHITESPACE
@@ -159,14 +159,19 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Assistant turns with the turn before them as context; an equi join on a unique key."""
-    before = turns(spark, sf).select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    return turns(spark, sf).where(F.col("role") == "assistant").join(before, ["conv_id", "turn"])
+    """Assistant turns with all turns before them, in order, as context; those that open a conversation have none
+    and are left out. A context is as long as its conversation so far by definition."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns(spark, sf).withColumn("before", F.collect_list("text").over(before))
+    rows = rows.where((F.col("role") == "assistant") & (F.size("before") > 0))
+    return rows.withColumn("context", F.array_join("before", "\n")).drop("before")
 
 
 REPLIES = """
-    SELECT a.*, b.text AS context FROM conversations a
-    JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant'"""
+    SELECT * FROM (
+        SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context
+        FROM conversations)
+    WHERE role = 'assistant' AND context IS NOT NULL"""
 
 # --- SQL snippets ---
 

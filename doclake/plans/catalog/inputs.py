@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import time
 import uuid
 import zipfile
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from doclake.functions import network as net
@@ -14,7 +16,9 @@ from doclake.operators import identity
 from doclake.plans.catalog.base import LINE_PAGES, line_pages, query, sql_strip, table, turns
 from doclake.session import scratch_dir
 from doclake.sources import detect, files as fs, sections as sx
-from doclake.sources.folder import write_files
+from doclake.sources.folder import FolderStream, write_files
+
+LAG_SECONDS = FolderStream.LAG / 1e6 + 0.1
 
 # --- files made of documents: the language decides the disguise ---
 
@@ -108,6 +112,46 @@ def scan_folder(spark, sf):
     )
 
 
+@query(
+    """SELECT doc_id || '.txt' AS file_name, 0 AS batch, sha256(text) AS checksum FROM documents
+    UNION ALL
+    SELECT doc_id || '.txt', 1, sha256(text || '.') FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+)
+def stream_changes(spark, sf):
+    """Documents written as files and streamed; then toxic ones edited, good ones written again as they were, and a
+    second trigger that fails after its write and is run again. Every file comes once for each of its contents."""
+    from doclake.streaming.ingest import each_batch, file_stream
+
+    place = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    local = place.removeprefix("file://") if place.startswith("file://") else place
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text"
+    )
+    labels = table(spark, sf, "labels").select("doc_id", "toxic", "quality")
+    again = docs.join(labels.where("toxic = 1 OR quality = 1"), "doc_id")
+    edited = F.when(F.col("toxic") == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+
+    def trigger(fails: bool) -> None:
+        def save(batch, number):
+            rows = batch.select("file_name", F.lit(number).alias("batch"), "checksum")
+            rows.write.mode("overwrite").parquet(f"{place}/out/{number}")
+            if fails and number == 1:
+                raise RuntimeError("stopped after the write")
+
+        each_batch(file_stream(spark, f"{place}/in"), save, f"{local}/state").awaitTermination()
+
+    write_files(docs.select("file_name", F.encode("text", "UTF-8").alias("content")), f"{place}/in")
+    time.sleep(LAG_SECONDS)
+    trigger(False)
+    write_files(again.select("file_name", F.encode(edited, "UTF-8").alias("content")), f"{place}/in")
+    time.sleep(LAG_SECONDS)
+    try:
+        trigger(True)
+    except StreamingQueryException:
+        trigger(False)
+    return spark.read.schema("file_name string, batch int, checksum string").parquet(f"{place}/out/*")
+
+
 def _zipped(member: str, text: str) -> bytes:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:

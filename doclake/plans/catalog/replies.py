@@ -69,7 +69,7 @@ def is_refusal(spark, sf):
     FROM ({REPLIES})"""
 )
 def groundedness(spark, sf):
-    """Each reply against the turn before it; the overlap of a reply without words of four letters is null."""
+    """Each reply against all turns before it; the overlap of a reply without words of four letters is null."""
     return replies(spark, sf).select(
         "conv_id",
         "turn",
@@ -131,7 +131,7 @@ def _fake_answerer(question, context, prompt):
            CASE WHEN context LIKE '%,%' THEN 'error' ELSE 'ok' END AS status FROM ({REPLIES})"""
 )
 def answer_status(spark, sf):
-    """The hook on every reply: the earlier turn asks, the reply is its context."""
+    """The hook on every reply: the turns before it ask, the reply is their context."""
     asked = replies(spark, sf).select("conv_id", "turn", F.col("context").alias("question"), F.col("text").alias("context"))
     return ans.generate(asked, _fake_answerer).select("conv_id", "turn", "answer", "status")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from doclake.operators import identity, store
@@ -20,7 +22,7 @@ from doclake.plans.catalog.base import (
     table,
 )
 from doclake.schemas import CHUNKS
-from doclake.session import scratch_dir
+from doclake.session import scratch_dir, stage
 from doclake.sources import tables as sinks
 
 TABLE = ["document_id", "tenant_id", "source_type", "source_uri", "checksum"]
@@ -75,6 +77,41 @@ def get_or_create_docs(spark, sf):
     return identity.get_or_create(_existing(spark, sf), _incoming(spark, sf)).drop("created_at")
 
 
+GOOD_LAST = f"""SELECT tenant_id, source_uri, arg_max(checksum, seq) AS checksum FROM ({INCOMING})
+    WHERE seq IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL"""
+
+
+@query(
+    f"""WITH e AS ({EXISTING}),
+    first AS (
+        SELECT n.tenant_id, n.source_uri, n.checksum, CASE WHEN e.document_id IS NULL THEN 0 ELSE 1 END AS version
+        FROM ({GOOD_LAST}) n LEFT JOIN e ON n.tenant_id = e.tenant_id AND n.source_uri = e.source_uri
+        WHERE e.document_id IS NULL OR e.checksum <> n.checksum),
+    after AS (SELECT tenant_id, source_uri, checksum, version FROM first
+        UNION ALL SELECT tenant_id, source_uri, checksum, 0 FROM e ANTI JOIN first USING (tenant_id, source_uri)),
+    second AS (
+        SELECT n.tenant_id, n.source_uri, n.checksum, coalesce(a.version + 1, 0) AS version
+        FROM ({LAST}) n LEFT JOIN after a ON n.tenant_id = a.tenant_id AND n.source_uri = a.source_uri
+        WHERE a.version IS NULL OR a.checksum <> n.checksum)
+    SELECT 'first' AS step, * FROM first UNION ALL SELECT 'second', * FROM second
+    UNION ALL SELECT 'table', * FROM second
+    UNION ALL SELECT 'table', a.* FROM after a ANTI JOIN second USING (tenant_id, source_uri)"""
+)
+def register_delta(spark, sf):
+    """Two batches appended to the versions of documents, the second one twice as after a replay, and the table as it
+    then stands."""
+    key = ["tenant_id", "source_uri", "checksum", "version"]
+    good = table(spark, sf, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("seq"))
+    before = identity.latest(_existing(spark, sf))
+    first = stage(identity.register(before, _incoming(spark, sf).join(good, "seq", "left_semi")), "versions")
+    versions = before.unionByName(first)
+    second = stage(identity.register(identity.latest(versions), _incoming(spark, sf)), "versions")
+    table_ = identity.latest(versions.unionByName(second).unionByName(second))
+    steps = (("first", first), ("second", second), ("table", table_))
+    parts = [rows.select(F.lit(step).alias("step"), *key) for step, rows in steps]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     f"""SELECT e.document_id, e.tenant_id, e.source_type, e.source_uri, coalesce(n.checksum, e.checksum) AS checksum
     FROM ({EXISTING}) e LEFT JOIN (SELECT tenant_id, source_uri, arg_max(checksum, seq) AS checksum FROM ({INCOMING})
@@ -156,18 +193,28 @@ DOOMED = f"SELECT document_id, tenant_id FROM ({REVIEWED})"
 @query(
     f"""SELECT 'chunk' AS kind, document_id, tenant_id FROM ({REGISTRY}) WHERE document_id NOT IN (SELECT document_id FROM ({DOOMED}))
     UNION ALL
-    SELECT 'document', document_id, tenant_id FROM ({REGISTRY}) WHERE document_id NOT IN (SELECT document_id FROM ({DOOMED}))"""
+    SELECT 'document', document_id, tenant_id FROM ({REGISTRY}) WHERE document_id NOT IN (SELECT document_id FROM ({DOOMED}))
+    UNION ALL
+    SELECT 'written again', document_id, tenant_id FROM ({REVIEWED}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"""
 )
 def delete_document(spark, sf):
+    """Labelled documents deleted from the written chunk table, and some of them written again; and from the
+    document table."""
     doomed = reviewed(spark, sf).select("document_id", "tenant_id")
-    chunks = store.without_documents(_registered_chunks(spark, sf), doomed)
-    documents = store.without_documents(registry(spark, sf), doomed)
-    keys = ["document_id", "tenant_id"]
-    return (
-        chunks.select(F.lit("chunk").alias("kind"), *keys).unionByName(
-            documents.select(F.lit("document").alias("kind"), *keys)
-        )
+    chunks = registry(spark, sf).select(
+        "document_id", "tenant_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), F.col("checksum").alias("text_hash")
     )
+    path = f"{scratch_dir(spark)}/living-{uuid.uuid4().hex}"
+    sinks.write_chunks(store.evolve(chunks.withColumn("chunk_type", F.lit("first")), CHUNKS), path)
+    sinks.delete_documents(doomed, path)
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    again = registry(spark, sf).join(good, "doc_id", "left_semi").select("document_id", "tenant_id")
+    sinks.write_chunks(store.evolve(again.withColumn("chunk_type", F.lit("again")), CHUNKS), path)
+    keys = ["document_id", "tenant_id"]
+    kind = F.when(F.col("chunk_type") == "again", "written again").otherwise("chunk").alias("kind")
+    documents = store.without_documents(registry(spark, sf), doomed)
+    living = sinks.read_chunks(spark, path).select(kind, *keys)
+    return living.unionByName(documents.select(F.lit("document").alias("kind"), *keys))
 
 
 @query(f"SELECT count(*) AS total_chunks FROM ({STORED_CHUNKS})")
@@ -249,8 +296,6 @@ def scoped_scan(spark, sf):
 )
 def write_read_roundtrip(spark, sf):
     """The chunk table written by tenant and read back."""
-    import uuid
-
     chunks = store.evolve(stored_chunks(spark, sf).drop("doc_id"), CHUNKS)
     path = f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
     sinks.write_chunks(chunks, path)

@@ -22,7 +22,7 @@ MODES = {"url": "url", "upload": "upload", "folder": "file"}
 
 @dataclass
 class Ingested:
-    documents: DataFrame  # the documents table after this batch
+    documents: DataFrame  # rows to append to the documents table: new documents and new versions
     chunks: DataFrame  # rows to append to the chunk table
     memo: DataFrame  # (memo_key, embedding) rows to append to the embedding memo
     rejects: DataFrame
@@ -81,7 +81,8 @@ def ingest(
     split_bytes: int = SPLIT_BYTES,
     **packing,
 ) -> Ingested:
-    """Run a batch of files (file_name, length, content or path, optionally source_uri) against the store.
+    """Run a batch of files (file_name, length, content or path, optionally source_uri) against the store:
+    ``documents``, the table's ``identity.latest`` rows, ``chunks`` and ``memo``.
 
     Files that come by ``path``, as ``scan_folder`` lists them, are read after the size cap; CSV files of more
     than ``split_bytes`` among them are read in splits and have no checksum. Bytes are read once: everything

@@ -38,7 +38,7 @@ REASON_NO_DECODER = "no_decoder"
 
 DOCUMENTS = (
     "document_id string, tenant_id string, source_type string, source_uri string, "
-    "checksum string, created_at timestamp"
+    "checksum string, created_at timestamp, version int"
 )
 SECTIONS = (
     "document_id string, tenant_id string, position int, text string, section_type string, "
@@ -51,6 +51,7 @@ CHUNKS = (
 QUESTIONS = (
     "query_id string, pos int, document_id string, tenant_id string, namespace string, question string"
 )
+TOMBSTONES = "document_id string, tenant_id string, generation int"
 REJECTS = "source_uri string, file_type string, reason string, message string"
 SOURCE_REF = "struct<source int, document_id string, source_uri string, page_number int, sheet_name string>"
 ANSWERS = f"query_id string, answer string, sources array<{SOURCE_REF}>, low_confidence boolean, status string"

@@ -8,8 +8,10 @@ read by a second step, after whatever filters there are on name and length.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 LISTED = "file_name string, path string, length long, modificationTime timestamp"
 _LISTED = pa.schema(
@@ -84,17 +86,26 @@ class FolderReader(DataSourceReader):
         return [_Part(i) for i in range(self.parts)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        yield from self.listed(partition.number)
+
+    def listed(self, number: int, start: int | None = None, end: int = 0) -> Iterator[pa.RecordBatch]:
+        """The files that a hash deals to part ``number``, only those changed after ``start`` and until ``end`` if
+        given. A local file that is moved into the folder counts as changed then."""
         rows: list[tuple] = []
-        for name, path, length, time in entries(self.path):
-            if zlib.crc32(os.fsencode(name)) % self.parts != partition.number:
+        for name, path, length, modified in entries(self.path):
+            if zlib.crc32(os.fsencode(name)) % self.parts != number:
                 continue
+            changed = modified
             if length is None:
                 try:
                     found = os.stat(path)
                 except FileNotFoundError:
                     continue  # gone since it was listed
-                length, time = found.st_size, found.st_mtime_ns // 1000
-            rows.append((name, path, length, time))
+                length, modified = found.st_size, found.st_mtime_ns // 1000
+                changed = max(modified, found.st_ctime_ns // 1000)
+            if start is not None and not start < (changed or 0) <= end:
+                continue
+            rows.append((name, path, length, modified))
             if len(rows) == _LISTED_BATCH:
                 yield self._batch(rows)
                 rows = []
@@ -110,8 +121,44 @@ class FolderReader(DataSourceReader):
         )
 
 
+class _TimedPart(_Part):
+    """A share of the files that changed after ``start`` and until ``end``, in microseconds."""
+
+    def __init__(self, number: int, start: int, end: int) -> None:
+        super().__init__(number)
+        self.start, self.end = start, end
+
+
+class FolderStream(DataSourceStreamReader):
+    """Files as they change: a batch is an interval of time, and each task lists its share of what changed in it.
+
+    Nothing is remembered but the time, so a batch that is run again lists the same interval. The newest moments
+    are left to the next batch, since files of the same time may still appear.
+    """
+
+    LAG = 1_000_000
+
+    def __init__(self, options: dict) -> None:
+        self.reader = FolderReader(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"until": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"until": time.time_ns() // 1000 - self.LAG}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_TimedPart(i, start["until"], end["until"]) for i in range(self.reader.parts)]
+
+    def read(self, partition: _TimedPart) -> Iterator[pa.RecordBatch]:
+        yield from self.reader.listed(partition.number, partition.start, partition.end)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FolderSource(DataSource):
-    """``spark.read.format("folder").option("partitions", n).load(folder)`` after registration."""
+    """``spark.read.format("folder").option("partitions", n).load(folder)`` after registration, and ``readStream``."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,6 +170,9 @@ class FolderSource(DataSource):
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options)
 
+    def streamReader(self, schema) -> FolderStream:  # noqa: N802
+        return FolderStream(self.options)
+
 
 def list_folder(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
     """Every regular file of one folder, not of its subfolders: file_name, path, length, modificationTime.
@@ -196,3 +246,26 @@ def read_files(files: DataFrame, whole: int | None = None, head: int = 4096, alw
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in files.dtypes)
     return files.mapInArrow(run, f"{fields}, content binary, cut boolean")
+
+
+def with_checksum(files: DataFrame) -> DataFrame:
+    """Listed files with the SHA-256 of their bytes, read in blocks; a file that is gone is left out."""
+
+    def digest(path: str) -> str | None:
+        found = hashlib.sha256()
+        try:
+            with open_bytes(path) as file:
+                while block := file.read(1 << 22):
+                    found.update(block)
+        except FileNotFoundError:
+            return None
+        return found.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.array([digest(path) for path in batch.column("path").to_pylist()], pa.string())
+            found = pa.RecordBatch.from_arrays([*batch.columns, sums], names=[*batch.schema.names, "checksum"])
+            yield found.filter(sums.is_valid())
+
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in files.dtypes)
+    return files.mapInArrow(run, f"{fields}, checksum string")

@@ -1,23 +1,60 @@
-"""The batch ingestion as a stream over a folder (an extension): each trigger takes the new files."""
+"""The batch ingestion as a stream over a folder (an extension): each trigger takes the files that changed.
+
+A file is known by its name. The state of the stream holds one checksum for each, so that a file that was
+written again with the same bytes, or only touched, goes no further; an edited one does.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from doclake.plans.ingest import Ingested, ingest
+from doclake.sources.folder import LISTED, FolderSource, with_checksum
+
+CHANGED = f"{LISTED}, checksum string"
+
+
+def file_stream(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    """The files of a folder as they appear and change, whatever their names: file_name, path, length,
+    modificationTime."""
+    spark.dataSource.register(FolderSource)
+    parts = partitions or spark.sparkContext.defaultParallelism
+    return spark.readStream.format("folder").option("partitions", parts).load(folder)
+
 
+def changed_files(files: DataFrame) -> DataFrame:
+    """The files of a stream whose bytes are new under their name, with their ``checksum``.
+
+    Names and checksums are shuffled, never bytes; the state is one checksum per name.
+    """
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["modificationTime", "checksum"])
+        row = rows.tail(1)
+        checksum = row["checksum"].iloc[0]
+        if not state.exists or state.get[0] != checksum:
+            state.update((checksum,))
+            yield row
+
+    return with_checksum(files).groupBy("file_name").applyInPandasWithState(
+        keep, CHANGED, "checksum string", "update", GroupStateTimeout.NoTimeout
+    )
 
-def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
+
+def each_batch(files: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """``run`` on the changed files of every micro-batch, with its number, until the folder holds no more."""
     return (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(folder)
-        .selectExpr("regexp_extract(path, '[^/]+$', 0) AS file_name", "length", "content")
+        changed_files(files)
+        .writeStream.outputMode("update")
+        .foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
@@ -28,18 +65,14 @@ def ingest_stream(
     checkpoint: str,
     **options,
 ) -> StreamingQuery:
-    """Ingest every micro-batch against the current (documents, chunks, memo) and save the result.
+    """Ingest the changed files of every micro-batch against the current (documents, chunks, memo) and save the result.
 
     Upserting is idempotent, so a batch that is replayed after a failure adds nothing twice; ``save``
     gets the batch number to make its writes replaceable.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        save(ingest(batch, *read_store(), **options), number)
+        listed = batch.select("file_name", "path", "length")
+        save(ingest(listed, *read_store(), **options), number)
 
-    return (
-        files.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return each_batch(files, run, checkpoint)

@@ -1,16 +1,18 @@
+import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from doclake.operators import answers as ans, embedding, retrieval
+from doclake.operators import answers as ans, embedding, identity, retrieval, store
 from doclake.operators.embedding import HashEncoder
 from doclake.plans.ask import ask
 from doclake.plans.ingest import ingest
 from doclake.schemas import CHUNKS, DOCUMENTS
 from doclake.sources import files as fs, tables
 from doclake.sources.decoders import PasswordProtected
-from doclake.streaming.ingest import file_stream, ingest_stream
+from doclake.streaming.ingest import each_batch, file_stream, ingest_stream
 
 FILES = {
     "trees.csv": b"tree,height\noak,21\nelm,17\noak,21\n",
@@ -72,9 +74,9 @@ def test_ingest(spark, empty, mode):
     assert {names[r.document_id]: r.chunks_stored for r in done.report.collect()} == {"trees.csv": 3, "other.csv": 1, "pages.pdf": 1}
     assert done.memo.count() == 3
 
-    again = ingest(files(spark, FILES), done.documents, done.chunks, done.memo, mode=mode, max_bytes=60, decoders={"pdf": pdf})
-    assert again.chunks.count() == 0 and again.memo.count() == 0
-    assert {r.document_id for r in again.documents.collect()} == set(names)
+    known = identity.latest(done.documents)
+    again = ingest(files(spark, FILES), known, done.chunks, done.memo, mode=mode, max_bytes=60, decoders={"pdf": pdf})
+    assert again.chunks.count() == 0 and again.memo.count() == 0 and again.documents.count() == 0
 
 
 def test_two_files_of_one_name_are_kept_apart(spark, empty):
@@ -134,11 +136,11 @@ def test_size_cap_applies_to_uploads_only(spark, empty):
 
 
 def test_known_documents_keep_their_id(spark, empty):
-    known = spark.createDataFrame([("legacy-id", "default", "url", "trees.csv", "old", None)], DOCUMENTS)
+    known = spark.createDataFrame([("legacy-id", "default", "url", "trees.csv", "old", None, 0)], DOCUMENTS)
     done = ingest(files(spark, {"trees.csv": FILES["trees.csv"]}), known, *empty[1:])
     assert {r.document_id for r in done.chunks.collect()} == {"legacy-id"}
     row = done.documents.first()
-    assert row.document_id == "legacy-id" and row.checksum != "old"
+    assert row.document_id == "legacy-id" and row.checksum != "old" and row.version == 1
 
 
 def test_ask(spark, empty):
@@ -194,28 +196,90 @@ def test_write_and_read_tables(spark, empty, tmp_path):
     assert tables.read_documents(spark, str(tmp_path / "documents")).count() == done.documents.count()
 
 
+def test_deletions_apply_to_what_was_written_before(spark, tmp_path):
+    def rows(text):
+        made = [(f"d{i}", "tu"[i % 2], 0, f"{text} {i}") for i in range(6)]
+        frame = spark.createDataFrame(made, "document_id string, tenant_id string, chunk_index int, chunk_text string")
+        return store.evolve(frame.withColumn("text_hash", F.sha2("chunk_text", 256)).withColumn("chunk_type", F.lit("x")), CHUNKS)
+
+    def live(path=None):
+        return sorted((r.document_id, r.chunk_text) for r in tables.read_chunks(spark, path or str(tmp_path / "c")).collect())
+
+    path, pairs = str(tmp_path / "c"), "document_id string, tenant_id string"
+    tables.write_chunks(rows("old"), path, bucketed=True)
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+    tables.delete_documents(spark.createDataFrame([("d0", "t"), ("d1", "t"), ("d2", "t"), ("d0", "t")], pairs), path)
+    assert live() == [("d1", "old 1"), ("d3", "old 3"), ("d4", "old 4"), ("d5", "old 5")]  # d1 is another tenant's
+    tables.write_chunks(rows("new").where("document_id IN ('d0', 'd4')"), path, bucketed=True)
+    assert ("d0", "new 0") in live() and ("d0", "old 0") not in live() and ("d4", "old 4") in live()
+    tables.delete_documents(spark.createDataFrame([("d4", "t"), ("d0", "t")], pairs), path)
+    tables.write_chunks(rows("third").where("document_id = 'd0'"), path, bucketed=True)
+    want = [("d0", "third 0"), ("d1", "old 1"), ("d3", "old 3"), ("d5", "old 5")]
+    assert live() == want
+    assert {f: os.stat(f).st_mtime_ns for f in before} == before  # nothing was written again
+    tables.compact_chunks(spark, path, str(tmp_path / "compact"))
+    assert live(str(tmp_path / "compact")) == want and not os.path.exists(tmp_path / "compact.deleted")
+    assert len(spark.read.parquet(str(tmp_path / "compact")).collect()) == 4
+
+
 def test_stream_equals_batch(spark, empty, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for name, content in FILES.items():
-        (folder / name).write_bytes(content)
     path = str(tmp_path / "store")
+    seen = []
 
     def read_store():
         if not os.path.exists(path):
             return empty
-        chunks = spark.read.parquet(f"{path}/chunks")
-        return spark.read.parquet(f"{path}/documents/{max(os.listdir(path + '/documents'))}"), chunks, spark.read.parquet(f"{path}/memo")
+        read = [spark.read.parquet(f"{path}/{name}/*") for name in ("documents", "chunks", "memo")]
+        return identity.latest(read[0]), *read[1:]
 
     def save(done, number):
-        done.documents.write.mode("overwrite").parquet(f"{path}/documents/{number:05d}")
-        done.chunks.write.mode("append").parquet(f"{path}/chunks")
-        done.memo.write.mode("append").parquet(f"{path}/memo")
-
-    query = ingest_stream(file_stream(spark, str(folder), 3), read_store, save, str(tmp_path / "state"), mode="folder", decoders={"pdf": pdf})
-    query.awaitTermination(240)
-    batch = ingest(fs.scan_folder(spark, str(folder)), *empty, mode="folder", decoders={"pdf": pdf})
+        seen.append(number)
+        for name in ("documents", "chunks", "memo"):
+            getattr(done, name).write.mode("overwrite").parquet(f"{path}/{name}/{number:05d}")
+
+    def trigger():
+        stream = file_stream(spark, str(folder), 3)
+        ingest_stream(stream, read_store, save, str(tmp_path / "state"), mode="upload", decoders={"pdf": pdf}).awaitTermination(240)
+
+    def put(content):
+        for name, data in content.items():
+            (folder / name).write_bytes(data)
+        time.sleep(1.2)
+
+    names = list(FILES)
+    put({n: FILES[n] for n in names[:4]})
+    trigger()
+    edited = {"trees.csv": b"tree,height\noak,22\nelm,17\n", "_hidden.csv": b"a,b\n1,2\n"}
+    put({**{n: FILES[n] for n in names[3:]}, **edited, "other.csv": FILES["other.csv"]})  # the last one only touched
+    trigger()
+    trigger()  # nothing changed
+    assert seen == [0, 1] or seen == [0, 1, 2]
+    first = ingest(files(spark, FILES), *empty, decoders={"pdf": pdf})
+    stored = first.chunks.cache()
+    second = ingest(files(spark, edited), identity.latest(first.documents), stored, first.memo)
     key = ["document_id", "chunk_index", "chunk_text"]
-    assert sorted(map(tuple, spark.read.parquet(f"{path}/chunks").select(key).collect())) == sorted(map(tuple, batch.chunks.select(key).collect()))
-    documents, _, _ = read_store()
-    assert sorted(r.source_uri for r in documents.collect()) == sorted(r.source_uri for r in batch.documents.collect())
+    documents, chunks, _ = read_store()
+    batch = stored.unionByName(second.chunks)
+    assert sorted(map(tuple, chunks.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+    want = identity.latest(first.documents.unionByName(second.documents)).select("source_uri", "checksum", "version")
+    assert sorted(map(str, documents.select("source_uri", "checksum", "version").collect())) == sorted(map(str, want.collect()))
+    assert documents.where("source_uri = 'trees.csv'").first().version == 1
+
+
+def test_state_lets_edits_through_only(spark, tmp_path):
+    folder, got = tmp_path / "in", []
+    folder.mkdir()
+
+    def trigger(content):
+        for name, data in content.items():
+            (folder / name).write_bytes(data)
+        time.sleep(1.2)
+        stream = file_stream(spark, str(folder), 2)
+        each_batch(stream, lambda batch, number: got.append(sorted(r.file_name for r in batch.collect())), str(tmp_path / "s")).awaitTermination(120)
+
+    trigger({"a": b"1", ".b": b"2", "c": b""})
+    trigger({"a": b"1", ".b": b"3"})
+    trigger({"a": b"4", ".b": b"3", "c": b""})
+    assert [b for b in got if b] == [[".b", "a", "c"], [".b"], ["a"]]

@@ -10,7 +10,7 @@ INCOMING = "tenant_id string, source_uri string, source_type string, checksum st
 
 
 def test_get_or_create(spark):
-    existing = spark.createDataFrame([("old", "t", "url", "a", "c0", None), ("kept", "t", "url", "z", "cz", None)], DOCS)
+    existing = spark.createDataFrame([("old", "t", "url", "a", "c0", None, None), ("kept", "t", "url", "z", "cz", None, 0)], f"{DOCS}, version int")
     incoming = spark.createDataFrame(
         [("t", "a", "upload", "c1", 1), ("t", "a", "upload", "c2", 2), ("t", "a", "upload", None, 3), ("t", "b", "upload", None, 4), ("u", "a", "file", "x", 5)],
         INCOMING,
@@ -20,11 +20,18 @@ def test_get_or_create(spark):
     assert rows["t", "a"].source_type == "url"
     assert rows["t", "b"].checksum is None and rows["t", "b"].is_new and rows["t", "b"].created_at is not None
     assert rows["u", "a"].document_id not in ("old", rows["t", "b"].document_id)
-    after = identity.register(existing, incoming)
-    assert sorted(r.source_uri for r in after.collect()) == ["a", "a", "b", "z"]
-    again = identity.register(after, incoming)
-    key = ["document_id", "tenant_id", "source_uri", "checksum"]
-    assert sorted(map(tuple, again.select(key).collect()), key=str) == sorted(map(tuple, after.select(key).collect()), key=str)
+    delta = identity.register(existing, incoming).cache()
+    key = ["document_id", "tenant_id", "source_uri", "checksum", "version"]
+    # "a" of "t" is known and changed, the others are new; "z" is not written again
+    assert sorted((r.tenant_id, r.source_uri, r.version) for r in delta.collect()) == [("t", "a", 1), ("t", "b", 0), ("u", "a", 0)]
+    versions = existing.unionByName(delta)
+    after = identity.latest(versions)
+    assert sorted((r.source_uri, r.checksum) for r in after.collect() if r.tenant_id == "t") == [("a", "c2"), ("b", None), ("z", "cz")]
+    assert identity.register(after, incoming).count() == 0  # nothing new
+    replayed = identity.latest(versions.unionByName(delta))
+    assert sorted(map(str, replayed.select(key).collect())) == sorted(map(str, after.select(key).collect()))
+    third = identity.register(after, spark.createDataFrame([("t", "a", "url", "c9", 1), ("t", "b", "url", "", 1)], INCOMING))
+    assert [(r.document_id, r.checksum, r.version, r.source_type) for r in third.collect()] == [("old", "c9", 2, "url")]
 
 
 def test_empty_checksum_does_not_replace(spark):
