@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from doclake.functions import text as tx, vectors as vec
@@ -23,7 +25,9 @@ from doclake.plans.catalog.base import (
     table,
     whole_sections,
 )
-from doclake.session import spread
+from doclake.schemas import MEMO
+from doclake.session import scratch_dir, spread
+from doclake.sources import tables
 
 SECTION_BUDGET, SECTION_OVERLAP = 60, 12
 DOUBLED = "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
@@ -169,12 +173,13 @@ def _passages(spark, sf):
 
 
 def _memo(spark, sf):
-    """Vectors of the labelled documents: an existing memo."""
+    """Vectors of the labelled documents: an existing memo, written by bucket."""
     labelled = _passages(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    keys = embedding.memo_keys(labelled, "chunk_text", "passage").groupBy("memo_key").agg(
-        F.min("chunk_text").alias("chunk_text")
-    )
-    return embedding.embed(keys, "chunk_text", "passage").select("memo_key", "embedding")
+    keyed = embedding.memo_keys(labelled, "chunk_text", "passage")
+    path = f"{scratch_dir(spark)}/memo-{uuid.uuid4().hex}"
+    nothing = spark.createDataFrame([], MEMO)
+    tables.write_memo(embedding.encode_misses(keyed, nothing, "chunk_text", "passage"), path)
+    return tables.read_memo(spark, path)
 
 
 @query(
@@ -182,7 +187,7 @@ def _memo(spark, sf):
 )
 def embed_memo(spark, sf):
     vectors, _ = embedding.embed_with_memo(
-        _passages(spark, sf), _memo(spark, sf), "chunk_text", "passage", ["document_id", "chunk_index"]
+        _passages(spark, sf), _memo(spark, sf), "chunk_text", "passage", ["document_id", "chunk_index"], at_rest=True
     )
     return _components(vectors, "doc_id", "embedding").withColumn("value", F.col("value").cast("double"))
 

@@ -139,8 +139,8 @@ def ingest(
     own = chunks.where(F.col("tenant_id") == tenant)
     fresh = stage(store.new_chunks(parsed, own, at_rest=not renamed), "fresh")
     keyed = embedding.memo_keys(fresh, "chunk_text", "passage")
-    encoded = stage(embedding.encode_misses(keyed, memo, "chunk_text", "passage", load), "encoded")
-    vectors = memo.select("memo_key", "embedding").unionByName(encoded)
+    encoded = stage(embedding.encode_misses(keyed, memo, "chunk_text", "passage", load, at_rest=True), "encoded")
+    vectors = embedding.memo_near(memo, keyed.select("memo_key")).unionByName(encoded)
     embedded = join_unique(keyed, vectors, "memo_key", store.CHUNK_KEY).drop("memo_key")
     return Ingested(
         documents=identity.register(documents, arrivals.drop("document_id")),

@@ -51,6 +51,7 @@ CHUNKS = (
 QUESTIONS = (
     "query_id string, pos int, document_id string, tenant_id string, namespace string, question string"
 )
+MEMO = "memo_key string, embedding array<float>"
 TOMBSTONES = "document_id string, tenant_id string, generation int"
 REJECTS = "source_uri string, file_type string, reason string, message string"
 SOURCE_REF = "struct<source int, document_id string, source_uri string, page_number int, sheet_name string>"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from doclake.operators.embedding import memo_bucket
 from doclake.operators.ranking import BLOCK, block_of
 from doclake.operators.retrieval import document_bucket
-from doclake.schemas import CHUNKS, DOCUMENTS, TOMBSTONES
+from doclake.schemas import CHUNKS, DOCUMENTS, MEMO, TOMBSTONES
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
@@ -72,6 +73,22 @@ def compact_chunks(spark: SparkSession, path: str, to: str) -> None:
     write_chunks(live.drop("document_bucket"), to, bucketed="document_bucket" in live.columns)
 
 
+def write_memo(memo: DataFrame, path: str, mode: str = "append") -> None:
+    """(memo_key, embedding) rows by bucket of the key."""
+    rows = memo.select("memo_key", "embedding", memo_bucket(F.col("memo_key")).alias("bucket"))
+    rows.hint("rebalance", F.col("bucket")).write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_memo(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MEMO).parquet(path)
+
+
+def compact_memo(spark: SparkSession, path: str, to: str) -> None:
+    """Write a memo's rows to a table of their own, each key once: batches at the same time may have added a key
+    twice."""
+    write_memo(read_memo(spark, path).dropDuplicates(["memo_key"]), to)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """All versions; ``identity.latest`` gives the table as it stands."""
     return spark.read.schema(DOCUMENTS).parquet(path)
