@@ -12,6 +12,8 @@ search would leave out nearly everything. So a shard has a tree for each band of
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,6 +24,8 @@ K = 20
 FACTOR = 2.0
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
+#: Queries of up to so many bytes are broadcast to the shards.
+BROADCAST_BYTES = 64 << 20
 LEAF = 64
 #: The largest norm of a tree is at most so many times its smallest.
 BAND = 1.25
@@ -135,6 +139,34 @@ def _matrix(table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], flat.reshape(len(ids), -1)[order]
 
 
+def _forests(stored: DataFrame, shards: int) -> DataFrame:
+    """``dim``, ``shard`` and the serialised trees of every shard, built once."""
+
+    def build(rows):
+        import pyarrow as pa
+
+        ids, points = _matrix(rows)
+        forest = pickle.dumps(banded(ids, points), protocol=5)
+        return pa.table([rows.column("dim")[:1], rows.column("shard")[:1], pa.array([forest], pa.binary())], names=["dim", "shard", "forest"])
+
+    dealt = stored.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int"))
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, forest binary")
+
+
+def _blocks(asked: DataFrame, blocks: int) -> DataFrame:
+    """``dim``, ``block`` and the queries of every block, packed."""
+
+    def pack(rows):
+        import pyarrow as pa
+
+        ids, points = _matrix(rows)
+        columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([points.ravel()], pa.list_(pa.float64()))]
+        return pa.table([rows.column("dim")[:1], rows.column("block")[:1], *columns], names=["dim", "block", "ids", "queries"])
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids array<long>, queries array<double>")
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -142,6 +174,7 @@ def nearest(
     factor: float = FACTOR,
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` nearest found of ``vectors`` for
     every row of ``queries``, both with ``vec_id`` and ``embedding``.
@@ -151,33 +184,39 @@ def nearest(
     one is asked; a repeated stored row is a candidate each time. Empty tables give no rows. Other
     columns are ignored.
 
-    Every block of queries meets every shard, each pair in a task of bounded size; a shard sends on ``k``
-    rows per query. Shards are dealt by a hash of the id, so equal vectors are spread.
+    Shards are dealt by a hash of the id, so equal vectors are spread; the trees of a shard are built once and
+    written. Every block of queries meets every shard: queries of up to ``broadcast_bytes`` travel to the trees,
+    which stay where they are; more meet them by a shuffle, a pair of block and shard at a time. A pair sends on
+    ``k`` rows per query.
     """
     spark = vectors.sparkSession
     stored, asked = staged(usable(vectors), "vectors"), staged(usable(queries).dropDuplicates(["vec_id"]), "queries")
     shards = partitions_for(spark, stored.count(), shard_rows)
-    blocks = max(1, -(-asked.count() // query_rows))
+    n, size = asked.agg(F.count("*"), F.sum(F.col("dim") * 8)).first()
+    blocks = max(1, -(-n // query_rows))
+    forests, packed = staged(_forests(stored, shards), "forests"), staged(_blocks(asked, blocks), "blocks")
+
+    def every(number: str, parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(number)
 
-    def dealt(frame: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        key = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(parts)).cast("int")
-        return frame.withColumn(own, key).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    if (size or 0) <= broadcast_bytes:
+        pairs = forests.join(F.broadcast(packed), "dim")
+    else:
+        pairs = forests.select("*", every("block", blocks)).join(packed.select("*", every("shard", shards)), ["dim", "shard", "block"])
 
-    def within(left, right):
+    def within(batches):
         import pyarrow as pa
 
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            (ids, points), (query_ids, rows) = _matrix(left), _matrix(right)
-            scores, near = search(banded(ids, points), rows, query_ids, k, factor)
-            q, rank = np.nonzero(scores > -np.inf)
-            found = [query_ids[q], near[q, rank], scores[q, rank]]
-        return pa.table(found, names=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    work = dealt(stored, "shard", shards, "block", blocks).groupBy(*keys)
-    with_ = dealt(asked, "block", blocks, "shard", shards).groupBy(*keys)
-    found = work.cogroup(with_).applyInArrow(within, "query_id long, vec_id long, score double")
+        for batch in batches:
+            for forest, ids, rows in zip(*(batch.column(c) for c in ("forest", "ids", "queries"))):
+                query_ids = ids.values.to_numpy()
+                points = rows.values.to_numpy().reshape(len(query_ids), -1)
+                scores, near = search(pickle.loads(forest.as_buffer()), points, query_ids, k, factor)
+                q, rank = np.nonzero(scores > -np.inf)
+                columns = [pa.array(c) for c in (query_ids[q], near[q, rank], scores[q, rank])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    found = pairs.select("forest", "ids", "queries").mapInArrow(within, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -35,10 +35,11 @@ def lists(found):
     return out
 
 
-def test_exact_at_factor_one(spark, data):
+@pytest.mark.parametrize("broadcast_bytes", [neighbours.BROADCAST_BYTES, 0])
+def test_exact_at_factor_one(spark, data, broadcast_bytes):
     ids, rows = data
     vectors = frame(spark, ids, rows)
-    got = lists(neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20, 1.0, 150, 20))
+    got = lists(neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20, 1.0, 150, 20, broadcast_bytes))
     want = brute(ids, rows, ids[::20], rows[::20], 20)
     assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
     for q, near in got.items():
