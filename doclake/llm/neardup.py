@@ -7,12 +7,17 @@ these shortfalls add up along the path, and a branch is pruned once their sum ex
 triangle inequality, summed over the slices). The upper levels, built from a bounded sample, part the
 corpus into shards: a fingerprint is at home in one and asks those shards that its ball overlaps. Each
 shard then searches a tree of its own. What depends on the sample is the balance, not the result.
+
+The more levels, the narrower their slices and the more shards a ball overlaps. So beyond a few levels there
+is a tree for each of ``radius + 1`` groups of bits: two fingerprints within the radius agree on one group, and
+the tree of that group need not look beyond a split at all. A fingerprint then visits ``radius + 1`` shards.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +34,9 @@ SAMPLE = 20_000
 #: many is parted again.
 SHARD_LEAST, SHARD_MOST = 1 << 15, 1 << 20
 LEAF = 64
+#: Up to so many levels one tree over all bits costs least, beyond them one for each group of bits; the links
+#: are the same.
+SINGLE_LEVELS = 3
 _ALL = (1 << 64) - 1
 #: Cells of one comparison of fingerprints.
 _CELLS = 1 << 21
@@ -85,10 +93,37 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 # --- trees ---
 
 
-def level_masks(levels: int) -> np.ndarray:
-    """The slice of bits that each of ``levels`` levels measures on: the wider, the more a split prunes."""
-    width = min(32, 64 // max(1, levels))
-    return np.array([((1 << width) - 1) << (width * i) for i in range(levels)], np.uint64)
+class Ladder(NamedTuple):
+    """What each level of a tree measures on, and the bits that may be spent down to it."""
+
+    masks: np.ndarray
+    budgets: np.ndarray
+
+
+def ladders(levels: int, radius: int, groups: int | None = None) -> list[Ladder]:
+    """The trees, one for each of ``groups`` groups of bits, that together meet all pairs within ``radius``.
+
+    Such a pair differs in at most ``radius // groups`` bits of one group. The tree of that group measures on
+    it first, allowing so many bits, and on the other bits below, allowing the whole radius. With more groups
+    than ``radius`` the first levels allow none: each tree is visited in one place, however many there are.
+    """
+    if groups is None:
+        groups = 1 if levels <= SINGLE_LEVELS else min(64, radius + 1)
+    trees = []
+    for begin, end in ((64 * i // groups, 64 * (i + 1) // groups) for i in range(groups)):
+        first = min(levels, end - begin)
+        order = np.roll(np.arange(64), -begin).tolist()
+        own, others = order[: end - begin], order[end - begin :]
+        rest = min(levels - first, len(others))
+        masks = _slices(own, first) + _slices(others, rest)
+        trees.append(Ladder(np.array(masks, np.uint64), np.array([radius // groups] * first + [radius] * rest)))
+    return trees
+
+
+def _slices(bits: list[int], levels: int) -> list[int]:
+    """A slice for each level, the wider the better it prunes; an odd number of bits parts evenly."""
+    width = min(31, len(bits) // max(1, levels) - 1 | 1)
+    return [sum(1 << b for b in bits[width * i : width * (i + 1)]) for i in range(levels)]
 
 
 def _distance(marks: np.ndarray, point, mask) -> np.ndarray:
@@ -115,7 +150,7 @@ def upper_tree(sample: np.ndarray, masks: np.ndarray, levels: int) -> tuple[np.n
     return points, cuts
 
 
-def visits(marks: np.ndarray, points, cuts, masks: np.ndarray, radius: int):
+def visits(marks: np.ndarray, points, cuts, ladder: Ladder):
     """Shards to visit: (index into ``marks``, shard, bits spent on the way); spent 0 is the home.
 
     Of two shards that overlap each other's balls only the lower-numbered one is visited from the other.
@@ -123,10 +158,10 @@ def visits(marks: np.ndarray, points, cuts, masks: np.ndarray, radius: int):
     levels = int(math.log2(len(points) + 1))
     which, node, spent = np.arange(len(marks)), np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int16)
     for level in range(levels):
-        distance = np.bitwise_count((marks[which] ^ points[node]) & masks[level]).astype(np.int16)
+        distance = np.bitwise_count((marks[which] ^ points[node]) & ladder.masks[level]).astype(np.int16)
         left = distance <= cuts[node]
         short = np.where(left, cuts[node] + 1 - distance, distance - cuts[node])
-        over = spent + short <= radius
+        over = spent + short <= ladder.budgets[level]
         which, node, spent = (
             np.concatenate([which, which[over]]),
             np.concatenate([2 * node + 1 + ~left, (2 * node + 1 + left)[over]]),
@@ -175,33 +210,39 @@ def link_shard(marks: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     order = np.argsort(marks)
     marks, home = marks[order], home[order]
     forest = Forest(len(marks))
-    masks = level_masks(min(64, math.ceil(math.log2(max(2, home.sum() / LEAF)))))
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home), np.zeros((~home).sum(), np.int16), 0)]
+    levels = min(64, math.ceil(math.log2(max(2, home.sum() / LEAF))))
+    for ladder in ladders(levels, radius):
+        _descend(marks, np.flatnonzero(home), np.flatnonzero(~home), ladder, radius, forest)
+    lead = np.empty(len(marks), np.int64)
+    lead[order] = order[forest.settle()]
+    return lead
+
+
+def _descend(marks: np.ndarray, home: np.ndarray, asks: np.ndarray, ladder: Ladder, radius: int, forest: Forest) -> None:
+    todo = [(home, asks, np.zeros(len(asks), np.int16), 0)]
     while todo:
         home, asks, used, level = todo.pop()
         parted = None
-        while len(home) > LEAF and level < len(masks) and parted is None:
-            parted = _split(marks[home], masks[level])
+        while len(home) > LEAF and level < len(ladder.masks) and parted is None:
+            parted = _split(marks[home], ladder.masks[level])
             level += parted is None
         if parted is None:
             _compare(marks, home, np.concatenate([asks, home]), radius, forest)
             continue
         point, cut = parted
-        at_home, at_asks = (_distance(marks[x], point, masks[level]) for x in (home, asks))
+        mask, budget = ladder.masks[level], ladder.budgets[level]
+        at_home, at_asks = (_distance(marks[x], point, mask) for x in (home, asks))
         left = at_home <= cut
         near = cut + 1 - at_home[left]
         go_left, go_right = used + np.maximum(0, at_asks - cut), used + np.maximum(0, cut + 1 - at_asks)
-        todo.append((home[left], asks[go_left <= radius], go_left[go_left <= radius], level + 1))
-        across = near <= radius
+        todo.append((home[left], asks[go_left <= budget], go_left[go_left <= budget], level + 1))
+        across = near <= budget
         todo.append((
             home[~left],
-            np.concatenate([asks[go_right <= radius], home[left][across]]),
-            np.concatenate([go_right[go_right <= radius], near[across]]),
+            np.concatenate([asks[go_right <= budget], home[left][across]]),
+            np.concatenate([go_right[go_right <= budget], near[across]]),
             level + 1,
         ))
-    lead = np.empty(len(marks), np.int64)
-    lead[order] = order[forest.settle()]
-    return lead
 
 
 def _compare(marks: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int, forest: Forest) -> None:
@@ -225,20 +266,21 @@ def links(marks: DataFrame, radius: int = RADIUS, shard_rows: int | None = None)
         return marks.select(F.col("fp").alias("node"), F.col("fp").alias("near"))
     shard_rows = shard_rows or min(SHARD_MOST, max(SHARD_LEAST, total // 64))
     levels = min(32, max(0, math.ceil(math.log2(total / shard_rows))))
-    masks = level_masks(levels)
     rows = keyed_sample(marks.select("fp"), "fp", SAMPLE).orderBy(F.xxhash64("fp")).collect()
-    points, cuts = upper_tree(np.array([r.fp for r in rows], np.int64).view(np.uint64), masks, levels)
+    sample = np.array([r.fp for r in rows], np.int64).view(np.uint64)
+    trees = [(*upper_tree(sample, ladder.masks, levels), ladder) for ladder in ladders(levels, radius)]
 
     def route(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             own = batch.column(0).to_numpy()
-            which, shard, spent = visits(own.view(np.uint64), points, cuts, masks, radius)
-            columns = [shard.astype(np.int32), own[which], spent.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "fp", "spent"])
+            for number, tree in enumerate(trees):
+                which, shard, spent = visits(own.view(np.uint64), *tree)
+                columns = [shard + (number << levels), own[which], spent.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "fp", "spent"])
 
-    routed = staged(marks.select("fp").mapInArrow(route, "shard int, fp long, spent int"), "routed")
+    routed = staged(marks.select("fp").mapInArrow(route, "shard long, fp long, spent int"), "routed")
     sizes = routed.where("spent = 0").groupBy("shard").count()
     sizes = sizes.select("shard", F.ceil(F.col("count") / (2 * shard_rows)).cast("int").alias("_blocks"))
     own = F.when(F.col("spent") == 0, F.pmod(F.xxhash64("fp"), "_blocks")).otherwise(F.col("_blocks") - 1)

@@ -74,7 +74,45 @@ def test_fingerprints():
         assert neardup.simhash(text) & (2**64 - 1) == brute_fingerprint(text), text
 
 
-@pytest.mark.parametrize("rows,shard", [(90, 8), (900, 40), (900, 5000)])
+@pytest.mark.parametrize("groups", [1, 2, 3, 5, None])
+@pytest.mark.parametrize("levels", [0, 2, 5, 9, 14])
+def test_close_pairs_meet_in_a_shard(levels, groups):
+    """One of the two is at home there."""
+    fps = clouds(300, levels)
+    seen, near = np.zeros((len(fps), len(fps)), bool), np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    for ladder in neardup.ladders(levels, 4, groups):
+        which, shard, spent = neardup.visits(fps, *neardup.upper_tree(fps[::3], ladder.masks, levels), ladder)
+        assert sorted(which[spent == 0]) == list(range(len(fps)))
+        for at in np.unique(shard):
+            here = shard == at
+            seen[np.ix_(which[here & (spent == 0)], which[here])] = True
+    assert not (near & ~(seen | seen.T)).any()
+
+
+@pytest.mark.parametrize("levels", [4, 8, 12])
+def test_visits_do_not_grow_with_the_shards(levels):
+    fps = np.random.default_rng(levels).integers(0, 2**64, 60_000, dtype=np.uint64)
+    visits = 0
+    for ladder in neardup.ladders(levels, 4):
+        which, shard, spent = neardup.visits(fps, *neardup.upper_tree(fps, ladder.masks, levels), ladder)
+        visits += len(which)
+        assert np.bincount(shard[spent == 0]).max() < 4 * len(fps) / 2**levels
+    assert visits == 5 * len(fps)
+
+
+@pytest.mark.parametrize("rows", [3, 100, 700, 4000])
+def test_link_shard(rows):
+    fps = np.random.default_rng(rows).permutation(clouds(rows, rows))
+    home = np.arange(len(fps)) % 4 > 0
+    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4) & (home[:, None] | home[None, :])
+    label = np.arange(len(fps))
+    while not np.array_equal(label, new := np.where(near, label[None, :], len(fps)).min(1).clip(max=label)):
+        label = new
+    got = neardup.link_shard(fps, home, 4)
+    assert len(set(zip(got, label))) == len(set(got)) == len(set(label))
+
+
+@pytest.mark.parametrize("rows,shard", [(90, 8), (300, 100), (900, 40), (900, 5000)])
 def test_links_against_all_pairs(spark, rows, shard):
     fps = clouds(rows, rows + shard)
     frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
