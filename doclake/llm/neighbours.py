@@ -26,7 +26,7 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 #: Queries of up to so many bytes are broadcast to the shards.
 BROADCAST_BYTES = 64 << 20
-LEAF = 64
+LEAF = 256
 #: The largest norm of a tree is at most so many times its smallest.
 BAND = 1.25
 
