@@ -13,12 +13,15 @@ import csv
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from doclake.session import stage
 from doclake.sources.folder import open_bytes
 
 SPLIT_BYTES = 64 << 20
+#: Bytes of splits that a task reads, about.
+TASK_BYTES = 64 << 20
 MOST_TASKS = 100_000
 #: Rows in an Arrow batch that is sent on, and the characters in it, at most by one row.
 ROWS, CHARACTERS = 4096, 1 << 24
@@ -193,31 +196,42 @@ def _composed(scanned: DataFrame) -> DataFrame:
     return files.select("path", "header", F.col("all.bad").alias("bad"), F.col("all.splits").alias("splits"))
 
 
-def read_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+def read_splits(
+    files: DataFrame, split_bytes: int = SPLIT_BYTES, carried: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(records, unreadable) of CSV ``files`` (path, length): ``path``, ``position`` among the records kept,
-    ``header`` and ``values``; and the paths that the reader refuses, which give no records.
+    ``header`` and ``values``; and the paths that the reader refuses, which give no records. Columns of ``files``
+    that are ``carried`` meet the splits: a join with the records would take these, by the size of their plan, for
+    a table to broadcast.
 
     The first record of a file is its header, rows with blanks alone go. The plan of the splits is staged, so
     that the first pass runs once; records are not shuffled.
     """
     splits = stage(splits_of(files.select("path", "length"), split_bytes), "splits")
-    # a row is a split's work, whatever its size: as many tasks as splits
-    tasks = min(max(1, splits.count()), MOST_TASKS)
+    # small splits share a task, as each task costs the driver memory; there are enough for the cores
+    size = splits.agg(F.count("*").alias("n"), F.sum(F.least(F.col("end"), F.col("length")) - F.col("begin")).alias("bytes")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size.n, max(4 * cores, -(-(size.bytes or 0) // TASK_BYTES)), MOST_TASKS))
     plan = stage(_composed(_scanned(splits.repartition(tasks, "path", "split"))), "plan")
     parts = plan.where(~F.col("bad") & F.col("header").isNotNull()).select("path", "header", F.inline("splits"))
+    if carried:
+        parts = parts.join(files.select("path", *carried), "path")
     parts = parts.repartition(tasks, "path", "begin")
+    kinds = {name: parts.schema[name].dataType for name in ("path", *carried)}
+    schema = pa.schema([*to_arrow_schema(T.StructType([T.StructField(n, k) for n, k in kinds.items()])), *_RECORDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 with open_bytes(row["path"]) as file:
-                    yield from _records(file, row)
+                    yield from _records(file, row, schema)
 
-    records = parts.mapInArrow(run, f"path string, {RECORDS}")
+    shape = ", ".join(f"`{n}` {k.simpleString()}" for n, k in kinds.items())
+    records = parts.mapInArrow(run, f"{shape}, {RECORDS}")
     return records, plan.where("bad").select("path")
 
 
-def _records(file, row: dict) -> Iterator[pa.RecordBatch]:
+def _records(file, row: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     lines = _Lines(file, row["begin"])
     if lines.at >= row["end"]:
         return
@@ -239,16 +253,17 @@ def _records(file, row: dict) -> Iterator[pa.RecordBatch]:
             size += sum(map(len, cells))
             position += 1
         if len(held) >= ROWS or size >= CHARACTERS:
-            yield _batch(held, row)
+            yield _batch(held, row, schema)
             held, size = [], 0
     if held:
-        yield _batch(held, row)
+        yield _batch(held, row, schema)
 
 
-def _batch(held: list[tuple[int, list[str]]], row: dict) -> pa.RecordBatch:
+def _batch(held: list[tuple[int, list[str]]], row: dict, schema: pa.Schema) -> pa.RecordBatch:
     n = len(held)
-    columns = [pa.array([row["path"]] * n), *record_columns([h[0] for h in held], [row["header"]] * n, [h[1] for h in held])]
-    return pa.RecordBatch.from_arrays(columns, names=["path", *(name for name, _ in _RECORDS)])
+    same = [pa.array([row[name]] * n, kind) for name, kind in zip(schema.names, schema.types[: -len(_RECORDS)])]
+    columns = [*same, *record_columns([h[0] for h in held], [row["header"]] * n, [h[1] for h in held])]
+    return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
 def record_columns(positions: list[int], headers: list[list[str]], values: list[list[str]]) -> list[pa.Array]:

@@ -176,7 +176,7 @@ def csv_split_units(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFra
 
     The same units as those of their bytes at hand, but that the checksum of a file is not known.
     """
-    records, bad = read_splits(files, split_bytes)
+    records, bad = read_splits(files, split_bytes, ("document_id", "source_uri", "file_type"))
     key = files.select("path", "document_id", "source_uri", "file_type")
     marked = key.join(bad.withColumn("bad", F.lit(True)), "path", "left")
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in files.sparkSession.createDataFrame([], UNITS).schema}
@@ -188,7 +188,7 @@ def csv_split_units(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFra
     parts = [
         units(key, kind=F.lit("file")),
         units(marked.where("bad"), kind=F.lit("error"), name=F.lit(REASON_UNREADABLE), text=message),
-        units(records.join(key, "path"), kind=F.lit("record"), j=F.col("position"), cells=F.col("values")),
+        units(records, kind=F.lit("record"), j=F.col("position"), cells=F.col("values")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

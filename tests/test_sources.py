@@ -263,3 +263,18 @@ def test_a_kind_without_a_decoder_is_a_reject_of_its_own(spark, kind):
     assert [r.reason for r in fs.unit_rejects(fs.decode(typed)).collect()] == ["no_decoder"]
     own = {kind: lambda data: [{"kind": "page", "i": 0, "text": data.decode()}]}
     assert [r.text for r in fs.decode(typed, own).where("kind = 'page'").collect()] == ["x"]
+
+
+def test_records_of_small_splits_share_tasks_and_are_not_broadcast(spark, tmp_path):
+    """The files' columns meet the splits before these are read; a join after it would broadcast the records."""
+    for i in range(8):
+        (tmp_path / f"f{i}.csv").write_bytes(b"a,b\n" + b"".join(b"%d,%d\n" % (i, n) for n in range(400)))
+    listed = fs.scan_folder(spark, str(tmp_path)).select(
+        "path", "length", F.col("file_name").alias("document_id"), F.lit("u").alias("source_uri"), F.lit("csv").alias("file_type")
+    )
+    units = fs.csv_split_units(listed, 20).where("kind = 'record'").select("document_id", "source_uri", "file_type", "j", "cells")
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    assert units.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = sorted((r.document_id, r.source_uri, r.file_type, r.j, tuple(r.cells)) for r in units.collect())
+    assert got == sorted((f"f{i}.csv", "u", "csv", n, (str(i), str(n))) for i in range(8) for n in range(400))
