@@ -34,9 +34,11 @@ def changed_files(files: DataFrame) -> DataFrame:
     """
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["modificationTime", "checksum"])
-        row = rows.tail(1)
-        checksum = row["checksum"].iloc[0]
+        found = list(frames)
+        row = found[0] if len(found) == 1 else pd.concat(found)
+        if len(row) > 1:  # most names come once
+            row = row.sort_values(["modificationTime", "checksum"]).tail(1)
+        checksum = row["checksum"].iat[0]
         if not state.exists or state.get[0] != checksum:
             state.update((checksum,))
             yield row
