@@ -6,12 +6,14 @@ import io
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from doclake.functions import network as net
+from doclake.functions.parts import in_parts
 from doclake.operators import identity
 from doclake.plans.catalog.base import LINE_PAGES, line_pages, query, sql_strip, table, turns
 from doclake.session import scratch_dir
@@ -161,9 +163,10 @@ def _zipped(member: str, text: str) -> bytes:
 
 
 def _zip_udf():
-    @F.pandas_udf("binary")
-    def zipped(members: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_zipped(m, t) for m, t in zip(members, texts)], dtype=object)
+    @F.arrow_udf("binary")
+    def zipped(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for members, texts in columns:
+            yield from in_parts(_zipped, [members, texts], pa.binary())
 
     return zipped
 

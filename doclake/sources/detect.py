@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from doclake.functions.parts import in_parts
 from doclake.functions.text import LINE_END
 from doclake.schemas import FILE_TYPES
 
@@ -30,18 +32,23 @@ def looks_like_csv(content: Column) -> Column:
     return F.coalesce(F.exists(lines, lambda line: F.contains(line, F.lit(","))), F.lit(False))
 
 
-def _list_members(content: pd.Series) -> pd.Series:
+def _list_members(data: bytes | None) -> list[str] | None:
+    if data is None:
+        return None
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            return archive.namelist()
+    except Exception:  # whatever is odd about one archive, it has no members and the job goes on
+        return None
 
-    def names(data: bytes | None) -> list[str] | None:
-        if data is None:
-            return None
-        try:
-            with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
-                return archive.namelist()
-        except Exception:  # whatever is odd about one archive, it has no members and the job goes on
-            return None
 
-    return pd.Series([names(data) for data in content], dtype=object)
+def _members_udf():
+    @F.arrow_udf("array<string>")
+    def listed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in columns:
+            yield from in_parts(_list_members, [contents], pa.list_(pa.string()))
+
+    return listed
 
 
 def zip_members(content: Column) -> Column:
@@ -49,8 +56,7 @@ def zip_members(content: Column) -> Column:
 
     Declared nondeterministic so that a filter on the type does not open archives twice.
     """
-    listed = F.pandas_udf(_list_members, T.ArrayType(T.StringType()))
-    return listed.asNondeterministic()(content)
+    return _members_udf().asNondeterministic()(content)
 
 
 def office_type(members: Column) -> Column:
