@@ -12,17 +12,20 @@ weighted similarity of the shingles, counted with repeats.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from doclake.llm.common import BROADCAST_ROWS, staged, text_key, without
+from doclake.llm.common import BROADCAST_ROWS, bounded_broadcast, partitions_for, staged, text_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS = 8
 #: Bits that may differ. At similarity 0.8 the expected number is 10 with a deviation of 3.
 RADIUS = 23
+#: Of a benchmark in several parts, about so many windows are compared by one task.
+WINDOWS_PER_TASK = 20_000
 
 _BITS = 64 // BLOCKS
 
@@ -119,14 +122,16 @@ def reach(words: Column, least: float) -> Column:
     return (n - F.ceil(n * (2 * least / (1 + least)) - 1e-9)).cast("int")
 
 
-def prepare_items(benchmark: DataFrame, radius: int) -> tuple[DataFrame, int, int]:
-    """The items with words: ``item`` (a number), ``item_id``, ``words``, ``marks``; their most words, and the rows
-    of their largest broadcast. Items are told apart by number, so that null and repeated ids are items, too."""
+def prepare_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``items``, ``owners``): the different texts with words as ``item`` (a number), ``words``, ``marks``, and the
+    ``item_id`` of each. Items are told apart by number, so that null and repeated ids are items, too; copies of a
+    text are compared once."""
     both = _let(hashes_of(F.col("text")), lambda h: F.struct(F.size(h).alias("words"), window_shingles(h).alias("marks")))
-    items = benchmark.select("item_id", both.alias("of")).distinct().select("item_id", "of.*").where("words > 0")
-    items = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    n, most, marks = items.agg(F.count("*"), F.max("words"), F.sum(F.size("marks"))).first()
-    return items, most or 0, max(n * BLOCKS * len(neighbour_masks(radius)), marks or 0)
+    named = benchmark.select("item_id", both.alias("of")).distinct().select("item_id", "of.*").where("words > 0")
+    named = staged(named, "named")
+    items = staged(named.select("words", "marks").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    owners = named.join(items, ["words", "marks"]).select("item", "item_id")
+    return items, bounded_broadcast(owners, named.count())
 
 
 def contaminated(
@@ -140,31 +145,26 @@ def contaminated(
     same id are taken together. A row without id is a document of its own for each text, an item without id
     one for all such items; both are kept with null ids. Other columns are ignored; empty tables give no rows.
 
-    The items are broadcast in parts of at most ``BROADCAST_ROWS`` rows, each part in a scan of its own;
-    documents are not shuffled, only what was found is.
+    Shingles and fingerprints of items are broadcast, at most ``BROADCAST_ROWS`` rows at a time. Of a benchmark with
+    more, each part of the shingles finds its windows in a scan of its own, and each part of the fingerprints goes
+    over the windows found, which are written; one part is done before the next begins. Documents are not shuffled,
+    only what was found is.
     """
-    return _best(docs, benchmark, least, radius).drop("text_key")
-
-
-def _best(docs: DataFrame, benchmark: DataFrame, least: float, radius: int) -> DataFrame:
-    items, most, rows = prepare_items(benchmark, radius)
-    parts = max(1, -(-rows // BROADCAST_ROWS))
-    found = None
-    for part in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
-        for size in sorted({min(r.words, SHINGLE) for r in some.select(F.least("words", F.lit(SHINGLE)).alias("words")).distinct().collect()}):
-            matched = _match(docs, some.where(F.least("words", F.lit(SHINGLE)) == size), size, most, least, radius)
-            found = matched if found is None else found.unionByName(matched)
-    if found is None:
-        found = _match(docs, items, SHINGLE, 1, least, radius)
+    items, owners = prepare_items(benchmark)
+    best = _best(_found(docs, items, least, radius), "item")
+    return _best(best.join(owners, "item"), "item_id").drop("text_key")
+
+
+def _best(found: DataFrame, item: str) -> DataFrame:
+    """The best window of every document and ``item``."""
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("distance")).alias("distance")))
     return (
-        found.groupBy("doc_id", "text_key", "item_id")
+        found.groupBy("doc_id", "text_key", item)
         .agg(best.alias("best"))
         .select(
             "doc_id",
             "text_key",
-            "item_id",
+            item,
             F.col("best.similarity").alias("similarity"),
             (-F.col("best.start")).alias("start"),
             (-F.col("best.distance")).alias("distance"),
@@ -172,7 +172,42 @@ def _best(docs: DataFrame, benchmark: DataFrame, least: float, radius: int) -> D
     )
 
 
-def _match(docs: DataFrame, items: DataFrame, size: int, most: int, least: float, radius: int) -> DataFrame:
+def _part(items: DataFrame, parts: int, part: int) -> DataFrame:
+    return items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
+
+
+def _found(docs: DataFrame, items: DataFrame, least: float, radius: int) -> DataFrame:
+    """``doc_id``, ``text_key``, ``item``, ``similarity``, ``start`` and ``distance`` of all windows that qualify."""
+    n, most, marks = items.agg(F.count("*"), F.max("words"), F.sum(F.size("marks"))).first()
+    size = F.least("words", F.lit(SHINGLE))
+    sizes = sorted(r.size for r in items.select(size.alias("size")).distinct().collect()) or [SHINGLE]
+    marks, looked_up = marks or 0, n * BLOCKS * len(neighbour_masks(radius))
+    scans, passes = (max(1, -(-rows // BROADCAST_ROWS)) for rows in (marks, max(marks, looked_up)))
+    most = max(1, most or 0)
+    if scans == passes == 1:
+        each = [(items.where(size == s), s) for s in sizes]
+        return reduce(
+            DataFrame.unionByName,
+            [_compared(_windows(docs, some, s, most, least), some, most, least, radius) for some, s in each],
+        )
+    # one after the other, so that executors and driver never hold more than one part of the benchmark
+    scanned = [
+        staged(_windows(docs, _part(items, scans, part).where(size == s), s, most, least), "windows")
+        for part in range(scans)
+        for s in sizes
+    ]
+    windows = reduce(DataFrame.unionByName, scanned)
+    # dealt by number, since few bytes make much work
+    wide = partitions_for(docs.sparkSession, windows.count(), WINDOWS_PER_TASK)
+    windows = staged(windows.repartition(wide, "doc_id", "text_key", "words", "start").distinct(), "windows")
+    return reduce(
+        DataFrame.unionByName,
+        [staged(_compared(windows, _part(items, passes, part), most, least, radius), "found") for part in range(passes)],
+    )
+
+
+def _windows(docs: DataFrame, items: DataFrame, size: int, most: int, least: float) -> DataFrame:
+    """``doc_id``, ``text_key``, ``words``, ``start``, ``ours`` (shingles) and ``fp`` of the windows near shared shingles."""
     # Outer generators and values bound once by ``_let``: a plain generator makes the optimizer test for
     # emptiness below it, where the expressions above the text would be copied into each other.
     anchors = F.broadcast(items.select(F.explode("marks").alias("mark"), "words").distinct())
@@ -191,36 +226,46 @@ def _match(docs: DataFrame, items: DataFrame, size: int, most: int, least: float
     printed = _let(
         F.slice("hashes", F.col("start") + 1, F.col("words")),
         lambda window: _let(
-            window_shingles(window), lambda ours: F.struct(ours.alias("ours"), fingerprint(ours, max(1, most)).alias("fp"))
+            window_shingles(window), lambda ours: F.struct(ours.alias("ours"), fingerprint(ours, most).alias("fp"))
         ),
     )
-    windows = (
+    return (
         at.select(*key, "words", "hashes", F.explode_outer(starts).alias("start"))
         .where(F.col("start").isNotNull())
         .select(*key, "words", "start", printed.alias("of"))
         .select(*key, "words", "start", F.col("of.ours").alias("ours"), F.col("of.fp").alias("fp"))
     )
+
+
+def _compared(windows: DataFrame, items: DataFrame, most: int, least: float, radius: int) -> DataFrame:
+    """Windows with the items of their length within ``radius`` bits whose similarity is ``least`` or more."""
+    key = ["doc_id", "text_key"]
+
+    def place(value: Column) -> Column:
+        """Length, block and value as one number: half the memory of a broadcast by three columns."""
+        return F.col("words").cast("long") * (BLOCKS << _BITS) + F.col("block") * (1 << _BITS) + value
+
     blocks = F.array(*[block_of(F.col("fp"), b) for b in range(BLOCKS)])
     windows = windows.select("*", F.posexplode_outer(blocks).alias("block", "value"))
-
-    prints = items.select("item", "words", fingerprint(F.col("marks"), max(1, most)).alias("item_fp"))
+    windows = windows.withColumn("place", place(F.col("value")))
+    prints = items.select("item", "words", fingerprint(F.col("marks"), most).alias("item_fp"))
     masks = F.array(*[F.lit(m) for m in neighbour_masks(radius)])
     looked_up = (
         prints.select("*", F.posexplode(F.array(*[block_of(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("block", "_value"))
         .select("*", F.explode(masks).alias("_mask"))
-        .select("item", "words", "item_fp", "block", F.col("_value").bitwiseXOR(F.col("_mask")).alias("value"))
+        .select("item", "item_fp", place(F.col("_value").bitwiseXOR(F.col("_mask"))).alias("place"))
     )
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # several blocks may find a pair: the first of them keeps it
     earliest = F.coalesce(*[F.when(F.bit_count(block_of(differ, b)) <= radius // BLOCKS, F.lit(b)) for b in range(BLOCKS)])
     pairs = (
-        windows.join(F.broadcast(looked_up), ["words", "block", "value"])
+        windows.join(F.broadcast(looked_up), "place")
         .where((F.bit_count(differ) <= radius) & (earliest == F.col("block")))
         .select(*key, "item", "start", "ours", F.bit_count(differ).alias("distance"))
     )
-    verified = pairs.join(F.broadcast(items.select("item", "item_id", "marks")), "item")
+    verified = pairs.join(F.broadcast(items.select("item", "marks")), "item")
     return verified.select(
-        *key, "item_id", similarity(F.col("ours"), F.col("marks")).alias("similarity"), "start", "distance"
+        *key, "item", similarity(F.col("ours"), F.col("marks")).alias("similarity"), "start", "distance"
     ).where(F.col("similarity") >= least)
 
 
@@ -231,7 +276,8 @@ def drop_contaminated(
 
     Rows with the same id go together; a row without an id goes if its own text holds an item.
     """
-    return without(docs, _best(docs, benchmark, least, radius).select("doc_id", "text_key"))
+    items, _ = prepare_items(benchmark)
+    return without(docs, _found(docs, items, least, radius).select("doc_id", "text_key"))
 
 
 def oracle(least: float = SIMILARITY) -> str:

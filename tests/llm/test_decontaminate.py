@@ -75,6 +75,21 @@ def test_parts_of_the_benchmark(spark, monkeypatch):
     assert sorted(map(tuple, dc.contaminated(frame, bench).collect())) == whole
 
 
+def test_one_part_of_the_benchmark_is_held(spark, monkeypatch):
+    docs, items = cases()
+    copies = [(100 + k, text) for k, text in items[:5]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items[:5] + copies, "item_id long, text string")
+    assert dc.prepare_items(bench)[0].count() == 5
+    want = {(*key, round(v[0], 9), v[1]) for key, v in brute(docs, items[:5] + copies).items()}
+    for rows in (1000, 50):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+        found = dc.contaminated(frame, bench)
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") < 3
+        got = [(r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("most", [100, 1000])
 def test_fingerprint(spark, most):
     rng = random.Random(1)
